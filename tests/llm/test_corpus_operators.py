@@ -1,0 +1,495 @@
+"""Each corpus operator against a brute-force version on small, awkward tables."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
+
+from labelforge.llm import exact_dedup, language_id, license_scan, media, mixing, packing, queries, secret_scan, simhash, token_counts, warc
+from labelforge.llm.graph import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, component string, key int"
+
+
+def awkward() -> list[tuple]:
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns."""
+    rng = random.Random(3)
+    words = "Alpha beta gamma delta éclair straße 東京 mit license the of and token".split()
+    texts = [
+        None, "", " ", "\n\t", "x", "Licensed under CC BY-NC 4.0. cc by", "GNU General Public License, version 3 or later",
+        "Released under the MIT License. All rights reserved.", 'token = "11acdfb36bb72224148e6160f674b4be45601bff" end', "password = changeme123",
+        "A" * 3000, "<|endoftext|> a <|startoftext|>", "a\x1cb  c　d e", "é ﬁ Σίσυφος ΣΑΣ", "12345 678 ---", " \x85 x",
+    ]
+    texts += [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(30)]
+    long = " ".join(rng.choices(words, k=9000))
+    texts += [long, long[:-1], long.replace("beta", "Beta", 1)]
+    base = " ".join(f"w{rng.randint(0, 400)}" for _ in range(300))
+    texts += [base, *(base.replace(" ", f" n{i} ", 1) for i in range(12))]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "else", None]), None, "d", None, i) for i, t in enumerate(texts)]
+    copies = [(1000 + i, texts[20 + i % 3], "en", "src0", 1, None, "c", None) for i in range(60)]
+    return rows + copies + [rows[5], rows[5], (None, "Alpha beta", None, None, None, None, None, None), (None, "only a null id", "en", "src1", 2, "x", "y", 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(1)
+    rows = awkward()
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, str(type(x)), x) for x in r))
+
+
+# 1
+
+
+def license_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts, labels = [], set()
+    for phrase, label in license_scan.BASE.items():
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                starts.append(i)
+                labels.add(label)
+    return words, starts, labels
+
+
+def license_labels(words, base):
+    line = "^ " + " ".join(words) + " "
+    found = []
+    for r in license_scan.rules():
+        for m in re.finditer(f"(?=( {r['regex']})(?= ))", line):
+            found.append((m.start(), m.start() + len(m[1]), r["priority"], r["id"], r["label"], r["confidence"]))
+    kept = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[2], -(e[1] - e[0]), e[3]) < (d[2], -(d[1] - d[0]), d[3]) for e in found)]
+    return sorted(base | {d[4] for d in kept}), max((d[5] for d in kept), default=0.0)
+
+
+def test_license_scan(docs, none, spark):
+    seen = Counter()
+    extra = [(5000, "the " * 900 + "licensed under the apache license version 2.0 " * 30 + "cc by cc by", None, None, None, None, None, None)]
+    table = docs.union(spark.createDataFrame(extra, SCHEMA))
+    texts = Counter((r["doc_id"], r["text"]) for r in table.collect())
+    expected = Counter()
+    for (i, text), n in texts.items():
+        words, starts, base = license_base(text)
+        labels, score = license_labels(words, base)
+        expected[(i, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(labels), score)] += n
+    for r in license_scan.scan(table).drop("n_detections").collect():
+        seen[tuple(r)] += 1
+    assert seen == expected
+    assert any("cc-by-nc-4.0" in r[6] for r in seen) and any("apache-2.0" in r[6] for r in seen)
+    assert license_scan.scan(none).count() == 0
+
+
+def test_license_rules_are_bounded():
+    rules = license_scan.rules()
+    assert len(rules) >= 200 and len({r["id"] for r in rules}) == len(rules)
+    for r in rules:
+        # no unbounded repetition but of characters inside a word, so a match has at most OVERLAP words
+        assert not re.search(r"[)\]][*+]", r["regex"].replace("[^ ]+", "w").replace("(?: public| license)*", "")), r
+        assert len(r["regex"].split(" ")) + 8 < license_scan.OVERLAP
+
+
+# 2
+
+
+def test_token_counts_equal_the_tokenizer(docs, none):
+    from tokenizers import Tokenizer, models
+
+    pieces = token_counts.vocabulary(queries.tokenizer("piece_bpe_32k.model"))
+    exact = Tokenizer(models.Unigram([(p, s) for p, s, _ in pieces], unk_id=0, byte_fallback=True))
+    by_id = {i: s for i, (_, s, _) in enumerate(pieces)}
+    assert by_id
+    rng = random.Random(5)
+    texts = {r["text"] for r in docs.collect() if r["text"]} | {"".join(rng.choices("ab  ▁éthe東\n<s>", k=40)) for _ in range(300)}
+    mine = token_counts.counter(queries.tokenizer("piece_bpe_32k.model"))
+    for t in texts:
+        assert mine.count(t)[0] == len(exact.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids), t
+    out = token_counts.count_tokens(docs, queries.tokenizer("piece_bpe_32k.model"))
+    assert rows_of(out) == sorted(((r["doc_id"], len(r["text"] or ""), *mine.count(r["text"] or "")) for r in docs.collect()), key=lambda r: tuple((x is None, str(type(x)), x) for x in r))
+    assert token_counts.count_tokens(none, queries.tokenizer("piece_bpe_32k.model")).count() == 0
+
+
+def test_viterbi_ties_go_to_the_earliest_start():
+    c = token_counts.Counter([("a", -1.0, 0), ("aa", -2.0, 0), ("b", -1.0, 0), ("ab", -2.0, 0), ("▁", -1.0, 0)])
+    assert c.viterbi("aab") == (2, -3.0)
+    assert c.viterbi("aa") == (1, -2.0)
+
+
+# 3
+
+
+def dedup_truth(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["text"] or ""].append(r["doc_id"])
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(r["doc_id"], keep[r["text"] or ""], len(groups[r["text"] or ""]), r["doc_id"] == keep[r["text"] or ""]) for r in rows]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, none, weak):
+    from pyspark.sql import functions as F
+
+    digest = (lambda t: F.substring(t, 1, 1).cast("binary")) if weak else exact_dedup._digest
+    out = exact_dedup.assign_copies(docs, digest=digest).select("doc_id", "keep_id", "group_size", "kept")
+    assert Counter(map(tuple, out.collect())) == Counter(dedup_truth(docs.collect()))
+    assert exact_dedup.assign_copies(none).count() == 0
+
+
+def test_drop_copies(docs, none):
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    rows = docs.collect()
+    best = {}
+    for r in rows:
+        t = r["text"] or ""
+        if t not in best or (r["doc_id"] is not None and (best[t] is None or r["doc_id"] > best[t])):
+            best[t] = r["doc_id"]
+    got = kept.collect()
+    assert {(r["text"] or "", r["doc_id"]) for r in got} == set(best.items()) and len(got) == len(best)
+    assert set(got) <= set(rows)
+    assert exact_dedup.drop_copies(none).count() == 0
+
+
+# 4
+
+
+def test_media_round_trip(docs, none):
+    back = media.from_media(media.to_media(docs))
+    for r in back.collect():
+        assert len(r["payload"]) % 64 == 0 and len(r["payload"]) >= 64 and len(r["dct_hash"]) == 8
+    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["payload"])) for r in back.collect())
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()), media.payload_of(r["text"])) for r in docs.collect())
+    assert got == want
+    assert len({(bytes(r["payload"]), bytes(r["media"]), bytes(r["dct_hash"])) for r in back.collect()}) == len({bytes(r["payload"]) for r in back.collect()})
+    assert media.from_media(media.to_media(none)).count() == 0
+
+
+def test_png_filters():
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (23, 64), dtype=np.uint8)
+    kinds = np.array([0, 1, 2, 3, 4, 4, 3, 2, 2, 1, 1, 0, 4, 2, 3, 1, 0, 0, 2, 4, 3, 3, 1])
+    rows = np.zeros((23, 65), np.uint8)
+    for i, k in enumerate(kinds):
+        for j in range(64):
+            a = int(pixels[i, j - 1]) if j else 0
+            b = int(pixels[i - 1, j]) if i else 0
+            c = int(pixels[i - 1, j - 1]) if i and j else 0
+            p = a + b - c
+            guess = [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][k]
+            rows[i, j + 1] = (int(pixels[i, j]) - guess) % 256
+        rows[i, 0] = k
+    assert (media.unfilter(rows) == pixels).all()
+    png = media.encode(pixels.tobytes())
+    assert (media.decode(png) == pixels).all()
+    with pytest.raises(ValueError, match="checksum"):
+        media.decode(png[:40] + bytes([png[40] ^ 1]) + png[41:])
+
+
+def test_cosine_hash_is_a_cosine_transform():
+    pixels = np.random.default_rng(4).integers(0, 256, (32, 32)).astype(np.uint8)
+    waves = [sum(pixels[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)][1:]
+    bits = "0" + "".join("1" if w > np.median(waves) else "0" for w in waves)
+    assert media.cosine_hash(pixels) == int(bits, 2).to_bytes(8, "big")
+
+
+# 5
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    exact = Tokenizer.from_file(path)
+    out = packing.pack(docs, path, size=256).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = [*exact.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for s in range(0, len(ids), 256):
+            part = np.asarray(ids[s : s + 256], "<u4")
+            want[(r["doc_id"], s, len(part), zlib.crc32(part.tobytes()), len(ids))] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out) == want
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    total = sum(r["length"] for r in out)
+    assert len(sequences) <= total / 256 + 2
+    assert packing.pack(none, path).count() == 0
+
+
+def test_patterns_place_everything():
+    rng = random.Random(9)
+    for size in (8, 64, 2048):
+        histogram = {rng.randint(1, size): rng.randint(1, 500) for _ in range(min(size, 300))}
+        found = packing.patterns(histogram, size)
+        assert len(found) <= 2 * size
+        placed = Counter()
+        for parts, n in found:
+            assert 0 < sum(k * t for k, t in parts) <= size
+            for k, t in parts:
+                placed[k] += n * t
+        assert placed == histogram
+
+
+# 6
+
+
+def test_mixing(docs, none):
+    weights = {"src0": 3.0, "src1": 1.0}
+    out = mixing.mix(docs, weights, 2.0, block_rows=4, period=60)
+    rows = out.collect()
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert Counter(tuple(r)[: len(docs.columns)] for r in rows) == Counter(map(tuple, docs.collect()))
+    assert len({r["mix_pos"] for r in rows}) == len(rows)
+    streams = Counter(r["mix_stream"] for r in rows)
+    assert streams == Counter(r["source"] if r["source"] in weights else "*" for r in docs.collect())
+    truth = mixing.phases({k: -(-n // 4) for k, n in streams.items()}, {**weights, "*": 2.0}, 60)
+    slots = {(p["stream"], b): p["base"] + (b - p["lo"]) // p["share"] * p["period"] + p["slots"][(b - p["lo"]) % p["share"]] for p in truth for b in range(p["lo"], p["hi"])}
+    assert {(r["mix_stream"], r["mix_block"]): r["mix_slot"] for r in rows} == slots
+    assert len(set(slots.values())) == len(slots)
+    assert mixing.mix(none, weights, 2.0).count() == 0
+
+
+def test_deviation_is_below_one_block():
+    rng = random.Random(12)
+    for _ in range(40):
+        n = rng.randint(1, 9)
+        share = mixing.shares({f"s{i}": rng.random() + 0.01 for i in range(n)}, rng.choice([10, 97, 400]))
+        period, taken = sum(share.values()), mixing.earliest_deadline_first(share)
+        assert sorted(s for v in taken.values() for s in v) == list(range(period))
+        for k, slots in taken.items():
+            had = np.zeros(period + 1, np.int64)
+            had[1:] = np.cumsum(np.isin(np.arange(period), slots))
+            assert (np.abs(had - np.arange(period + 1) * share[k] / period) < 1).all()
+
+
+# 7
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc(spark, least):
+    html = [None, "", "<p>a</p>", "<p>a</p>", "é" * 70_000, "<p>\r\n\r\nb</p>", "é" * 70_000, "", "ab", "ab"]
+    rows = [(i, f"http://x/{i}" if i % 3 else None, h, "clash") for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, data string").repartition(3)
+    bundles = warc.store(warc.write_bundles(pages, least_bytes=least, frame_bytes=1000, bundle_bytes=100_000), str(spark.sparkContext.getCheckpointDir() or "/tmp/labelforge-warc"))
+    found = {r["id"]: r for r in warc.read_bundles(bundles).collect()}
+    payloads = {i: (h or "").encode() for i, _, h, _ in rows}
+    largest = {p: max(i for i in payloads if payloads[i] == p) for p in payloads.values()}
+    assert set(found) == set(payloads)
+    for i, p in payloads.items():
+        revisit = len(p) >= least and largest[p] != i
+        r = found[i]
+        assert (r["record_type"], r["refers_to"]) == (("revisit", largest[p]) if revisit else ("response", None))
+        assert r["payload"] == (None if revisit else p) and r["payload_bytes"] == len(p) and r["url"] == rows[i][1]
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(p).digest()).decode()
+    wanted = spark.createDataFrame([(4,), (6,), (99,)], "page_id long")
+    assert {r["id"]: r["payload_bytes"] for r in warc.look_up(bundles, wanted).collect()} == {4: 140_000, 6: 140_000}
+    assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+
+
+def test_bundle_is_plain_zstandard():
+    import io
+
+    import zstandard
+
+    frames = [b"a" * 1000, b"b" * 10, b"c" * 5000]
+    data = warc.bundle(frames)
+    assert [warc.frame(data, *t) for t in warc.seek_table(data)] == frames
+    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(frames)
+
+
+# 8
+
+
+def test_automaton_knows_exactly_the_substrings():
+    rng = random.Random(6)
+    text = rng.choices(range(3), k=60)
+    table = language_id.automaton(text, 3)
+    subs = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, 61)}
+    for _ in range(500):
+        probe, state = rng.choices(range(3), k=rng.randint(1, 7)), 1
+        for c in probe:
+            state = table[state, c] if state else 0
+        assert bool(state) == (tuple(probe) in subs)
+
+
+def test_phrases_are_those_of_a_plain_parse():
+    training = (("a", "the cat sat on the mat and the dog " * 5), ("b", "der hund und die katze auf der matte " * 5))
+    m = language_id.Model(training)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("the catdsruniz é", k=rng.choice([1, 7, 300, 512, 513, 1500]))) for _ in range(30)]
+    for text, row in zip(texts, m.phrases(texts), strict=True):
+        symbols = m.alphabet.symbols(text).tolist()
+        for k, (_, train) in enumerate(training):
+            known = bytes(m.alphabet.symbols(train).tolist())
+            n = 0
+            for w in range(0, len(symbols), language_id.WINDOW):
+                part, at = bytes(symbols[w : w + language_id.WINDOW]), 0
+                while at < len(part):
+                    size = 1
+                    while at + size < len(part) and part[at : at + size] in known and part[at : at + size + 1] in known:
+                        size += 1
+                    n += 1
+                    at += size
+            assert row[k] == n
+
+
+def test_language_id(spark, docs, none):
+    training = language_id.sample_training(docs, queries.MAY_LEARN)
+    out = {r["doc_id"]: r for r in language_id.identify(docs, training).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert out[r["doc_id"]]["lang_pred"] == "und" and out[r["doc_id"]]["score"] == 0
+        else:
+            assert out[r["doc_id"]]["lang_pred"] in ("de", "en") and 0 <= out[r["doc_id"]]["score"] <= 1
+    kept = language_id.keep_known(docs, training)
+    assert kept.columns == docs.columns
+    assert Counter(kept.collect()) == Counter(r for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+    assert language_id.sample_training(none, queries.MAY_LEARN) == ()
+    assert {r["lang_pred"] for r in language_id.identify(docs, ()).collect()} == {"und"}
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    out = [r for r in queries.op8_language_id(spark, sf).collect()]
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    held = [r for r in out if r["held_out"]]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) > 0.97
+
+
+# 9
+
+
+def simhash_truth(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(ids, fps, most):
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    distinct = sorted(set(fps))
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= most:
+                parent[root(a)] = root(b)
+    least = {}
+    for i, f in zip(ids, fps, strict=True):
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return [least.get(root(f)) for f in fps]
+
+
+@pytest.mark.parametrize("dense", [2, 16])
+def test_simhash(docs, none, dense):
+    rows = docs.collect()
+    fps = [simhash_truth(r["text"]) for r in rows]
+    want = Counter(zip([r["doc_id"] for r in rows], fps, reach([r["doc_id"] for r in rows], fps, 2), strict=True))
+    got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component"]) for r in simhash.near_groups(docs, dense=dense).collect())
+    assert got == want
+    assert simhash.near_groups(none).count() == 0
+
+
+@pytest.mark.parametrize(("most", "dense"), [(0, 16), (2, 3), (2, 50), (4, 3)])
+def test_links_are_whole(spark, most, dense):
+    rng = random.Random(most + dense)
+    fps = set()
+    for _ in range(12):
+        center = rng.getrandbits(64)
+        for _ in range(14):
+            x = center
+            for b in rng.sample(range(64), rng.randint(0, most + 1)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most, dense)
+    for r in edges.collect():
+        assert ((r["a"] ^ r["b"]) % (1 << 64)).bit_count() <= most
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert [got.get(x, x) for x in signed] == reach(signed, [x for x in fps], most) or {frozenset(y for y in signed if got.get(y, y) == got.get(x, x)) for x in signed} == {frozenset(y for y, c in zip(signed, reach(signed, fps, most), strict=True) if c == d) for d in set(reach(signed, fps, most))}
+
+
+def test_components_on_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 150)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(151)} | {200: 200, 201: 200}
+
+
+def test_keep_one_drops_near_copies_only(docs, none):
+    kept = simhash.keep_one(exact_dedup.drop_copies(docs))
+    assert kept.columns == docs.columns
+    rows = {r["doc_id"]: r["text"] or "" for r in exact_dedup.drop_copies(docs).collect() if r["doc_id"] is not None}
+
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+
+    sets = {i: shingles(t) for i, t in rows.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    ids = {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None}
+    with_copy = {b for _, b in near}
+    assert set(rows) - ids <= with_copy
+    assert len(set(rows) - ids) >= 0.9 * len(with_copy)
+    assert simhash.keep_one(none).count() == 0
+
+
+# 10
+
+
+def test_secret_scan(docs, none):
+    forest = secret_scan.train()
+    out = {r["doc_id"]: r for r in secret_scan.scan(docs, forest, path_col="source").collect()}
+    by_text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    key = next(i for i, t in by_text.items() if t and "11acdfb" in t)
+    fake = next(i for i, t in by_text.items() if t and "changeme" in t)
+    assert out[key]["n_secrets"] == 1 and out[key]["findings"].startswith("assigned:9:49")
+    assert out[fake]["n_candidates"] == 1 and out[fake]["n_secrets"] == 0
+    for i, r in out.items():
+        n, found = secret_scan.findings_in(by_text[i] or "", "", forest, 0.5)
+        assert r["n_candidates"] == n
+    assert secret_scan.scan(none, forest).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen():
+    forest = secret_scan.train()
+    rows = secret_scan.labelled_findings(1500, seed=99)
+    x = np.array([secret_scan.features(*r[:4]) for r in rows])
+    right = (forest.score(x) >= 0.5) == np.array([r[4] == 1 for r in rows])
+    assert right.mean() > 0.95
+
+
+def test_train_from_a_table(spark):
+    rows = secret_scan.labelled_findings(400)
+    table = spark.createDataFrame(rows, "candidate string, path string, before string, after string, label int")
+    assert secret_scan.train(table).score(np.array([secret_scan.features(*rows[1][:4])]))[0] > 0.5
