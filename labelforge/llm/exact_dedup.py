@@ -1,6 +1,7 @@
 """Exact dedup by skew-safe combining.
 
-Copies are combined three times, each time as a group of equal
+Rows whose digest occurs once (counted with local combining) are groups by
+themselves. Other copies are combined three times, each time as a group of equal
 ``(digest, content)`` so that full contents are compared, never digests alone:
 
 1. locally: Spark's partial aggregation leaves a row for each content and map task;
@@ -34,18 +35,21 @@ def combine(rows: DataFrame, measures: list, merges: list, salts: int) -> DataFr
     return salted.drop("__salt").repartition("__digest").groupBy(*keys).agg(*merges)
 
 
-def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, salts: int = 64, digest=_digest) -> DataFrame:
-    """Each row's group: ``id_col``, the columns ``keep``, ``digest``, ``keep_id``, ``group_size``, ``kept``.
+def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, salts: int = 64, digest=_digest, with_text: bool = False) -> DataFrame:
+    """Each row's group: ``id_col``, the columns ``keep``, ``digest``, ``keep_id``, ``group_size``, ``kept``
+    and, ``with_text``, ``content`` (the text, or an empty one for null).
 
     The largest id of a group stays. ``digest`` makes the grouping key from
     the text column; groups that share a digest but differ in content are
     told apart by content.
     """
     keep = list(keep or [])
-    text = text_of(text_col)
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text")).withColumn("__digest", digest(F.col("__text")))
+    named = [F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__kept_{i}") for i, c in enumerate(keep)]]
+    rows = docs.select(*named, text_of(text_col).alias("__text")).withColumn("__digest", digest(F.col("__text")))
+    # A digest that occurs once needs no comparison of contents.
+    repeated = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1").select("__digest")
     groups = combine(
-        rows,
+        rows.join(repeated, "__digest", "left_semi"),
         [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")],
         [F.max("__keep").alias("__keep"), F.sum("__size").alias("__size")],
         salts,
@@ -55,12 +59,10 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.count(F.lit(1)).alias("__contents"), F.max("__keep").alias("__keep"), F.max("__size").alias("__size")
     )
     multi = cut(by_digest.filter("__contents > 1 or __size > 1"))
-    named = [F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__kept_{i}") for i, c in enumerate(keep)]]
-    members = docs.select(*named, text.alias("__text")).withColumn("__digest", digest(F.col("__text")))
     if multi.filter("__contents > 1").isEmpty():
-        found = members.drop("__text").join(multi.drop("__contents"), "__digest", "left")
+        found = (rows if with_text else rows.drop("__text")).join(multi.drop("__contents"), "__digest", "left")
     else:  # some digest stands for several contents, so rows find their group by content
-        found = members.join(groups, ["__digest", "__text"], "left").drop("__text")
+        found = rows.join(groups, ["__digest", "__text"], "left")
     keep_id = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return found.select(
         F.col("__id").alias(id_col),
@@ -69,6 +71,7 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keep_id.alias("keep_id"),
         F.coalesce(F.col("__size"), F.lit(1)).cast("long").alias("group_size"),
         F.col("__id").eqNullSafe(keep_id).alias("kept"),
+        *([F.col("__text").alias("content")] if with_text else []),
     )
 
 

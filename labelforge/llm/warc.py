@@ -133,7 +133,7 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     ``index`` lists (id, frame, offset) of each record. The id is a whole number.
     """
-    marked = assign_copies(pages, id_col, text_col, keep=[url_col, text_col])
+    marked = assign_copies(pages, id_col, text_col, keep=[url_col], with_text=True)
 
     def run(batches):
         frames: list[bytes] = []
@@ -166,7 +166,7 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield close()
 
     schema = pa.schema([("bundle", pa.string()), ("data", pa.binary()), ("index", pa.list_(pa.struct([("id", pa.int64()), ("frame", pa.int64()), ("offset", pa.int64())])))])
-    source = marked.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text"), F.col("keep_id").cast("long").alias("keep"))
+    source = marked.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col("content").alias("text"), F.col("keep_id").cast("long").alias("keep"))
     return source.mapInArrow(run, "bundle string, data binary, index array<struct<id:long,frame:long,offset:long>>")
 
 
