@@ -19,8 +19,10 @@ empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,19 @@ from labelforge.llm.common import cut, rank_within, text_of
 
 #: Characters that Python's split() treats as white space and the tokenizer's \s doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-MOST_CACHED = 300_000
+MOST_CACHED = 1_000_000
+#: Characters that stay one character each, normalised or in lower case, with plain white space; their pre-tokens (fixed pattern of the tokenizer, for these characters).
+PLAIN = re.compile("[\\t-\\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 
 class Chunks(dict):
-    """Token ids, as bytes, of chunks without white space; emptied when it holds ``MOST_CACHED`` chunks."""
+    """Token ids, as bytes, of pre-tokens; emptied when it holds ``MOST_CACHED`` of them.
+
+    A text of plain characters is split into its pre-tokens in lower case. In
+    other texts that is done for each chunk between white space, and a chunk that
+    is not plain is kept whole. What is new of a text is encoded in one call.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -46,12 +56,14 @@ class Chunks(dict):
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        self[chunk] = ids
-        return ids
+    def learn(self, new: list[str]) -> None:
+        """Encode parts in one call: each token belongs to the part that its offset lies in."""
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        starts = np.cumsum([0, *(len(c) + 1 for c in new)])
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        edges = (4 * np.searchsorted(at, starts)).tolist()
+        self.update(zip(new, (ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True))
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers.
@@ -62,7 +74,16 @@ class Chunks(dict):
         """
         if "<|" in text or any(c in text for c in ODD):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if len(self) > MOST_CACHED:
+            self.clear()
+        if PLAIN(text):
+            parts = PARTS(text.lower())
+        else:
+            parts = list(chain.from_iterable(PARTS(c.lower()) if PLAIN(c) else (c,) for c in text.split()))
+        new = [part for part in set(parts) if part not in self]
+        if new:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, parts))
 
 
 @cache
