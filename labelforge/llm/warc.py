@@ -68,7 +68,7 @@ def record(identifier: int | None, url: str | None, payload: bytes, refers_to: i
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + END + block + END
 
 
-def bundle(frames: list[bytes], level: int = 3) -> bytes:
+def bundle(frames: list[bytes], level: int = 9) -> bytes:
     """Frames, each compressed by itself, and the seek table."""
     packed = [zstandard.ZstdCompressor(level=level).compress(f) for f in frames]
     table = b"".join(struct.pack("<II", len(p), len(f)) for p, f in zip(packed, frames, strict=True))
@@ -128,7 +128,7 @@ def facts(fields: dict[str, str], block: bytes) -> dict:
     }
 
 
-def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 22) -> DataFrame:
+def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0, frame_bytes: int = 1 << 19, bundle_bytes: int = 1 << 22) -> DataFrame:
     """``(bundle, data, index)``: bundles of about ``bundle_bytes`` before compression.
 
     ``index`` lists (id, frame, offset) of each record. The id is a whole number.
