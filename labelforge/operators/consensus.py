@@ -48,11 +48,14 @@ def pruned(rows: DataFrame) -> DataFrame:
 
 
 def canonical(labels: DataFrame) -> DataFrame:
-    """(isbn13, field, path): exact majorities and the most specific hierarchical candidates that add something, pruned."""
+    """(isbn13, field, path): exact majorities and the most specific hierarchical candidates that add something, pruned.
+
+    Reviews, silver labels and provenance each start from it, so it is kept.
+    """
     accepted = A.path_support(labels).filter("votes >= 2").select(*KEY, "path")
     over = with_ancestors(accepted).select(*KEY, F.explode("above").alias("path")).distinct()
     specific = pruned(hierarchical_candidates(labels)).join(over, [*KEY, "path"], "left_anti")
-    return pruned(accepted.unionByName(specific))
+    return pruned(accepted.unionByName(specific)).persist()
 
 
 def singleton_review(labels: DataFrame) -> DataFrame:

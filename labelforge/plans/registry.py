@@ -157,7 +157,8 @@ def _p(s, d):
 
 
 def _l(s, d):
-    return X.labels(s, d)
+    """The long label table, partitioned by book and kept: it feeds every metric, and is spilt to disk if it doesn't fit."""
+    return X.labels(s, d).repartition("isbn13").persist()
 
 
 def _pairs(s, d):
