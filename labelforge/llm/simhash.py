@@ -16,8 +16,9 @@ any two that close do share one, so no link is lost and no other is added
 (hence ``max_distance`` is even).
 
 ``near_copies`` serves pipelines that remove documents of a stated similarity:
-fingerprints of damped word counts (a word counts as often as its count has
-binary digits) find candidates at ``max_distance`` or fewer bits, and the Jaccard
+two fingerprints of damped word counts (a word counts as often as its count has
+binary digits; the seeds differ) find candidates where either pair is at
+``max_distance`` or fewer bits, and the Jaccard
 similarity of the candidates' shingle sets decides. In a dense bucket
 candidates are each member and the smallest member that shares one of its
 ``SKETCH`` min-hashes of shingles, so work stays linear there too; two texts at
@@ -81,15 +82,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def damped_fingerprint(words: list[bytes]) -> int:
-    """Fingerprint of words weighted by the binary digits of their counts."""
+#: Seeds of the two fingerprints that near_copies compares.
+DAMPED_SEEDS = (SEED, SEED + 1)
+
+
+def damped_fingerprints(words: list[bytes]) -> list[int]:
+    """Fingerprints of words weighted by the binary digits of their counts, one for each of ``DAMPED_SEEDS``."""
     counts = Counter(words)
-    if not counts:
-        return 0
-    hashes = np.fromiter(map(xxh64_intdigest, counts, repeat(SEED)), np.uint64, len(counts))
     weights = np.fromiter((n.bit_length() for n in counts.values()), np.int64, len(counts))
-    ones = weights @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<u8")[0])
+    found = []
+    for seed in DAMPED_SEEDS:
+        hashes = np.fromiter(map(xxh64_intdigest, counts, repeat(seed)), np.uint64, len(counts))
+        ones = weights @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        found.append(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<u8")[0]))
+    return found
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -185,20 +191,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def mark(batches):
         for b in batches:
-            fps, sketches = np.empty(b.num_rows, np.uint64), []
+            fps, sketches = np.empty((len(DAMPED_SEEDS), b.num_rows), np.uint64), []
             for i, text in enumerate(b.column(1)):
                 words = _words(text.as_py())
-                fps[i] = damped_fingerprint(words)
+                fps[:, i] = damped_fingerprints(words)
                 sketches.append(sketch(shingle_hashes(words, width)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))], ["id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.view(np.int64)) for f in fps), pa.array(sketches, pa.list_(pa.int64()))], ["id", "fp", "fp2", "sketch"])
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    marked = cut(source.mapInArrow(mark, f"id {kind}, fp long, sketch array<long>"))
-    keyed = marked.select("id", "fp", F.explode(F.array(*map(F.expr, _block_keys(max_distance)))).alias("key"))
+    marked = cut(source.mapInArrow(mark, f"id {kind}, fp long, fp2 long, sketch array<long>"))
+    blocks = [F.struct(F.expr(k).alias("key"), F.col("fp")) for k in _block_keys(max_distance)]
+    blocks += [F.struct(F.expr(f"{k.replace('(fp,', '(fp2,')} | shiftleft(1L, 56)").alias("key"), F.col("fp2").alias("fp")) for k in _block_keys(max_distance)]
+    keyed = marked.select("id", F.inline(F.array(*blocks)))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(keyed.join(shared, "key"))
     few = members.filter(F.col("n") <= dense)
