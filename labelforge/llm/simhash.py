@@ -17,12 +17,16 @@ any two that close do share one, so no link is lost and no other is added
 
 ``near_copies`` serves pipelines that remove documents of a stated similarity:
 two fingerprints of damped word counts (a word counts as often as its count has
-binary digits; the seeds differ) find candidates where either pair is at
-``max_distance`` or fewer bits, and the Jaccard
-similarity of the candidates' shingle sets decides. In a dense bucket
-candidates are each member and the smallest member that shares one of its
-``SKETCH`` min-hashes of shingles, so work stays linear there too; two texts at
-similarity 0.8 share none of four with a chance of 0.2^4.
+binary digits; the seeds differ) find candidates, and the Jaccard similarity of
+the candidates' shingle sets decides. Blocks are cut so that no pair at
+``max_distance`` or fewer bits is missed; pairs that share blocks are verified
+at ``2 * max_distance`` bits, since blocks meet many of the farther pairs too.
+Members of dense buckets meet again by keys of their own (``_star_keys``): one of
+``SKETCH`` min-hashes of shingles with a class of size, or two of the min-hashes.
+Where up to ``star`` share such a key, all their pairs are candidates; where
+more do, each is one with the smallest and the largest of them, so work stays
+linear. Two texts at similarity 0.8 share none of six min-hashes with a chance of 0.2^6.
+Sizes of shingle sets rule out candidates before any set is moved.
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
 null id is kept but never names a component unless nothing else can; an
@@ -31,6 +35,7 @@ empty table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -110,16 +115,23 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-#: Fixed odd multipliers of the min-hashes of a shingle set, from the golden ratio.
-SKETCH = 4
-MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(1, SKETCH + 1)]
+#: 2^64 divided by the golden ratio, made odd.
+SPREAD = 0x9E3779B97F4A7C15
+#: Min-hashes of a shingle set.
+SKETCH = 6
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
-    """Shingles with the smallest multiplied hash, one for each multiplier."""
+    """For each of ``SKETCH`` independent orders of all hashes the one that comes first."""
     if not len(hashes):
         return [0] * SKETCH
-    return [int(hashes[np.argmin(hashes * np.uint64(m))].view(np.int64)) for m in MULTIPLIERS]
+    found = []
+    for i in range(SKETCH):
+        # two multiply-and-fold rounds; one product alone would order small values alike for all i
+        mixed = (hashes ^ np.uint64(SPREAD * (i + 1) % (1 << 64))) * np.uint64(SPREAD)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(SPREAD)
+        found.append(int(hashes[np.argmin(mixed ^ (mixed >> np.uint64(32)))].view(np.int64)))
+    return found
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -184,44 +196,93 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 16) -> DataFrame:
+def _star_keys(similarity: float) -> str:
+    """SQL for the keys by which members of dense buckets meet.
+
+    Sets of at least ``similarity`` differ in size by that factor at most. Classes of size are twice as
+    wide as that, in two rows half a class apart, so such sets share a class in one of the rows.
+    """
+    step = -2 * math.log(similarity) if similarity < 1 else 1.0
+    keys = [f"xxhash64({i}, sketch[{i}], {row}, floor(ln(n) / {step!r}D + {row / 2}D))" for i in range(SKETCH) for row in (0, 1)]
+    keys += [f"xxhash64({i}, {j}, sketch[{i}], sketch[{j}])" for i, j in combinations(range(SKETCH), 2)]
+    return f"array_distinct(array({', '.join(keys)}))"
+
+
+def _alike(n: str, m: str, similarity: float) -> str:
+    """SQL: sets of these sizes can have the similarity."""
+    return f"least({n}, {m}) >= {similarity!r}D * greatest({n}, {m})"
+
+
+def _couples(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members (id, n, ...) of a bounded group ``key`` whose sizes allow the similarity; ``id_a`` is the larger id."""
+    left, right = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "key")) for side in "ab")
+    return left.join(right, "key").filter(f"id_a > id_b and {_alike('n_a', 'n_b', similarity)}")
+
+
+def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, side: str, most: int) -> DataFrame:
+    """``pairs`` with the set of the id in column ``side``.
+
+    An id may be in very many pairs: each ``most`` of them meet a copy of its set of their own, so copies
+    are fewer than pairs / ``most`` plus one for each id.
+    """
+    hot = counted.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    salted = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+    copies = sets.toDF(side, f"s{side}").join(hot, side, "left").select(side, f"s{side}", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+    return salted.join(copies, [side, "salt"]).drop("salt")
+
+
+def _similar(candidates: DataFrame, sets: DataFrame, similarity: float, most: int = 1000) -> DataFrame:
+    """The pairs ``(a, b)`` of the table ``candidates`` whose sets have the Jaccard similarity."""
+    both = _with_set(_with_set(candidates, candidates, sets, "b", most), candidates, sets, "a", most)
+    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).filter("common > 0").select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 16, star: int = 16) -> DataFrame:
     """``(id, component)`` of the ids with a near copy: shingle sets of ``width`` words have a Jaccard similarity of ``similarity`` or more."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).filter("id is not null")
     kind = source.schema["id"].dataType.simpleString()
 
     def mark(batches):
         for b in batches:
-            fps, sketches = np.empty((len(DAMPED_SEEDS), b.num_rows), np.uint64), []
+            fps, sizes, sketches = np.empty((len(DAMPED_SEEDS), b.num_rows), np.uint64), [], []
             for i, text in enumerate(b.column(1)):
                 words = _words(text.as_py())
                 fps[:, i] = damped_fingerprints(words)
-                sketches.append(sketch(shingle_hashes(words, width)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.view(np.int64)) for f in fps), pa.array(sketches, pa.list_(pa.int64()))], ["id", "fp", "fp2", "sketch"])
+                hashes = shingle_hashes(words, width)
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64).T.tolist(), pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "fps", "sketch"]
+            )
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    marked = cut(source.mapInArrow(mark, f"id {kind}, fp long, fp2 long, sketch array<long>"))
-    blocks = [F.struct(F.expr(k).alias("key"), F.col("fp")) for k in _block_keys(max_distance)]
-    blocks += [F.struct(F.expr(f"{k.replace('(fp,', '(fp2,')} | shiftleft(1L, 56)").alias("key"), F.col("fp2").alias("fp")) for k in _block_keys(max_distance)]
-    keyed = marked.select("id", F.inline(F.array(*blocks)))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a text without words is similar to none
+    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, fps array<long>, sketch array<long>").filter("n > 0"))
+    by_seed = marked.select("id", "n", F.posexplode("fps").alias("seed", "fp"))
+    blocks = F.array(*(F.expr(f"{k} | shiftleft(cast(seed as bigint), 56)") for k in _block_keys(max_distance)))
+    keyed = by_seed.select("id", "n", "fp", F.explode(blocks).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = cut(keyed.join(shared, "key"))
-    few = members.filter(F.col("n") <= dense)
-    left, right = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fa")), few.select("key", F.col("id").alias("b"), F.col("fp").alias("fb"))
-    pairs = left.join(right, "key").filter(f"a > b and bit_count(fa ^ fb) <= {max_distance}").select("a", "b")
-    many = members.filter(F.col("n") > dense).select("id").distinct()
-    named = marked.join(many, "id", "left_semi").select("id", F.explode(F.array_distinct("sketch")).alias("value"))
-    least = named.groupBy("value").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b <> top").drop("top")
-    stars = named.join(least, "value").filter("id <> b").select(F.col("id").alias("a"), "b")
-    candidates = cut(pairs.union(stars).distinct())
+    few = members.filter(F.col("members") <= dense)
+    close = _couples(few.select("id", "n", "fp", "key"), similarity).filter(f"bit_count(fp_a ^ fp_b) <= {2 * max_distance}")
+    many = members.filter(F.col("members") > dense).select("id").distinct()
+    named = marked.join(many, "id", "left_semi").select("id", "n", F.explode(F.expr(_star_keys(similarity))).alias("key"))
+    groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("least"), F.max(F.struct("id", "n")).alias("most")).filter("members > 1")
+    named = cut(named.join(groups, "key"))
+    small = _couples(named.filter(F.col("members") <= star).select("id", "n", "key"), similarity)
+    ends = named.filter(F.col("members") > star).select("id", "n", F.explode(F.array("least", "most")).alias("end"))
+    stars = ends.filter(f"id <> end.id and {_alike('n', 'end.n', similarity)}").select(F.greatest("id", "end.id").alias("id_a"), F.least("id", "end.id").alias("id_b"))
+    candidates = close.select("id_a", "id_b").union(small.select("id_a", "id_b")).union(stars)
+    candidates = cut(candidates.distinct().toDF("a", "b"))
     asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(source.join(asked, "id", "left_semi").mapInArrow(shingle, f"id {kind}, shingles array<long>"))
-    both = candidates.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    linked = both.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).filter("common > 0").select("a", "b")
-    return components(linked).select(F.col("node").alias("id"), "component")
+    return components(_similar(candidates, sets, similarity)).select(F.col("node").alias("id"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
