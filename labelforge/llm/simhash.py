@@ -21,11 +21,11 @@ binary digits; the seeds differ) find candidates, and the Jaccard similarity of
 the candidates' shingle sets decides. Blocks are cut so that no pair at
 ``max_distance`` or fewer bits is missed; pairs that share blocks are verified
 at ``2 * max_distance`` bits, since blocks meet many of the farther pairs too.
-Members of dense buckets meet again by keys of their own (``_star_keys``): one of
-``SKETCH`` min-hashes of shingles with a class of size, or two of the min-hashes.
-Where up to ``star`` share such a key, all their pairs are candidates; where
+Members of dense buckets meet again by each of ``SKETCH`` min-hashes of shingles.
+Where up to ``star`` share one, all their pairs are candidates; where
 more do, each is one with the smallest and the largest of them, so work stays
-linear. Two texts at similarity 0.8 share none of six min-hashes with a chance of 0.2^6.
+linear. Two texts at similarity 0.8 share none of four min-hashes with a chance of 0.2^4.
+All candidates are verified by Hamming distance.
 Sizes of shingle sets rule out candidates before any set is moved.
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
@@ -35,7 +35,6 @@ empty table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -118,7 +117,7 @@ def _words(text: str | None) -> list[bytes]:
 #: 2^64 divided by the golden ratio, made odd.
 SPREAD = 0x9E3779B97F4A7C15
 #: Min-hashes of a shingle set.
-SKETCH = 6
+SKETCH = 4
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
@@ -196,27 +195,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def _star_keys(similarity: float) -> str:
-    """SQL for the keys by which members of dense buckets meet.
-
-    Sets of at least ``similarity`` differ in size by that factor at most. Classes of size are twice as
-    wide as that, in two rows half a class apart, so such sets share a class in one of the rows.
-    """
-    step = -2 * math.log(similarity) if similarity < 1 else 1.0
-    keys = [f"xxhash64({i}, sketch[{i}], {row}, floor(ln(n) / {step!r}D + {row / 2}D))" for i in range(SKETCH) for row in (0, 1)]
-    keys += [f"xxhash64({i}, {j}, sketch[{i}], sketch[{j}])" for i, j in combinations(range(SKETCH), 2)]
-    return f"array_distinct(array({', '.join(keys)}))"
-
-
-def _alike(n: str, m: str, similarity: float) -> str:
-    """SQL: sets of these sizes can have the similarity."""
-    return f"least({n}, {m}) >= {similarity!r}D * greatest({n}, {m})"
+def _couples(members: DataFrame) -> DataFrame:
+    """Pairs of members (id, key, ...) of groups of bounded size; ``a`` is the larger id."""
+    left, right = (members.select("key", F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c not in ("id", "key"))) for side in "ab")
+    return left.join(right, "key").filter("a > b")
 
 
-def _couples(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of members (id, n, ...) of a bounded group ``key`` whose sizes allow the similarity; ``id_a`` is the larger id."""
-    left, right = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "key")) for side in "ab")
-    return left.join(right, "key").filter(f"id_a > id_b and {_alike('n_a', 'n_b', similarity)}")
+def _verified(pairs: DataFrame, marked: DataFrame, similarity: float, most_bits: int) -> DataFrame:
+    """The pairs whose set sizes allow the similarity and of whose fingerprints one pair is at ``most_bits`` or fewer bits."""
+    for side in "ab":
+        pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("fps").alias(f"fps_{side}")), side)
+    sizes = f"least(n_a, n_b) >= {similarity!r}D * greatest(n_a, n_b)"
+    return pairs.filter(f"{sizes} and exists(zip_with(fps_a, fps_b, (x, y) -> bit_count(x ^ y)), d -> d <= {most_bits})").select("a", "b")
 
 
 def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, side: str, most: int) -> DataFrame:
@@ -264,22 +254,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # a text without words is similar to none
     marked = cut(source.mapInArrow(mark, f"id {kind}, n int, fps array<long>, sketch array<long>").filter("n > 0"))
-    by_seed = marked.select("id", "n", F.posexplode("fps").alias("seed", "fp"))
+    by_seed = marked.select("id", F.posexplode("fps").alias("seed", "fp"))
     blocks = F.array(*(F.expr(f"{k} | shiftleft(cast(seed as bigint), 56)") for k in _block_keys(max_distance)))
-    keyed = by_seed.select("id", "n", "fp", F.explode(blocks).alias("key"))
+    keyed = by_seed.select("id", "fp", F.explode(blocks).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = cut(keyed.join(shared, "key"))
     few = members.filter(F.col("members") <= dense)
-    close = _couples(few.select("id", "n", "fp", "key"), similarity).filter(f"bit_count(fp_a ^ fp_b) <= {2 * max_distance}")
+    close = _couples(few.select("id", "fp", "key")).filter(f"bit_count(fp_a ^ fp_b) <= {2 * max_distance}").select("a", "b")
     many = members.filter(F.col("members") > dense).select("id").distinct()
-    named = marked.join(many, "id", "left_semi").select("id", "n", F.explode(F.expr(_star_keys(similarity))).alias("key"))
-    groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("least"), F.max(F.struct("id", "n")).alias("most")).filter("members > 1")
+    named = marked.join(many, "id", "left_semi").select("id", F.posexplode("sketch").alias("nth", "value")).select("id", F.xxhash64("nth", "value").alias("key"))
+    groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).filter("members > 1")
     named = cut(named.join(groups, "key"))
-    small = _couples(named.filter(F.col("members") <= star).select("id", "n", "key"), similarity)
-    ends = named.filter(F.col("members") > star).select("id", "n", F.explode(F.array("least", "most")).alias("end"))
-    stars = ends.filter(f"id <> end.id and {_alike('n', 'end.n', similarity)}").select(F.greatest("id", "end.id").alias("id_a"), F.least("id", "end.id").alias("id_b"))
-    candidates = close.select("id_a", "id_b").union(small.select("id_a", "id_b")).union(stars)
-    candidates = cut(candidates.distinct().toDF("a", "b"))
+    small = _couples(named.filter(F.col("members") <= star).select("id", "key")).select("a", "b")
+    ends = named.filter(F.col("members") > star).select("id", F.explode(F.array("least", "most")).alias("end")).filter("id <> end")
+    stars = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b"))
+    candidates = cut(_verified(close.union(small).union(stars).distinct(), marked, similarity, 2 * max_distance))
     asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(source.join(asked, "id", "left_semi").mapInArrow(shingle, f"id {kind}, shingles array<long>"))
     return components(_similar(candidates, sets, similarity)).select(F.col("node").alias("id"), "component")
