@@ -1,7 +1,7 @@
 """Exact dedup by skew-safe combining.
 
 Rows whose digest occurs once (counted with local combining) are groups by
-themselves. Other copies are combined three times, each time as a group of equal
+themselves; the lookup of the others is salted for digests of very many rows. Other copies are combined three times, each time as a group of equal
 ``(digest, content)`` so that full contents are compared, never digests alone:
 
 1. locally: Spark's partial aggregation leaves a row for each content and map task;
@@ -35,6 +35,20 @@ def combine(rows: DataFrame, measures: list, merges: list, salts: int) -> DataFr
     return salted.drop("__salt").repartition("__digest").groupBy(*keys).agg(*merges)
 
 
+def _look_up(rows: DataFrame, digests: DataFrame, n_rows: int, salts: int, how: str, shares: int = 1000) -> DataFrame:
+    """``rows`` joined to the table ``digests`` (``__digest``, ``__size``, ...) by digest.
+
+    Digests with more than one in ``shares`` of all rows, fewer than ``shares`` of them, are known to every
+    task (a broadcast of that bound); their rows are dealt over ``salts`` copies of the digest.
+    """
+    is_hot = F.col("__size") * shares > n_rows
+    hot = F.broadcast(digests.filter(is_hot).select("__digest", F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.lit(salts))).otherwise(F.lit(0))
+    dealt = rows.join(hot, "__digest", "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    copies = digests.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))))
+    return dealt.join(copies, ["__digest", "__salt"], how).drop("__salt")
+
+
 def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, salts: int = 64, digest=_digest, with_text: bool = False) -> DataFrame:
     """Each row's group: ``id_col``, the columns ``keep``, ``digest``, ``keep_id``, ``group_size``, ``kept``
     and, ``with_text``, ``content`` (the text, or an empty one for null).
@@ -47,9 +61,10 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = [F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__kept_{i}") for i, c in enumerate(keep)]]
     rows = docs.select(*named, text_of(text_col).alias("__text")).withColumn("__digest", digest(F.col("__text")))
     # A digest that occurs once needs no comparison of contents.
-    repeated = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1").select("__digest")
+    repeated = cut(rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1"))
+    n_rows = docs.count()
     groups = combine(
-        rows.join(repeated, "__digest", "left_semi"),
+        _look_up(rows, repeated, n_rows, salts, "left_semi"),
         [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")],
         [F.max("__keep").alias("__keep"), F.sum("__size").alias("__size")],
         salts,
@@ -60,7 +75,7 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     multi = cut(by_digest.filter("__contents > 1 or __size > 1"))
     if multi.filter("__contents > 1").isEmpty():
-        found = (rows if with_text else rows.drop("__text")).join(multi.drop("__contents"), "__digest", "left")
+        found = _look_up(rows if with_text else rows.drop("__text"), multi.drop("__contents"), n_rows, salts, "left")
     else:  # some digest stands for several contents, so rows find their group by content
         found = rows.join(groups, ["__digest", "__text"], "left")
     keep_id = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
