@@ -15,18 +15,19 @@ value. Members that share such a value are at most ``max_distance`` apart and
 any two that close do share one, so no link is lost and no other is added
 (hence ``max_distance`` is even).
 
-``near_copies`` serves pipelines that remove documents of a stated similarity:
-two fingerprints of damped word counts (a word counts as often as its count has
-binary digits; the seeds differ) find candidates, and the Jaccard similarity of
-the candidates' shingle sets decides. Blocks are cut so that no pair at
-``max_distance`` or fewer bits is missed; pairs that share blocks are verified
-at ``2 * max_distance`` bits, since blocks meet many of the farther pairs too.
-Members of dense buckets meet again by each of ``SKETCH`` min-hashes of shingles.
-Where up to ``star`` share one, all their pairs are candidates; where
-more do, each is one with the smallest and the largest of them, so work stays
-linear. Two texts at similarity 0.8 share none of four min-hashes with a chance of 0.2^4.
-All candidates are verified by Hamming distance.
-Sizes of shingle sets rule out candidates before any set is moved.
+``near_copies`` serves pipelines that remove documents of a stated similarity. It
+is exact: a prefix join finds every pair whose sets of shingles reach the Jaccard
+similarity t. All sets are put in one order of shingles. Sets of n and
+m shingles at t share at least ceil(t * n) of them, so the first that they
+share is among the first n - ceil(t * n) + 1 of each, and the second among one
+more. Sets meet by shingles of that prefix; where over ``dense`` meet by one, they meet by it and
+a second shingle instead. No group is capped or passed over.
+
+Shingles that are frequent in a sample of ``SAMPLE`` texts come last in the order, so that
+passages and boilerplate are hardly ever in a prefix. The sample decides about work,
+never about results. Equal sets are linked to the smallest id and go on as
+one. What is ruled out before any set is moved is ruled out by upper bounds on what two sets share: by sizes
+and places in the order, then by numbers of shingles in each of ``BINS`` classes.
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
 null id is kept but never names a component unless nothing else can; an
@@ -35,14 +36,15 @@ empty table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -86,22 +88,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-#: Seeds of the two fingerprints that near_copies compares.
-DAMPED_SEEDS = (SEED, SEED + 1)
-
-
-def damped_fingerprints(words: list[bytes]) -> list[int]:
-    """Fingerprints of words weighted by the binary digits of their counts, one for each of ``DAMPED_SEEDS``."""
-    counts = Counter(words)
-    weights = np.fromiter((n.bit_length() for n in counts.values()), np.int64, len(counts))
-    found = []
-    for seed in DAMPED_SEEDS:
-        hashes = np.fromiter(map(xxh64_intdigest, counts, repeat(seed)), np.uint64, len(counts))
-        ones = weights @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        found.append(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<u8")[0]))
-    return found
-
-
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     """Distinct hashes of shingles; fewer words than ``width`` are one shingle, no word is none."""
     if len(words) < width:
@@ -116,21 +102,31 @@ def _words(text: str | None) -> list[bytes]:
 
 #: 2^64 divided by the golden ratio, made odd.
 SPREAD = 0x9E3779B97F4A7C15
-#: Min-hashes of a shingle set.
-SKETCH = 4
+#: Texts of the sample that tells frequent shingles, and how many of those are told at most.
+SAMPLE, MOST_FREQUENT = 10_000, 200_000
+#: Classes of shingles whose numbers bound what two sets share.
+BINS = 64
+
+
+def _least_shared(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares at least with any at ``similarity``; rounding never adds to them."""
+    return max(1, math.ceil(similarity * n - 1e-6))
+
 
+def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """``hashes`` in the order of the prefix join: those in ``frequent`` last and as there."""
+    if not len(frequent):
+        return np.sort(hashes)
+    by_hash = np.argsort(frequent)
+    at = np.minimum(np.searchsorted(frequent, hashes, sorter=by_hash), len(frequent) - 1)
+    place = np.where(frequent[by_hash[at]] == hashes, by_hash[at] + 1, 0)
+    return hashes[np.lexsort((hashes, place))]
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """For each of ``SKETCH`` independent orders of all hashes the one that comes first."""
-    if not len(hashes):
-        return [0] * SKETCH
-    found = []
-    for i in range(SKETCH):
-        # two multiply-and-fold rounds; one product alone would order small values alike for all i
-        mixed = (hashes ^ np.uint64(SPREAD * (i + 1) % (1 << 64))) * np.uint64(SPREAD)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(SPREAD)
-        found.append(int(hashes[np.argmin(mixed ^ (mixed >> np.uint64(32)))].view(np.int64)))
-    return found
+
+def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A key for two shingles in order."""
+    mixed = (first * np.uint64(SPREAD)) ^ second
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(SPREAD)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -195,18 +191,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def _couples(members: DataFrame) -> DataFrame:
-    """Pairs of members (id, key, ...) of groups of bounded size; ``a`` is the larger id."""
-    left, right = (members.select("key", F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c not in ("id", "key"))) for side in "ab")
-    return left.join(right, "key").filter("a > b")
+def _grouped(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key others have too, with the number of its ``members``."""
+    return cut(keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1"))
+
+
+def _couples(members: DataFrame, similarity: float, shared: int, most: int = 256) -> DataFrame:
+    """Pairs ``(a, b)``, ``a`` the larger id, of members (id, key, n, place, members) of a group.
+
+    ``place`` is that of the ``shared``-th shingle of those that two have in common, so the shingles after it bound what more they can share. A
+    group of over ``most`` members is dealt into parts, and each pair of parts is a group of its own.
+    """
+    parts = F.ceil(F.col("members") / most).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = dealt.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    right = dealt.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("other"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    bound = f"{shared} + least(n_a - place_a, n_b - place_b) - 1"
+    return left.join(right, ["key", "part", "other"]).filter(f"a > b and {_may_share(bound, similarity)}").select("a", "b")
+
+
+def _may_share(bound: str, similarity: float) -> str:
+    """SQL: sets of n_a and n_b shingles that share ``bound`` at most may be at ``similarity``."""
+    return f"({bound}) * {1 + similarity!r}D + 1e-6D >= {similarity!r}D * (n_a + n_b) and least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, similarity: float, most_bits: int) -> DataFrame:
-    """The pairs whose set sizes allow the similarity and of whose fingerprints one pair is at ``most_bits`` or fewer bits."""
+def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose numbers of shingles in each class allow the similarity."""
     for side in "ab":
-        pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("fps").alias(f"fps_{side}")), side)
-    sizes = f"least(n_a, n_b) >= {similarity!r}D * greatest(n_a, n_b)"
-    return pairs.filter(f"{sizes} and exists(zip_with(fps_a, fps_b, (x, y) -> bit_count(x ^ y)), d -> d <= {most_bits})").select("a", "b")
+        pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}")), side)
+    bound = "aggregate(zip_with(bins_a, bins_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)"
+    return pairs.filter(_may_share(bound, similarity)).select("a", "b")
 
 
 def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, side: str, most: int) -> DataFrame:
@@ -229,49 +243,89 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float, most: in
     return both.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).filter("common > 0").select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 16, star: int = 16) -> DataFrame:
+def _frequent(source: DataFrame, width: int) -> np.ndarray:
+    """Shingles that three or more texts of a sample hold, the most frequent last."""
+
+    def shingle(batches):
+        for b in batches:
+            sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["h"])
+
+    parts = max(1, source.count() // SAMPLE)
+    sample = source.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("text").mapInArrow(shingle, "h long")
+    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
+    return np.array([r["h"] for r in found.collect()][::-1], np.int64).view(np.uint64)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, dense: int = 128) -> DataFrame:
     """``(id, component)`` of the ids with a near copy: shingle sets of ``width`` words have a Jaccard similarity of ``similarity`` or more."""
+    if not 0.5 < similarity <= 1:
+        raise ValueError("similarity is over 0.5 and at most 1")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).filter("id is not null")
     kind = source.schema["id"].dataType.simpleString()
 
     def mark(batches):
         for b in batches:
-            fps, sizes, sketches = np.empty((len(DAMPED_SEEDS), b.num_rows), np.uint64), [], []
-            for i, text in enumerate(b.column(1)):
-                words = _words(text.as_py())
-                fps[:, i] = damped_fingerprints(words)
-                hashes = shingle_hashes(words, width)
+            sizes, bins, digests = [], [], []
+            for text in b.column(1):
+                hashes = shingle_hashes(_words(text.as_py()), width)
                 sizes.append(len(hashes))
-                sketches.append(sketch(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64).T.tolist(), pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "fps", "sketch"]
-            )
+                bins.append(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32))
+                digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(digests, pa.binary())], ["id", "n", "bins", "digest"])
+
+    def prefixes(batches):
+        for b in batches:
+            ids, keys, sizes, places = [], [], [], []
+            for i, text in enumerate(b.column(1)):
+                hashes = ordered(shingle_hashes(_words(text.as_py()), width), frequent)
+                n = len(hashes)
+                k = n - _least_shared(n, similarity) + 1
+                ids.append(np.full(k, i))
+                keys.append(hashes[:k])
+                sizes.append(np.full(k, n, np.int32))
+                places.append(np.arange(k, dtype=np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], sizes, places))], names)
+
+    def seconds(batches):
+        for b in batches:
+            ids, keys, sizes, places = [], [], [], []
+            for i, (text, firsts) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                hashes = ordered(shingle_hashes(_words(text.as_py()), width), frequent)
+                n = len(hashes)
+                k = min(n, n - _least_shared(n, similarity) + 2)
+                for first in firsts.as_py():
+                    ids.append(np.full(k - first - 1, i))
+                    keys.append(_both(hashes[first], hashes[first + 1 : k]))
+                    sizes.append(np.full(k - first - 1, n, np.int32))
+                    places.append(np.arange(first + 1, k, dtype=np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], sizes, places))], names)
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
+    names = ["id", "key", "n", "place"]
+    layout = f"id {kind}, key long, n int, place int"
+    frequent = _frequent(source, width)
     # a text without words is similar to none
-    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, fps array<long>, sketch array<long>").filter("n > 0"))
-    by_seed = marked.select("id", F.posexplode("fps").alias("seed", "fp"))
-    blocks = F.array(*(F.expr(f"{k} | shiftleft(cast(seed as bigint), 56)") for k in _block_keys(max_distance)))
-    keyed = by_seed.select("id", "fp", F.explode(blocks).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = cut(keyed.join(shared, "key"))
-    few = members.filter(F.col("members") <= dense)
-    close = _couples(few.select("id", "fp", "key")).filter(f"bit_count(fp_a ^ fp_b) <= {2 * max_distance}").select("a", "b")
-    many = members.filter(F.col("members") > dense).select("id").distinct()
-    named = marked.join(many, "id", "left_semi").select("id", F.posexplode("sketch").alias("nth", "value")).select("id", F.xxhash64("nth", "value").alias("key"))
-    groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).filter("members > 1")
-    named = cut(named.join(groups, "key"))
-    small = _couples(named.filter(F.col("members") <= star).select("id", "key")).select("a", "b")
-    ends = named.filter(F.col("members") > star).select("id", F.explode(F.array("least", "most")).alias("end")).filter("id <> end")
-    stars = ends.select(F.greatest("id", "end").alias("a"), F.least("id", "end").alias("b"))
-    candidates = cut(_verified(close.union(small).union(stars).distinct(), marked, similarity, 2 * max_distance))
+    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, bins array<int>, digest binary").filter("n > 0"))
+    alike = marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    equal = cut(marked.join(alike, "digest").filter("id <> b").select(F.col("id").alias("a"), "b"))
+    worded = marked.join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id")
+    alone = source.join(worded, "id", "left_semi")
+    members = _grouped(alone.mapInArrow(prefixes, layout))
+    few = _couples(members.filter(F.col("members") <= dense), similarity, 1)
+    firsts = members.filter(F.col("members") > dense).groupBy("id").agg(F.collect_list("place").alias("firsts"))
+    again = _grouped(source.join(firsts, "id").select("id", "text", "firsts").mapInArrow(seconds, layout))
+    many = _couples(again, similarity, 2)
+    candidates = cut(_verified(few.union(many).distinct(), marked, similarity))
     asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(source.join(asked, "id", "left_semi").mapInArrow(shingle, f"id {kind}, shingles array<long>"))
-    return components(_similar(candidates, sets, similarity)).select(F.col("node").alias("id"), "component")
+    return components(_similar(candidates, sets, similarity).union(equal)).select(F.col("node").alias("id"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

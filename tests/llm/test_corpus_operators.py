@@ -464,6 +464,32 @@ def test_keep_one_drops_near_copies_only(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("dense", [2, 128])
+def test_near_copies_are_all_found_where_many_share_passages(spark, dense):
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        own = [*passage, *(f"w{rng.randint(0, 900)}" for _ in range(rng.choice([10, 40, 60])))]
+        texts += [" ".join(own), " ".join(own).replace(f"p{rng.randint(0, 149)} ", f"x{i} ", 1), " ".join(passage[: rng.randint(6, 150)])]
+    sets = [{t for t in zip(*(w[j:] for j in range(5)), strict=False)} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.near_copies(docs, dense=dense).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
+
+
 # 10
 
 
