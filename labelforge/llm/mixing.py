@@ -4,13 +4,15 @@ A source's rows are dealt into blocks of ``block_rows``. Block j of a source
 with share w of the slots is released at floor(j / w) and due at
 ceil((j + 1) / w); each slot takes the released block with the earliest
 deadline. So after any number of slots a source has had its share of them to
-within less than one block. Shares are whole numbers of a period's ``period``
-slots (largest remainders), so the schedule repeats and a period is planned
-once on the driver, from weights and row counts of the streams alone.
+within less than one block. Shares are the weights themselves, as whole numbers
+without a common divisor, so the schedule repeats after their sum and is exact over any number
+of periods. A period is planned once on the driver, from weights and row counts of the
+streams alone, and no further than the phase goes. A caller may ask for shares that are
+rounded to a given ``period`` (largest remainders).
 
 When a stream has no block left, a new phase starts: the weights of the
 others are scaled up to 1 and a new schedule begins. The bound holds within each
-phase against that phase's shares. No row is dropped or repeated.
+phase against the target weights of its streams. Streams of weight 0 come after all others, in equal shares. No row is dropped or repeated.
 
 ``weights`` names the streams; rows of every other source, null included, form
 the stream ``*``, with weight ``other``. So the plan is bounded by the length of
@@ -26,6 +28,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,15 @@ from labelforge.llm.common import fresh, rank_within
 OTHER = "*"
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights, as they are written in decimals, as whole numbers without a common divisor."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {k: int(x * scale) for k, x in exact.items()}
+    divisor = math.gcd(*whole.values())
+    return {k: n // divisor for k, n in whole.items()}
+
+
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Slots of a period for each stream: at least one, by largest remainders."""
     period = max(period, len(weights))
@@ -49,14 +62,14 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def earliest_deadline_first(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots that each stream's blocks take within a period."""
+def earliest_deadline_first(share: dict[str, int], most: int | None = None) -> dict[str, list[int]]:
+    """Slots that each stream's blocks take within a period, or within its first ``most`` slots."""
     period = sum(share.values())
     waiting = [(0, k, 0) for k in sorted(share)]  # release, stream, block
     ready: list[tuple[int, str, int]] = []  # deadline, stream, block
     taken: dict[str, list[int]] = {k: [] for k in share}
     heapq.heapify(waiting)
-    for slot in range(period):
+    for slot in range(period if most is None else min(period, most)):
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // share[k]), k, j))
@@ -69,16 +82,19 @@ def earliest_deadline_first(share: dict[str, int]) -> dict[str, list[int]]:
     return taken
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
     """For each stream and phase: first and last block (excluded), blocks a period, first slot, slots in a period."""
     left = {k: n for k, n in blocks.items() if n}
     begun = dict.fromkeys(left, 0)
     base, rows = 0, []
     while left:
-        share = shares({k: weights[k] for k in left}, period)
-        plan, length = earliest_deadline_first(share), sum(share.values())
-        stop = min((n - 1) // share[k] * length + plan[k][(n - 1) % share[k]] for k, n in left.items()) + 1
-        for k in list(left):
+        due = {k: weights[k] for k in left if weights[k] > 0} or dict.fromkeys(left, 1)
+        share = shares(due, period) if period else exact_shares(due)
+        # each slot takes a block, so a stream runs out within as many slots as there are blocks
+        plan, length = earliest_deadline_first(share, sum(left[k] for k in due)), sum(share.values())
+        ends = ((n - 1) // share[k] * length + plan[k][(n - 1) % share[k]] for k, n in left.items() if k in due and (n - 1) % share[k] < len(plan[k]))
+        stop = min(ends) + 1
+        for k in due:
             n = stop // length * share[k] + sum(s < stop % length for s in plan[k])
             rows.append({"stream": k, "lo": begun[k], "hi": begun[k] + n, "share": share[k], "base": base, "period": length, "slots": plan[k]})
             begun[k] += n
@@ -92,7 +108,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
 _PLAN = "array<struct<stream:string,lo:long,hi:long,share:long,base:long,period:long,slots:array<long>>>"
 
 
-def mix(docs: DataFrame, weights: dict[str, float], other: float, block_rows: int = 16, period: int = 1000, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], other: float, block_rows: int = 16, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``mix_stream``, ``mix_block``, ``mix_slot`` and ``mix_pos``; ordering by ``mix_pos`` interleaves the streams.
 
     ``mix_pos`` is unique; it has gaps where a block is not full and at the

@@ -284,6 +284,22 @@ def test_deviation_is_below_one_block():
             assert (np.abs(had - np.arange(period + 1) * share[k] / period) < 1).all()
 
 
+@pytest.mark.parametrize("weights", [queries.WEIGHTS | {"*": queries.OTHER_WEIGHT}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1.0, "b": 0.333, "c": 2.00001}])
+def test_deviation_from_target_weights_over_many_periods(weights):
+    blocks = dict.fromkeys(weights, 4000)
+    first = [p for p in mixing.phases(blocks, weights) if not p["base"]]
+    order = sorted((b // p["share"] * p["period"] + p["slots"][b % p["share"]], p["stream"]) for p in first for b in range(p["hi"]))
+    assert [s for s, _ in order] == list(range(len(order))) and max(p["hi"] for p in first) == 4000
+    streams = np.array([k for _, k in order])
+    for k, w in weights.items():
+        assert (np.abs(np.cumsum(streams == k) - np.arange(1, len(order) + 1) * w / sum(weights.values())) < 1).all()
+
+
+def test_streams_without_weight_come_last():
+    plan = mixing.phases({"a": 5, "b": 3, "c": 2}, {"a": 2.0, "b": 0.0, "c": 1.0})
+    assert {(p["stream"], p["hi"] - p["lo"]) for p in plan if p["base"] >= 7} == {("b", 3)}
+
+
 # 7
 
 
