@@ -4,7 +4,9 @@ For each language a suffix automaton of labelled text is built. A text is
 parsed into phrases: each phrase is the longest match that the automaton allows
 from where the last one ended (a letter unknown to it is a phrase). Phrases per
 character times the logarithm of the training length estimate the cross
-entropy, and the language with the fewest normalised phrases wins; ties go to the
+entropy. A length under ``LEAST_LENGTH`` counts as that: so little text has phrases of hardly
+more than a letter, and by its own short length each would cost less than
+a letter does in the right language. Then the language with the fewest normalised phrases wins; ties go to the
 language that sorts first. The score is 1 minus the ratio of the winner's
 phrases to the runner-up's (1 if there is one language only).
 
@@ -12,7 +14,8 @@ Texts are parsed whole, in windows of ``WINDOW`` characters that are parsed side
 by side with numpy; a window's last phrase ends with it, for all languages
 alike. Automata are fitted on a bounded sample: ``rows_per_language`` labelled
 texts of each language, those with the smallest hash of id, and ``train_chars``
-characters taken evenly from them, which bounds model and closure.
+characters taken evenly from them, which bounds model and closure. Each language
+has its own length; one with little text shortens no other.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a letter is any character that Unicode calls one. Without labelled rows all
@@ -35,6 +38,7 @@ from labelforge.llm.common import slices
 UND = "und"
 WINDOW = 512
 MOST_SYMBOLS = 250
+LEAST_LENGTH = 4_000
 GAP = 1  # the symbol of all that is no letter; 0 is a letter that training has not
 
 
@@ -116,7 +120,7 @@ class Model:
             # state, which is that before a text and after an unknown letter, every move starts a phrase.
             first = np.where(table[1] > 0, table[1], len(table) - 1)
             self.tables.append(np.where(table > 0, table, -first[None, :]).astype(np.int32).ravel())
-            self.weights.append(math.log2(max(2, len(symbols))))
+            self.weights.append(math.log2(max(LEAST_LENGTH, len(symbols))))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language."""
@@ -180,9 +184,7 @@ def sample_training(docs: DataFrame, may_learn: str, id_col: str = "doc_id", tex
     texts: dict[str, str] = {}
     for r in share:
         texts[r["lang"]] = f"{texts.get(r['lang'], '')} {r['text']}" if len(texts.get(r["lang"], "")) < train_chars else texts[r["lang"]]
-    shortest = min(map(len, texts.values()), default=0)
-    most = max(min(train_chars, shortest), min(train_chars, 4_000))
-    return tuple((lang, texts[lang][:most]) for lang in sorted(texts))
+    return tuple((lang, texts[lang][:train_chars]) for lang in sorted(texts))
 
 
 def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -396,6 +396,20 @@ def test_held_out_accuracy(spark):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+@pytest.mark.parametrize("rare", ["hola", "a", "el veloz murciélago hindú comía feliz cardillo", "zwei kurze Sätze und noch einer dazu. " * 12])
+def test_a_language_of_one_short_text_wins_no_other(spark, rare):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = table.filter(f"not ({queries.MAY_LEARN})").filter(F.length("text") > 40).limit(150).collect()
+    more = table.filter(queries.MAY_LEARN).union(spark.createDataFrame([(-1, rare, "rare")], "doc_id long, text string, lang string"))
+    full = dict(language_id.sample_training(table, queries.MAY_LEARN))
+    training = language_id.sample_training(more, "true")
+    assert {k: len(v) for k, v in training if k != "rare"} == {k: len(v) for k, v in full.items()}
+    found = language_id.Model(training).predict([r["text"] for r in held])[0]
+    assert sum(x == r["lang"] for x, r in zip(found, held, strict=True)) / len(held) > 0.97
+
+
 # 9
 
 
