@@ -200,8 +200,13 @@ def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str
 
 
 def keep_known(docs: DataFrame, training: tuple[tuple[str, str], ...], text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that are in some language, with all their columns: not ``und`` and with a score of ``least_score`` or more."""
+    """The rows of ``docs`` that are in some language, with all their columns: not ``und`` and with a score of ``least_score`` or more.
+
+    Where no language could be learnt, rows with a letter stay.
+    """
     names = docs.columns
+    if not training:
+        return docs.filter(F.col(f"`{text_col}`").rlike("\\p{L}"))
 
     def run(batches):
         for b in batches:

@@ -410,6 +410,10 @@ def test_a_language_of_one_short_text_wins_no_other(spark, rare):
     assert sum(x == r["lang"] for x, r in zip(found, held, strict=True)) / len(held) > 0.97
 
 
+def test_documents_stay_where_nothing_was_learnt(docs):
+    assert Counter(language_id.keep_known(docs, ()).collect()) == Counter(r for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 # 9
 
 
