@@ -41,8 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    """Pieces of all documents in sequences of 2048 tokens; of each length, documents go out in the order in which mixing wrote them."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), in_file_order="parquet" in {f.rsplit(".", 1)[-1] for f in docs.inputFiles()[:1]})
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]

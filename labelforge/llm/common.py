@@ -55,17 +55,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], rank: str, rows_per_bucket: int = 50_000, least_buckets: int = 64) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], rank: str, rows_per_bucket: int = 50_000, least_buckets: int = 64, ranges: str | None = None) -> DataFrame:
     """Append ``rank``: 0-based, gapless position of each row among those with its ``key``.
 
     A key may hold most rows, so its rows are dealt over hash buckets first.
     Bucket sizes are added up per key (a table of keys x buckets) and each row
     gets its bucket's start plus its row number there. The order within a key
-    is by bucket, then ``order``. ``key`` must not be null.
+    is by bucket, then ``order``. ``key`` must not be null. ``ranges`` names a
+    column that deals rows instead of the hash; if it rises with
+    ``order``, so do ranks.
     """
     bucket, number, start, n = fresh(df, "__bucket", "__number", "__start", "__n")
-    buckets = max(least_buckets, -(-df.count() // rows_per_bucket))
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)))
+    if ranges:
+        dealt = df.withColumn(bucket, F.col(f"`{ranges}`"))
+    else:
+        buckets = max(least_buckets, -(-df.count() // rows_per_bucket))
+        dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)))
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(key, bucket)

@@ -9,7 +9,9 @@ only partly used is split in two. A length opens at most one group and splits
 at most one, so there are at most ``2 * size`` patterns, and a pattern holds
 fewer than ``sqrt(2 * size)`` distinct lengths, which bounds the slot table. Patterns go
 back to the pieces by rank: the k-th piece of a length takes the k-th slot of
-that length.
+that length. Pieces of a length are ranked by hash; or, ``in_file_order``, as the
+Parquet files of the documents hold them, so that of each length a pattern's earlier
+sequences, and earlier patterns, hold earlier documents.
 
 Defined results: a null or empty text is one piece with the closing id alone;
 repeated rows are packed each; rows with a null id are packed like others; an
@@ -91,8 +93,13 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, start, length, ids_crc32, doc_tokens)`` for each piece of each row."""
+#: Place of a row in a folder of Parquet files as Spark writes it: by number of the part and of its file, then by row.
+FILE, ROW = "_metadata.file_name", "_metadata.row_index"
+PART = f"coalesce(try_cast(regexp_extract({FILE}, 'part-([0-9]+)', 1) as bigint), 0) * 100000 + coalesce(try_cast(regexp_extract({FILE}, '-c([0-9]+)[.]', 1) as bigint), 0)"
+
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", in_file_order: bool = False) -> DataFrame:
+    """``(id, start, length, ids_crc32, doc_tokens)`` for each piece of each row, with ``part`` and ``row`` if ``in_file_order``."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -107,10 +114,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, i
                     rows.append(i)
                     for column, value in zip(columns, (start, len(part) // 4, zlib.crc32(part), tokens), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(c, pa.int64()) for c in columns), *(c.take(at) for c in b.columns[2:])], names)
 
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+    places = [F.expr(PART).alias("part"), F.expr(ROW).alias("row")] if in_file_order else []
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", *(["part", "row"] if in_file_order else [])]
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), *places)
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
@@ -155,9 +164,9 @@ def slots(found: list[tuple[list[tuple[int, int]], int]]) -> dict[int, list[tupl
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", in_file_order: bool = False) -> DataFrame:
     """A row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut_up = cut(pieces(docs, tokenizer, size, end_id, id_col, text_col))
+    cut_up = cut(pieces(docs, tokenizer, size, end_id, id_col, text_col, in_file_order))
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size rows at most
     plan = {k: np.asarray(v, np.int64).T for k, v in slots(patterns(histogram, size)).items()}
 
@@ -167,16 +176,19 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
-                starts, first, packs, _, base = plan[int(n)]
+                starts, first, packs, times, base = plan[int(n)]
                 k = np.searchsorted(starts, rank[at], "right") - 1
                 inside = rank[at] - starts[k]
-                sequence[at] = first[k] + inside % packs[k]
-                offset[at] = base[k] + inside // packs[k] * n
+                # in order, a pack is filled before the next
+                pack, nth = (inside // times[k], inside % times[k]) if in_file_order else (inside % packs[k], inside // packs[k])
+                sequence[at] = first[k] + pack
+                offset[at] = base[k] + nth * n
             yield pa.RecordBatch.from_arrays([*b.columns[2:], b.column(0), pa.array(sequence), pa.array(offset)], out)
 
     names = ["id", "start", "ids_crc32", "doc_tokens"]
     out = [*names, "length", "sequence_id", "offset"]
     kind = cut_up.schema["id"].dataType.simpleString()
-    ranked = rank_within(cut_up, "length", ["id", "start", "ids_crc32"], "rank").select("length", "rank", *names)
+    order, ranges = (["part", "row", "start"], "part") if in_file_order else (["id", "start", "ids_crc32"], None)
+    ranked = rank_within(cut_up, "length", order, "rank", ranges=ranges).select("length", "rank", *names)
     placed = ranked.mapInArrow(place, f"id {kind}, " + ", ".join(f"{n} long" for n in out[1:]))
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

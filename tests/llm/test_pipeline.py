@@ -33,3 +33,21 @@ def test_mixing_order_is_kept(spark, tmp_path):
     assert out.columns == docs.columns
     first = [r["source"] for r in out.collect()[:96]]
     assert first.count("src0") == 48 and all(first.count(f"src{i}") in (0, 16) for i in range(1, 5))
+
+
+def test_packing_takes_documents_in_the_order_of_mixing(spark, tmp_path):
+    from collections import defaultdict
+
+    rows = [(i, "a b c" if i % 2 else "a b " * 700, "en", f"src{i % 5}", 3) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ordered = pipeline.mixed(spark, docs, "")
+    want = {r["doc_id"]: i for i, r in enumerate(ordered.collect())}
+    ordered.write.option("maxRecordsPerFile", 150).parquet(str(tmp_path / "mixing"))
+    out = pipeline.packed(spark, spark.read.parquet(str(tmp_path / "mixing")), "").collect()
+    by_length = defaultdict(list)
+    for r in out:
+        by_length[r["length"]].append((r["sequence_id"], r["offset"], want[r["doc_id"]]))
+    for found in by_length.values():
+        places = [place for _, _, place in sorted(found)]
+        assert places == sorted(places)
+    assert len({r["doc_id"] for r in out}) == 2000
