@@ -3,7 +3,7 @@
 Words of the text (ASCII letters lower-cased) are joined by single spaces. A
 rule has keywords, a regex over that form, a label, a priority (smaller wins)
 and a confidence. Rules none of whose keywords occurs are skipped, as are
-whole texts without any root keyword. Every start of a rule counts, found with
+whole texts without any root, one of which is in whatever a built-in rule matches, or keyword of an extra rule. Every start of a rule counts, found with
 look-ahead, so a detection does not depend on where scanning began. A detection
 is suppressed if another contains its interval and has a smaller priority, or
 the same priority and a longer interval, or the same interval and an earlier
@@ -22,6 +22,7 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ CREATIVE = [
 CREATIVE_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 # Licenses without versions: label, keyword, name.
 PLAIN = [
-    ("mit", "mit", "(?:the )?(?:mit|expat|x11) licen[cs]e"),
+    ("mit", "mit|expat|x11", "(?:the )?(?:mit|expat|x11) licen[cs]e"),
     ("mit", "mit", "licen[cs]ed under(?: the)? mit"),
     ("mit-0", "mit", "mit no attribution"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd licen[cs]e)"),
@@ -109,7 +110,7 @@ PASSAGES = [
     ("boost-1.0", "boost", "distributed under the boost software license version 1 0"),
     ("zlib", "arising from", "in no event will the authors be held liable for any damages arising from the use of this software"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("cc0-1.0", "dedicated", "has (?:waived|dedicated) all copyright and related (?:or|and) neighboring rights"),
+    ("cc0-1.0", "neighboring rights", "has (?:waived|dedicated) all copyright and related (?:or|and) neighboring rights"),
     ("warranty", "warranty", "without warranty of any kind(?: express or implied)?"),
     ("warranty", "warranties", "any express or implied warranties including but not limited to"),
 ]
@@ -122,7 +123,7 @@ NOTICES = [
     ("license-reference", "see", "see (?:the )?(?:file )?(?:license|licence|copying|notice)(?: txt| md)?(?: file)? for (?:details|more|the|terms|full)"),
     ("license-reference", "licen", "(?:released|licen[cs]ed|distributed|published|available) under(?: the)?(?: terms of(?: the)?)?(?: [^ ]+){0,3} licen[cs]e"),
 ]
-ROOTS = "licen|lgpl|agpl|gpl|cc0| cc by|creative ?commons|copyright|rights reserved|public domain|spdx|warrant|redistribut|hereby granted|permission to use|endorse or promote|unencumbered|neighboring rights|substantial portions|free software|software foundation|advertising materials|source code form|arising from|apache|bsd|mpl|epl|cddl|cpl|eupl|ofl|osl|afl|zpl|odbl|lppl|busl|sspl|gfdl|wtfpl|mit no attribution|proprietary and confidential"
+ROOTS = "licen|attribution|see (?:the )?(?:file )?(?:copying|notice)|lgpl|agpl|gpl|cc0| cc by|creative ?commons|copyright|rights reserved|public domain|spdx|warrant|redistribut|hereby granted|permission to use|endorse or promote|unencumbered|neighboring rights|substantial portions|free software|software foundation|advertising materials|source code form|arising from|apache|bsd|mpl|epl|cddl|cpl|eupl|ofl|osl|afl|zpl|odbl|lppl|busl|sspl|gfdl|wtfpl|mit no attribution|proprietary and confidential"
 
 
 def words_of(version: str) -> str:
@@ -200,6 +201,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     table = rules()
     table += [r | {"id": len(table) + i} for i, r in enumerate(extra or [])]
     literal = json.dumps([{k: r[k] for k in ("id", "priority", "confidence", "label")} | {"keywords": r["keyword"].split("|")} | {"take": f"(?=( {r['regex']})(?= ))", "cut": f"(?= {r['regex']}(?= ))"} for r in table])
+    roots = "|".join([ROOTS, *(re.escape(k) for r in extra or [] for k in r["keyword"].split("|"))])
     base = "(?= (?:" + "|".join(BASE) + ")(?= ))"
     lowered = F.translate(text_of(text_col), UPPER, LOWER)
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.concat(F.lit("^ "), F.trim(F.regexp_replace(lowered, GAPS, " ")), F.lit(" ")).alias("line"))
@@ -209,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
         "line",
         F.expr(f"if(line = '^  ', 0, {spaces('line')} - 1)").cast("long").alias("n_words"),
         F.expr(f"case when {' or '.join(f'''contains(line, ' {p} ')''' for p in BASE)} then split(line, r'{base}', -1) end").alias("places"),
-        F.expr(f"rlike(line, '{ROOTS}')").alias("open"),
+        F.col("line").rlike(roots).alias("open"),
     )
     base_labels = "filter(array(" + ", ".join(f"if(contains(line, ' {p} '), '{label}', null)" for p, label in sorted(BASE.items(), key=lambda x: x[1])) + "), x -> x is not null)"
     based = counted.select(

@@ -104,6 +104,48 @@ def test_license_rules_are_bounded():
         assert len(r["regex"].split(" ")) + 8 < license_scan.OVERLAP
 
 
+def variants(regex):
+    """Texts that the regex matches: every branch of every choice, each optional part with and without."""
+    from re import _constants as op
+    from re import _parser
+
+    def some(parsed):
+        texts = [""]
+        for kind, value in parsed:
+            if kind is op.LITERAL:
+                more = [chr(value)]
+            elif kind is op.NOT_LITERAL:
+                more = ["q"]
+            elif kind is op.IN:
+                more = [chr(v if k is op.LITERAL else v[0]) for k, v in value]
+            elif kind is op.SUBPATTERN:
+                more = some(value[-1])
+            elif kind is op.BRANCH:
+                more = [t for branch in value[1] for t in some(branch)]
+            elif kind is op.MAX_REPEAT:
+                more = [*([""] if not value[0] else []), *(t * max(1, value[0]) for t in some(value[2]))]
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return some(_parser.parse(regex))
+
+
+def test_each_license_rule_fires_on_its_own_match(spark):
+    extra = [{"priority": 5, "confidence": 1.0, "label": "house", "keyword": "o.k|house", "regex": "house rules"}]
+    rules = license_scan.rules()
+    rows = [(t, r["id"]) for r in rules for t in sorted(set(variants(r["regex"])), key=len)[:12]] + [("house rules", len(rules))]
+    roots = re.compile(license_scan.ROOTS)
+    for r in rules:
+        for t in variants(r["regex"]):
+            assert re.fullmatch(r["regex"], t) and roots.search(f" {t} ") and any(k in t for k in r["keyword"].split("|")), (r, t)
+    texts = sorted({t for t, _ in rows})
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    for r in license_scan.scan(table, extra=extra).collect():
+        assert r["n_detections"] > 0 and r["score"] > 0, texts[r["doc_id"]]
+    named = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame([(0, "See COPYING for details"), (1, "Attribution-ShareAlike 4.0 International")], "doc_id long, text string")).collect()}
+    assert named == {0: "license-reference", 1: "cc-by-sa-4.0"}
+
+
 # 2
 
 
