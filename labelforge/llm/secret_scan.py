@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates come from patterns of known key shapes and of quoted or bare values
-after words such as ``token =``. Each candidate gets features of its length,
+after words such as ``token =``, whole at any length. Each candidate gets features of its length,
 of its character classes and the transitions between them, of how much of it
 dictionary words cover, of the path it was found in and of the neighbouring
 words. A forest of decision trees trained from labelled findings scores it;
@@ -36,13 +36,13 @@ MOST_ROWS = 20_000
 CONTEXT = 48
 SHAPES = {
     "aws-key-id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github-token": r"\bgh[pousr]_[0-9A-Za-z]{30,80}\b",
-    "slack-token": r"\bxox[abprs]-[0-9A-Za-z-]{10,80}\b",
+    "github-token": r"\bgh[pousr]_[0-9A-Za-z]{30,}+\b",
+    "slack-token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}\b",
     "google-key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}\b",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{8,400}\.eyJ[0-9A-Za-z_-]{8,2000}\.[0-9A-Za-z_-]{8,400}",
-    "private-key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assigned": r"(?i:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?)[\"']?[ \t]{0,4}(?:=|:|:=|=>)[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,200})",
+    "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
+    "jwt": r"\beyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "assigned": r"(?i:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?)[\"']?[ \t]*+(?:=|:|:=|=>)[ \t]*+[\"']?(?P<value>[^\s\"'<>,;]{6,}+)",
 }
 FINDER = re.compile("|".join(f"(?P<k{i}>{p})" for i, p in enumerate(SHAPES.values())))
 KINDS = list(SHAPES)

@@ -583,6 +583,14 @@ def test_secret_scan(docs, none):
     assert secret_scan.scan(none, forest).count() == 0
 
 
+def test_long_secrets_are_whole():
+    body = "aB3_" * 800
+    for text in (f"eyJ{body}.eyJ{body}.{body}", f"eyJ{'h' * 401}.eyJ{'p' * 2001}.{'s' * 683}", "ghp_" + "aB3x" * 50, "xoxb-" + "aB3-x" * 50, "sk_live_" + "aB3x" * 50):
+        assert [s[1:] for s in secret_scan.candidates(f"see {text} end")] == [(4, 4 + len(text))]
+    value = "aB3/" * 500
+    assert secret_scan.candidates(f'token          = "{value}" end') == [("assigned", 18, 18 + len(value))]
+
+
 def test_forest_on_findings_it_has_not_seen():
     forest = secret_scan.train()
     rows = secret_scan.labelled_findings(1500, seed=99)
