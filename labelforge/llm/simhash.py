@@ -223,6 +223,25 @@ def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return pairs.filter(_may_share(bound, similarity)).select("a", "b")
 
 
+def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
+    """The rows of ``source`` whose id is in ``ids``, a column id without repeats, with the other columns of ``ids``.
+
+    Most other rows are passed over by a table of at most ``slots`` hashes before the join, so that their texts aren't moved.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
+    taken = np.zeros(slots, bool)
+    taken[[r["slot"] for r in ids.select(slot).distinct().collect()]] = True
+    bits = np.packbits(taken)
+
+    def run(batches):
+        open_ = np.unpackbits(bits).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(open_[b.column(2).to_numpy()])).select(["id", "text"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.select("id", "text", slot).mapInArrow(run, f"id {kind}, text string").join(ids, "id")
+
+
 def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, side: str, most: int) -> DataFrame:
     """``pairs`` with the set of the id in column ``side``.
 
@@ -280,7 +299,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, text in enumerate(b.column(1)):
                 hashes = ordered(shingle_hashes(_words(text.as_py()), width), frequent)
                 n = len(hashes)
-                k = n - _least_shared(n, similarity) + 1
+                k = n - _least_shared(n, similarity) + 1 if n else 0
                 ids.append(np.full(k, i))
                 keys.append(hashes[:k])
                 sizes.append(np.full(k, n, np.int32))
@@ -315,16 +334,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = cut(source.mapInArrow(mark, f"id {kind}, n int, bins array<int>, digest binary").filter("n > 0"))
     alike = marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     equal = cut(marked.join(alike, "digest").filter("id <> b").select(F.col("id").alias("a"), "b"))
-    worded = marked.join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id")
-    alone = source.join(worded, "id", "left_semi")
+    # without equal sets no text has to be moved
+    alone = source.join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti") if equal.count() else source
     members = _grouped(alone.mapInArrow(prefixes, layout))
     few = _couples(members.filter(F.col("members") <= dense), similarity, 1)
-    firsts = members.filter(F.col("members") > dense).groupBy("id").agg(F.collect_list("place").alias("firsts"))
-    again = _grouped(source.join(firsts, "id").select("id", "text", "firsts").mapInArrow(seconds, layout))
+    firsts = cut(members.filter(F.col("members") > dense).groupBy("id").agg(F.collect_list("place").alias("firsts")))
+    again = _grouped(_only(source, firsts).select("id", "text", "firsts").mapInArrow(seconds, layout))
     many = _couples(again, similarity, 2)
     candidates = cut(_verified(few.union(many).distinct(), marked, similarity))
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(source.join(asked, "id", "left_semi").mapInArrow(shingle, f"id {kind}, shingles array<long>"))
+    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = cut(_only(source, asked).mapInArrow(shingle, f"id {kind}, shingles array<long>"))
     return components(_similar(candidates, sets, similarity).union(equal)).select(F.col("node").alias("id"), "component")
 
 
