@@ -1,7 +1,8 @@
 """Exact dedup by skew-safe combining.
 
 Rows whose digest occurs once (counted with local combining) are groups by
-themselves; the lookup of the others is salted for digests of very many rows. Other copies are combined three times, each time as a group of equal
+themselves. The lookup of the others is a sort-merge join whatever the size, salted for digests of very
+many rows, so a text is moved once for it. Other copies are combined three times, each time as a group of equal
 ``(digest, content)`` so that full contents are compared, never digests alone:
 
 1. locally: Spark's partial aggregation leaves a row for each content and map task;
@@ -18,10 +19,12 @@ result. ``kept`` is true on each row that bears the group's largest id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import cut, fresh, text_of
+from labelforge.llm.common import cut, fresh, look_up, text_of
 
 
 def _digest(text):
@@ -35,20 +38,6 @@ def combine(rows: DataFrame, measures: list, merges: list, salts: int) -> DataFr
     return salted.drop("__salt").repartition("__digest").groupBy(*keys).agg(*merges)
 
 
-def _look_up(rows: DataFrame, digests: DataFrame, n_rows: int, salts: int, how: str, shares: int = 1000) -> DataFrame:
-    """``rows`` joined to the table ``digests`` (``__digest``, ``__size``, ...) by digest.
-
-    Digests with more than one in ``shares`` of all rows, fewer than ``shares`` of them, are known to every
-    task (a broadcast of that bound); their rows are dealt over ``salts`` copies of the digest.
-    """
-    is_hot = F.col("__size") * shares > n_rows
-    hot = F.broadcast(digests.filter(is_hot).select("__digest", F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.lit(salts))).otherwise(F.lit(0))
-    dealt = rows.join(hot, "__digest", "left").withColumn("__salt", salt.cast("int")).drop("__hot")
-    copies = digests.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))))
-    return dealt.join(copies, ["__digest", "__salt"], how).drop("__salt")
-
-
 def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, salts: int = 64, digest=_digest, with_text: bool = False) -> DataFrame:
     """Each row's group: ``id_col``, the columns ``keep``, ``digest``, ``keep_id``, ``group_size``, ``kept``
     and, ``with_text``, ``content`` (the text, or an empty one for null).
@@ -64,7 +53,7 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = cut(rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1"))
     n_rows = docs.count()
     groups = combine(
-        _look_up(rows, repeated, n_rows, salts, "left_semi"),
+        look_up(rows, repeated, ["__digest"], "__size", n_rows, "left_semi", salts),
         [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")],
         [F.max("__keep").alias("__keep"), F.sum("__size").alias("__size")],
         salts,
@@ -75,9 +64,9 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     multi = cut(by_digest.filter("__contents > 1 or __size > 1"))
     if multi.filter("__contents > 1").isEmpty():
-        found = _look_up(rows if with_text else rows.drop("__text"), multi.drop("__contents"), n_rows, salts, "left")
+        found = look_up(rows if with_text else rows.drop("__text"), multi.drop("__contents"), ["__digest"], "__size", n_rows, "left", salts)
     else:  # some digest stands for several contents, so rows find their group by content
-        found = rows.join(groups, ["__digest", "__text"], "left")
+        found = look_up(rows, cut(groups), ["__digest", "__text"], "__size", n_rows, "left", salts)
     keep_id = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return found.select(
         F.col("__id").alias(id_col),
@@ -93,15 +82,19 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text, that with the largest id.
 
-    Repeated rows leave one row. Runs the same three combining steps with the
-    row itself carried along, so no join back is needed. Columns of a type
-    that can't be ordered (maps) aren't supported.
+    Repeated rows leave one row: of equal ids, the one whose other columns are largest in order. Runs the same three
+    combining steps with the row itself carried along, so no join back is needed. Columns of a type without an
+    order (maps, variants) are ranked by their text.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     (is_null,) = fresh(docs, "__null")
-    row = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").isNull().alias(is_null), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    lead = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").isNull().alias(is_null)]
+    row = F.struct(*lead, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     rows = docs.select(row.alias("__row"), text_of(text_col).alias("__text")).withColumn("__digest", _digest(F.col("__text")))
-    kept = combine(rows, [F.max("__row").alias("__row")], [F.max("__row").alias("__row")], salts)
+    unordered = {c for c in others if re.search(r"map<|variant", docs.schema[c].dataType.simpleString())}
+    rank = F.struct(*[F.col(f"__row.{n}") for n in ("id", is_null)], *[F.col(f"__row.c{i}").cast("string") if c in unordered else F.col(f"__row.c{i}") for i, c in enumerate(others)])
+    best = F.max_by("__row", rank) if unordered else F.max("__row")
+    kept = combine(rows, [best.alias("__row")], [best.alias("__row")], salts)
     back = {id_col: F.col("__row.id"), text_col: F.when(F.col(f"__row.`{is_null}`"), F.lit(None)).otherwise(F.col("__text"))}
     back |= {c: F.col(f"__row.c{i}") for i, c in enumerate(others)}
     return kept.select(*[back[c].alias(c) for c in docs.columns])

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import cut
+from labelforge.llm.common import cut, look_up
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, plain: int = 1_000_000) -> DataFrame:
     """``(node, component)`` for each node of the undirected ``edges`` (a, b); component is the smallest node reachable.
 
     Every round makes each node point at the smallest neighbour it knows and
     hooks its other neighbours there; neighbours are only ever reduced to a
-    minimum, never gathered. The edge table is checkpointed after each round,
+    minimum, never gathered. With over ``plain`` edges, where a task could have too much to read, the neighbours of a node of very many are dealt over copies of it. The edge table is checkpointed after each round,
     and rounds grow with the logarithm of the longest path. Loops (a = b) and
     repeated edges change nothing; without edges the result is empty.
     """
@@ -26,13 +26,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
+        salted = before[0] > plain
+
+        def meet(rows: DataFrame, least: DataFrame) -> DataFrame:
+            return look_up(rows, least, ["a"], "n", 2 * before[0]) if salted else rows.join(least, "a")  # noqa: B023 (used in this round only)
+
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        least = cut(least) if salted else least
+        large = meet(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # each node also keeps its own minimum
         large = large.union(least.filter("m <> a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large) if salted else large
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        low = cut(low) if salted else low
+        small = meet(large, low).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         after = mark(now)
         if after == before:

@@ -15,19 +15,17 @@ value. Members that share such a value are at most ``max_distance`` apart and
 any two that close do share one, so no link is lost and no other is added
 (hence ``max_distance`` is even).
 
-``near_copies`` serves pipelines that remove documents of a stated similarity. It
-is exact: a prefix join finds every pair whose sets of shingles reach the Jaccard
-similarity t. All sets are put in one order of shingles. Sets of n and
-m shingles at t share at least ceil(t * n) of them, so the first that they
-share is among the first n - ceil(t * n) + 1 of each, and the second among one
-more. Sets meet by shingles of that prefix; where over ``dense`` meet by one, they meet by it and
-a second shingle instead. No group is capped or passed over.
-
-Shingles that are frequent in a sample of ``SAMPLE`` texts come last in the order, so that
-passages and boilerplate are hardly ever in a prefix. The sample decides about work,
-never about results. Equal sets are linked to the smallest id and go on as
-one. What is ruled out before any set is moved is ruled out by upper bounds on what two sets share: by sizes
-and places in the order, then by numbers of shingles in each of ``BINS`` classes.
+``near_copies`` serves pipelines that remove documents of a stated Jaccard similarity of
+shingle sets. At 0.8 two fingerprints of 64 sign bits differ in about ten bits, more than a selective
+pigeonhole split can hold, so its fingerprint has other components: ``BLOCKS`` blocks
+of ``PER_BLOCK`` smallest hashes, each equal in both sets with the probability of their similarity.
+Again pairs that share a block are verified by the Hamming distance of the components, at most ``MOST_APART``
+of them, and then exactly on whole sets. At a similarity of exactly 0.8 a pair shares no block
+with probability 3e-6, at 0.85 with 2e-8; it exceeds the distance with less than 1e-8. Nothing depends on the number of documents, and no group is
+capped: members of a block's group of over ``dense`` are compared with the group's ends (smallest and largest id). Then in each group
+that is not one component by now, the members outside the smallest id's component are compared with all
+members of other components; where these are over ``dense`` too, groups are split by a second
+shared block first (at 0.8 a pair shares one block only with probability 5e-5).
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
 null id is kept but never names a component unless nothing else can; an
@@ -37,7 +35,6 @@ empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 from itertools import chain, combinations, repeat
@@ -48,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from labelforge.llm.common import cut, text_of
+from labelforge.llm.common import cut, look_up, text_of
 from labelforge.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -100,33 +97,18 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-#: 2^64 divided by the golden ratio, made odd.
-SPREAD = 0x9E3779B97F4A7C15
-#: Texts of the sample that tells frequent shingles, and how many of those are told at most.
-SAMPLE, MOST_FREQUENT = 10_000, 200_000
-#: Classes of shingles whose numbers bound what two sets share.
-BINS = 64
+#: The fingerprint of ``near_copies``: blocks, 16-bit components of each, and how many may differ in all.
+BLOCKS, PER_BLOCK, MOST_APART = 24, 4, 44
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (BLOCKS * PER_BLOCK, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _least_shared(n: int, similarity: float) -> int:
-    """Shingles that a set of ``n`` shares at least with any at ``similarity``; rounding never adds to them."""
-    return max(1, math.ceil(similarity * n - 1e-6))
-
-
-def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """``hashes`` in the order of the prefix join: those in ``frequent`` last and as there."""
-    if not len(frequent):
-        return np.sort(hashes)
-    by_hash = np.argsort(frequent)
-    at = np.minimum(np.searchsorted(frequent, hashes, sorter=by_hash), len(frequent) - 1)
-    place = np.where(frequent[by_hash[at]] == hashes, by_hash[at] + 1, 0)
-    return hashes[np.lexsort((hashes, place))]
-
-
-def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A key for two shingles in order."""
-    mixed = (first * np.uint64(SPREAD)) ^ second
-    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(SPREAD)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit number for each block: its components side by side. ``hashes`` is not empty."""
+    least = np.full((BLOCKS * PER_BLOCK, 1), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[None, at : at + 4096] * _ODD).min(axis=1, keepdims=True))
+    # bits below the top, which small minima have in common
+    return ((least >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2").reshape(BLOCKS, PER_BLOCK).view("<i8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -167,8 +149,8 @@ def links(fps: DataFrame, max_distance: int = 2, dense: int = 16) -> DataFrame:
     if not max_distance:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a <> b")
     keyed = fps.select("fp", F.explode(F.array(*map(F.expr, _block_keys(max_distance)))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(keyed.join(shared, "key"))
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut(look_up(keyed, shared, ["key"], "n", len(_block_keys(max_distance)) * fps.count()))
     few = members.filter(F.col("n") <= dense)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter(f"a > b and bit_count(a ^ b) <= {max_distance}").select("a", "b")
     many = members.filter(F.col("n") > dense).select("fp").distinct()
@@ -182,177 +164,151 @@ def links(fps: DataFrame, max_distance: int = 2, dense: int = 16) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_distance: int = 2, dense: int = 16) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``fp`` and ``component``, the smallest id reachable over links."""
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
     joined = components(links(distinct.select("fp"), max_distance, dense))
     # fingerprints without a link are components of their own
     labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    named = cut(labelled.join(smallest, "component").select("fp", "smallest"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
-
+    named = cut(labelled.join(smallest, "component").select("fp", "smallest", "rows"))
+    return look_up(marked, named, ["fp"], "rows", marked.count()).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
-def _grouped(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key others have too, with the number of its ``members``."""
-    return cut(keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1"))
 
+def _with(pairs: DataFrame, facts: DataFrame, side: str, most: int) -> DataFrame:
+    """``pairs`` with the columns of the table ``facts`` (id, ...) for the id in column ``side``, named so with ``_side``.
 
-def _couples(members: DataFrame, similarity: float, shared: int, most: int = 256) -> DataFrame:
-    """Pairs ``(a, b)``, ``a`` the larger id, of members (id, key, n, place, members) of a group.
-
-    ``place`` is that of the ``shared``-th shingle of those that two have in common, so the shingles after it bound what more they can share. A
-    group of over ``most`` members is dealt into parts, and each pair of parts is a group of its own.
+    An id may be in very many pairs: each ``most`` of them meet a copy of its facts of their own, so copies
+    are fewer than pairs / ``most`` plus one for each id.
     """
-    parts = F.ceil(F.col("members") / most).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = dealt.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-    right = dealt.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("part").alias("other"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    bound = f"{shared} + least(n_a - place_a, n_b - place_b) - 1"
-    return left.join(right, ["key", "part", "other"]).filter(f"a > b and {_may_share(bound, similarity)}").select("a", "b")
-
-
-def _may_share(bound: str, similarity: float) -> str:
-    """SQL: sets of n_a and n_b shingles that share ``bound`` at most may be at ``similarity``."""
-    return f"({bound}) * {1 + similarity!r}D + 1e-6D >= {similarity!r}D * (n_a + n_b) and least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
+    hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    salted = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+    named = facts.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in facts.columns])
+    copies = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return salted.join(copies, [side, "salt"]).drop("salt")
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose numbers of shingles in each class allow the similarity."""
-    for side in "ab":
-        pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}")), side)
-    bound = "aggregate(zip_with(bins_a, bins_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)"
-    return pairs.filter(_may_share(bound, similarity)).select("a", "b")
+#: Components in which two sketches differ: each number holds four.
+_APART = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> x ^ y), 0, (n, x) -> n + if(x = 0, 0, int(x & 65535L <> 0) + int(x & 4294901760L <> 0) + int(x & 281470681743360L <> 0) + int(shiftrightunsigned(x, 48) <> 0)))"
 
 
 def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
-    """The rows of ``source`` whose id is in ``ids``, a column id without repeats, with the other columns of ``ids``.
+    """The rows (id, text) of ``source`` whose id is in ``ids``, a column id without repeats.
 
-    Most other rows are passed over by a table of at most ``slots`` hashes before the join, so that their texts aren't moved.
+    Most other rows are passed over by a table of ``slots`` bits before the join, so that their texts aren't
+    moved; where it is full, each text is moved once at most.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
-    taken = np.zeros(slots, bool)
-    taken[[r["slot"] for r in ids.select(slot).distinct().collect()]] = True
-    bits = np.packbits(taken)
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
+    table = np.zeros(slots // 64, np.int64)
+    for r in words.collect():  # slots / 64 rows at most
+        table[r["word"]] = r["bits"]
+    bits = table.tobytes()
 
     def run(batches):
-        open_ = np.unpackbits(bits).astype(bool)
+        open_ = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         for b in batches:
             yield b.filter(pa.array(open_[b.column(2).to_numpy()])).select(["id", "text"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.select("id", "text", slot).mapInArrow(run, f"id {kind}, text string").join(ids, "id")
-
+    return source.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, text string").join(ids.hint("merge"), "id")
 
-def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, side: str, most: int) -> DataFrame:
-    """``pairs`` with the set of the id in column ``side``.
-
-    An id may be in very many pairs: each ``most`` of them meet a copy of its set of their own, so copies
-    are fewer than pairs / ``most`` plus one for each id.
-    """
-    hot = counted.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    salted = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
-    copies = sets.toDF(side, f"s{side}").join(hot, side, "left").select(side, f"s{side}", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
-    return salted.join(copies, [side, "salt"]).drop("salt")
 
-
-def _similar(candidates: DataFrame, sets: DataFrame, similarity: float, most: int = 1000) -> DataFrame:
-    """The pairs ``(a, b)`` of the table ``candidates`` whose sets have the Jaccard similarity."""
-    both = _with_set(_with_set(candidates, candidates, sets, "b", most), candidates, sets, "a", most)
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).filter("common > 0").select("a", "b")
-
-
-def _frequent(source: DataFrame, width: int) -> np.ndarray:
-    """Shingles that three or more texts of a sample hold, the most frequent last."""
+def _close(pairs: DataFrame, marked: DataFrame, source: DataFrame, width: int, similarity: float, most: int = 1000) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches are close and whose shingle sets have the similarity; each is verified once."""
 
     def shingle(batches):
         for b in batches:
-            sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["h"])
+            sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    parts = max(1, source.count() // SAMPLE)
-    sample = source.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("text").mapInArrow(shingle, "h long")
-    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
-    return np.array([r["h"] for r in found.collect()][::-1], np.int64).view(np.uint64)
+    distinct = cut(pairs.distinct())
+    facts = marked.select("id", "n", "sketch")
+    both = _with(_with(distinct, facts, "b", most), facts, "a", most)
+    sized = f"least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
+    candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"))
+    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
+    whole = _with(_with(candidates, sets, "b", most), sets, "a", most).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, dense: int = 128) -> DataFrame:
-    """``(id, component)`` of the ids with a near copy: shingle sets of ``width`` words have a Jaccard similarity of ``similarity`` or more."""
-    if not 0.5 < similarity <= 1:
-        raise ValueError("similarity is over 0.5 and at most 1")
+def _apart(members: DataFrame, dense: int) -> DataFrame:
+    """Pairs ``(a, b)`` still to be compared, among members (key, id, low, component) of groups of over ``dense``.
+
+    Pairs of one component need no comparison. In a group, ``strays`` are outside the component of its smallest id, so
+    each pair has a stray. Groups with over ``dense`` strays are split by a second key that their members share.
+    """
+    mixed = members.groupBy("key").agg(F.min_by("component", "id").alias("lead"), F.min("component").alias("least"), F.max("component").alias("top")).filter("least <> top").select("key", "lead")
+    open_ = cut(members.select("key", "id", "component").join(mixed.hint("merge"), "key"))
+    strays = open_.filter("component <> lead")
+    counts = cut(strays.groupBy("key").agg(F.count(F.lit(1)).alias("strays")))
+
+    def pairs(rows: DataFrame, lost: DataFrame, on: list[str]) -> DataFrame:
+        one = lost.select(*on, F.col("id").alias("x"), F.col("component").alias("cx"))
+        two = rows.select(*on, F.col("id").alias("y"), F.col("component").alias("cy"))
+        return one.join(two.hint("merge"), on).filter("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    few, many = counts.filter(F.col("strays") <= dense).select("key"), counts.filter(F.col("strays") > dense).select("key")
+    straight = pairs(open_.join(few, "key", "left_semi"), strays.join(few, "key", "left_semi"), ["key"])
+    if many.isEmpty():
+        return straight
+    wide = open_.join(many, "key", "left_semi")
+    held = wide.groupBy("id", "component").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("component") != F.col("lead")).alias("stray")))).alias("keys"))  # a key for each block at most
+    twos = "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x.key as key, y.key as second, x.stray or y.stray as stray))))"
+    split = cut(held.select("id", "component", F.expr(f"inline({twos})")))
+    return straight.union(pairs(split, split.filter("stray"), ["key", "second"]))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, dense: int = 64) -> DataFrame:
+    """``(id, component)`` of the ids with a near copy: shingle sets of ``width`` words have a Jaccard similarity of ``similarity`` or more.
+
+    The blocks serve similarities of 0.8 or more; a smaller one is an error.
+    """
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("similarity is 0.8 or more and at most 1")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).filter("id is not null")
     kind = source.schema["id"].dataType.simpleString()
 
     def mark(batches):
         for b in batches:
-            sizes, bins, digests = [], [], []
-            for text in b.column(1):
-                hashes = shingle_hashes(_words(text.as_py()), width)
-                sizes.append(len(hashes))
-                bins.append(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32))
-                digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(bins, pa.list_(pa.int32())), pa.array(digests, pa.binary())], ["id", "n", "bins", "digest"])
-
-    def prefixes(batches):
-        for b in batches:
-            ids, keys, sizes, places = [], [], [], []
+            at, sizes, sketches, digests = [], [], [], []
             for i, text in enumerate(b.column(1)):
-                hashes = ordered(shingle_hashes(_words(text.as_py()), width), frequent)
-                n = len(hashes)
-                k = n - _least_shared(n, similarity) + 1 if n else 0
-                ids.append(np.full(k, i))
-                keys.append(hashes[:k])
-                sizes.append(np.full(k, n, np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], sizes, places))], names)
-
-    def seconds(batches):
-        for b in batches:
-            ids, keys, sizes, places = [], [], [], []
-            for i, (text, firsts) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                hashes = ordered(shingle_hashes(_words(text.as_py()), width), frequent)
-                n = len(hashes)
-                k = min(n, n - _least_shared(n, similarity) + 2)
-                for first in firsts.as_py():
-                    ids.append(np.full(k - first - 1, i))
-                    keys.append(_both(hashes[first], hashes[first + 1 : k]))
-                    sizes.append(np.full(k - first - 1, n, np.int32))
-                    places.append(np.arange(first + 1, k, dtype=np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], sizes, places))], names)
-
-    def shingle(batches):
-        for b in batches:
-            sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    names = ["id", "key", "n", "place"]
-    layout = f"id {kind}, key long, n int, place int"
-    frequent = _frequent(source, width)
-    # a text without words is similar to none
-    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, bins array<int>, digest binary").filter("n > 0"))
-    alike = marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    equal = cut(marked.join(alike, "digest").filter("id <> b").select(F.col("id").alias("a"), "b"))
-    # without equal sets no text has to be moved
-    alone = source.join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti") if equal.count() else source
-    members = _grouped(alone.mapInArrow(prefixes, layout))
-    few = _couples(members.filter(F.col("members") <= dense), similarity, 1)
-    firsts = cut(members.filter(F.col("members") > dense).groupBy("id").agg(F.collect_list("place").alias("firsts")))
-    again = _grouped(_only(source, firsts).select("id", "text", "firsts").mapInArrow(seconds, layout))
-    many = _couples(again, similarity, 2)
-    candidates = cut(_verified(few.union(many).distinct(), marked, similarity))
-    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = cut(_only(source, asked).mapInArrow(shingle, f"id {kind}, shingles array<long>"))
-    return components(_similar(candidates, sets, similarity).union(equal)).select(F.col("node").alias("id"), "component")
+                hashes = shingle_hashes(_words(text.as_py()), width)
+                if len(hashes):  # a text without words is similar to none
+                    at.append(i)
+                    sizes.append(len(hashes))
+                    sketches.append(sketch(hashes))
+                    digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["id", "n", "sketch", "digest"])
+
+    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, digest binary"))
+    # equal sets are linked to their smallest id and go on as one
+    alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b"))
+    keyed = marked.join(equal.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti").select("id", F.posexplode("sketch").alias("block", "value")).select("id", F.xxhash64("block", "value").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    shared = cut(groups)
+    members = cut(look_up(keyed, shared, ["key"], "members", BLOCKS * marked.count()))
+    few = members.filter(F.col("members") <= dense).select("key", "id")
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")).hint("merge"), "key").filter("a > b").select("a", "b")
+    many = members.filter(F.col("members") > dense)
+    ends = many.select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    linked = _close(pairs.union(ends), marked, source, width, similarity).union(equal)
+    found = components(linked)
+    if not many.isEmpty():
+        labelled = many.select("key", "id").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = _apart(cut(labelled), dense)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_close(rest, marked, source, width, similarity)))
+    return found.select(F.col("node").alias("id"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but those with a near copy of smaller id in their component, with all their columns.
 
     Rows with a null id stay; rows that repeat an id stay or go together (drop
-    exact copies first).
+    exact copies first). Texts are moved once, by a sort-merge join at every size.
     """
     groups = near_copies(docs, id_col, text_col, width, similarity)
-    gone = groups.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    gone = cut(groups.filter("id <> component").select(F.col("id").alias("__gone")).distinct())
+    known = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    return known.join(gone.hint("merge"), known[f"`{id_col}`"] == gone["__gone"], "left_anti").union(docs.filter(F.col(f"`{id_col}`").isNull()))

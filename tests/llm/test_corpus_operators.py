@@ -516,10 +516,11 @@ def test_links_are_whole(spark, most, dense):
     assert [got.get(x, x) for x in signed] == reach(signed, [x for x in fps], most) or {frozenset(y for y in signed if got.get(y, y) == got.get(x, x)) for x in signed} == {frozenset(y for y, c in zip(signed, reach(signed, fps, most), strict=True) if c == d) for d in set(reach(signed, fps, most))}
 
 
-def test_components_on_paths(spark):
-    edges = [(i, i + 1) for i in range(0, 150)] + [(200, 201), (201, 200), (300, 300)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(151)} | {200: 200, 201: 200}
+@pytest.mark.parametrize("plain", [0, 1000])
+def test_components_on_paths(spark, plain):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(200, 201), (201, 200), (300, 300)] + [(400, i) for i in range(401, 460)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), plain=plain).collect()}
+    assert got == {i: 0 for i in range(41)} | {200: 200, 201: 200} | {i: 400 for i in range(400, 460)}
 
 
 def test_keep_one_drops_near_copies_only(docs, none):
