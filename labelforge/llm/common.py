@@ -33,7 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that Python gets at a time: whole texts may be long, and both sides hold a batch in memory.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Arrow batches of the session are made no larger than ``BATCH_ROWS`` rows."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

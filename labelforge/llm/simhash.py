@@ -22,10 +22,9 @@ of ``PER_BLOCK`` smallest hashes, each equal in both sets with the probability o
 Again pairs that share a block are verified by the Hamming distance of the components, at most ``MOST_APART``
 of them, and then exactly on whole sets. At a similarity of exactly 0.8 a pair shares no block
 with probability 3e-6, at 0.85 with 2e-8; it exceeds the distance with less than 1e-8. Nothing depends on the number of documents, and no group is
-capped: members of a block's group of over ``dense`` are compared with the group's ends (smallest and largest id). Then in each group
-that is not one component by now, the members outside the smallest id's component are compared with all
-members of other components; where these are over ``dense`` too, groups are split by a second
-shared block first (at 0.8 a pair shares one block only with probability 5e-5).
+capped. Only as many pairs are compared as components need: each document meets the smallest id of each of its blocks'
+groups. What is not in the component of its group's smallest id after that (strays) is compared with all members that are in other components. Groups with over ``dense``
+strays are split by a second shared block for it (at 0.8 a pair shares one block only with probability 5e-5).
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
 null id is kept but never names a component unless nothing else can; an
@@ -173,18 +172,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return look_up(marked, named, ["fp"], "rows", marked.count()).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def _with(pairs: DataFrame, facts: DataFrame, side: str, most: int) -> DataFrame:
+def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int, salts: int = 64, shares: int = 1000) -> DataFrame:
     """``pairs`` with the columns of the table ``facts`` (id, ...) for the id in column ``side``, named so with ``_side``.
 
-    An id may be in very many pairs: each ``most`` of them meet a copy of its facts of their own, so copies
-    are fewer than pairs / ``most`` plus one for each id.
+    An id in more than one of ``shares`` pairs (fewer than ``shares`` ids, a broadcast of that bound) has its pairs dealt
+    over ``salts`` copies of its facts.
     """
-    hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    salted = pairs.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+    hot = F.broadcast(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * shares > n_pairs).select(side, F.lit(True).alias("hot")))
+    dealt = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("a", "b"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
     named = facts.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in facts.columns])
-    copies = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    return salted.join(copies, [side, "salt"]).drop("salt")
+    copies = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), salts - 1).otherwise(0)))).drop("hot")
+    return dealt.join(copies.hint("merge"), [side, "salt"]).drop("salt")
 
 
 #: Components in which two sketches differ: each number holds four.
@@ -194,69 +192,64 @@ _APART = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> x ^ y), 0, (n, x) ->
 def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
     """The rows (id, text) of ``source`` whose id is in ``ids``, a column id without repeats.
 
-    Most other rows are passed over by a table of ``slots`` bits before the join, so that their texts aren't
-    moved; where it is full, each text is moved once at most.
+    Most other rows are passed over by a broadcast table of ``slots`` bits (slots / 64 rows at most) before the join, so that their
+    texts aren't moved; where it is full, each text is moved once.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(slots))
     words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
-    table = np.zeros(slots // 64, np.int64)
-    for r in words.collect():  # slots / 64 rows at most
-        table[r["word"]] = r["bits"]
-    bits = table.tobytes()
-
-    def run(batches):
-        open_ = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(open_[b.column(2).to_numpy()])).select(["id", "text"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    return source.select("id", "text", slot.alias("slot")).mapInArrow(run, f"id {kind}, text string").join(ids.hint("merge"), "id")
+    marked = source.select("id", "text", slot.alias("slot"))
+    open_ = marked.join(F.broadcast(words), F.expr("slot div 64 = word and (shiftrightunsigned(bits, int(slot % 64)) & 1L) = 1L"), "left_semi")
+    return open_.select("id", "text").join(ids.hint("merge"), "id")
 
 
-def _close(pairs: DataFrame, marked: DataFrame, source: DataFrame, width: int, similarity: float, most: int = 1000) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches are close and whose shingle sets have the similarity; each is verified once."""
+def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sketches are close and whose shingle sets have the similarity."""
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    distinct = cut(pairs.distinct())
     facts = marked.select("id", "n", "sketch")
-    both = _with(_with(distinct, facts, "b", most), facts, "a", most)
+    both = _with(_with(pairs, facts, "b", n), facts, "a", n)
     sized = f"least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
     candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"))
     asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
-    whole = _with(_with(candidates, sets, "b", most), sets, "a", most).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    whole = _with(_with(candidates, sets, "b", n), sets, "a", n).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"))
 
 
-def _apart(members: DataFrame, dense: int) -> DataFrame:
-    """Pairs ``(a, b)`` still to be compared, among members (key, id, low, component) of groups of over ``dense``.
+def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
+    """Members (key, id, members, low) of the groups that are not one component in ``found``, with ``component`` and ``lead``, the component of the smallest id."""
+    labelled = cut(members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    open_ = labelled.groupBy("key").agg(F.min_by("component", "id").alias("lead"), F.min("component").alias("least"), F.max("component").alias("top"), F.count(F.lit(1)).alias("size"))
+    keys = cut(open_.filter("least <> top").select("key", "lead", "size"))
+    return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"))
 
-    Pairs of one component need no comparison. In a group, ``strays`` are outside the component of its smallest id, so
-    each pair has a stray. Groups with over ``dense`` strays are split by a second key that their members share.
+
+def _strays(open_: DataFrame, n_members: int, dense: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of a group that are in two components, one of them not that of the group's smallest id.
+
+    Groups with over ``dense`` such strays are split by a second key that their members share.
     """
-    mixed = members.groupBy("key").agg(F.min_by("component", "id").alias("lead"), F.min("component").alias("least"), F.max("component").alias("top")).filter("least <> top").select("key", "lead")
-    open_ = cut(members.select("key", "id", "component").join(mixed.hint("merge"), "key"))
-    strays = open_.filter("component <> lead")
-    counts = cut(strays.groupBy("key").agg(F.count(F.lit(1)).alias("strays")))
-
-    def pairs(rows: DataFrame, lost: DataFrame, on: list[str]) -> DataFrame:
-        one = lost.select(*on, F.col("id").alias("x"), F.col("component").alias("cx"))
-        two = rows.select(*on, F.col("id").alias("y"), F.col("component").alias("cy"))
-        return one.join(two.hint("merge"), on).filter("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-
-    few, many = counts.filter(F.col("strays") <= dense).select("key"), counts.filter(F.col("strays") > dense).select("key")
-    straight = pairs(open_.join(few, "key", "left_semi"), strays.join(few, "key", "left_semi"), ["key"])
-    if many.isEmpty():
+    lost = open_.filter("component <> lead")
+    counts = cut(lost.groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")))
+
+    def pairs(rows: DataFrame, strays: DataFrame, on: list[str]) -> DataFrame:
+        one = strays.select(*on, F.col("id").alias("x"), F.col("component").alias("cx"), "members")
+        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), *on)
+        return look_up(two, one, on, "members", n_members).filter("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    few = look_up(open_.drop("members"), counts.filter(F.col("strays") <= dense).drop("strays"), ["key"], "members", n_members)
+    straight = pairs(few, few.filter("component <> lead"), ["key"])
+    if counts.filter(F.col("strays") > dense).isEmpty():
         return straight
-    wide = open_.join(many, "key", "left_semi")
-    held = wide.groupBy("id", "component").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("component") != F.col("lead")).alias("stray")))).alias("keys"))  # a key for each block at most
-    twos = "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x.key as key, y.key as second, x.stray or y.stray as stray))))"
+    wide = look_up(open_.drop("members"), counts.filter(F.col("strays") > dense).drop("strays"), ["key"], "members", n_members)
+    held = wide.groupBy("id", "component").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("component") != F.col("lead")).alias("stray"), "members"))).alias("keys"))  # a key for each block at most
+    twos = "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x.key as key, y.key as second, x.stray or y.stray as stray, least(x.members, y.members) as members))))"
     split = cut(held.select("id", "component", F.expr(f"inline({twos})")))
-    return straight.union(pairs(split, split.filter("stray"), ["key", "second"]))
+    return straight.union(pairs(split.drop("stray", "members"), split.filter("stray").drop("stray"), ["key", "second"]))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, dense: int = 64) -> DataFrame:
@@ -281,24 +274,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["id", "n", "sketch", "digest"])
 
+    def step(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Components of ``known`` links and the links among ``pairs``."""
+        asked = cut(pairs.distinct())
+        n = asked.count()
+        return cut(components(known.union(_close(asked, n, marked, source, width, similarity)) if n else known))
+
     marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, digest binary"))
     # equal sets are linked to their smallest id and go on as one
     alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b"))
-    keyed = marked.join(equal.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti").select("id", F.posexplode("sketch").alias("block", "value")).select("id", F.xxhash64("block", "value").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    shared = cut(groups)
-    members = cut(look_up(keyed, shared, ["key"], "members", BLOCKS * marked.count()))
-    few = members.filter(F.col("members") <= dense).select("key", "id")
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")).hint("merge"), "key").filter("a > b").select("a", "b")
-    many = members.filter(F.col("members") > dense)
-    ends = many.select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    linked = _close(pairs.union(ends), marked, source, width, similarity).union(equal)
-    found = components(linked)
-    if not many.isEmpty():
-        labelled = many.select("key", "id").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = _apart(cut(labelled), dense)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_close(rest, marked, source, width, similarity)))
+    equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    keyed = marked.join(equal.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti").select("id", F.posexplode("sketch").alias("block", "value")).select("id", F.xxhash64("block", "value").alias("key"))
+    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).filter("members > 1"))
+    members = cut(look_up(keyed, groups, ["key"], "members", BLOCKS * marked.count()))
+    n_members = members.count()
+    lows = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    found = step(lows, equal)
+    open_ = _mixed(members, found, n_members)
+    if not open_.isEmpty():
+        found = step(_strays(open_, n_members, dense), found.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return found.select(F.col("node").alias("id"), "component")
 
 
