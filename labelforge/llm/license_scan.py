@@ -3,7 +3,7 @@
 Words of the text (ASCII letters lower-cased) are joined by single spaces. A
 rule has keywords, a regex over that form, a label, a priority (smaller wins)
 and a confidence. Rules none of whose keywords occurs are skipped, as are
-whole texts without any root, one of which is in whatever a built-in rule matches, or keyword of an extra rule. Every start of a rule counts, found with
+whole texts without any root (``roots``), one of which is in whatever a rule matches. Every start of a rule counts, found with
 look-ahead, so a detection does not depend on where scanning began. A detection
 is suppressed if another contains its interval and has a smaller priority, or
 the same priority and a longer interval, or the same interval and an earlier
@@ -114,6 +114,245 @@ PASSAGES = [
     ("warranty", "warranty", "without warranty of any kind(?: express or implied)?"),
     ("warranty", "warranties", "any express or implied warranties including but not limited to"),
 ]
+# Licenses told by their name: label and name; the keyword of each is the stem of "license".
+NAMES = """
+aal|attribution assurance licen[cs]e
+abstyles|abstyles licen[cs]e
+adobe-2006|adobe systems incorporated source code licen[cs]e
+adobe-glyph|adobe glyph list licen[cs]e
+adsl|amazon digital services licen[cs]e
+aladdin|aladdin free public licen[cs]e
+aml|apple mit licen[cs]e
+apafml|adobe postscript afm licen[cs]e
+apl-1.0|adaptive public licen[cs]e
+apsl|apple public source licen[cs]e(?: version)?(?: 1 [012]| 2 0)?
+arphic-1999|arphic public licen[cs]e
+bahyph|bahyph licen[cs]e
+beerware|(?:the )?beer ?ware licen[cs]e
+bigscience-rail|bigscience (?:bloom )?rail licen[cs]e
+bittorrent|bittorrent open source licen[cs]e
+blueoak-1.0.0|blue oak model licen[cs]e(?: 1 0 0)?
+bsd-protection|bsd protection licen[cs]e
+bzip2|bzip2 (?:and libbzip2 )?licen[cs]e
+caldera|caldera licen[cs]e
+catosl-1.1|computer associates trusted open source licen[cs]e
+cdla-permissive|community data licen[cs]e agreement permissive(?: version)?(?: [12] 0)?
+cdla-sharing|community data licen[cs]e agreement sharing(?: version)?(?: 1 0)?
+cecill|cecill free software licen[cs]e(?: agreement)?
+cecill-b|cecill b (?:free software )?licen[cs]e
+cecill-c|cecill c (?:free software )?licen[cs]e
+cern-ohl-p|cern open hardware licen[cs]e(?: version 2)? permissive
+cern-ohl-s|cern open hardware licen[cs]e(?: version 2)? strongly reciprocal
+cern-ohl-w|cern open hardware licen[cs]e(?: version 2)? weakly reciprocal
+clartistic|clarified artistic licen[cs]e
+cnri-jython|cnri jython licen[cs]e
+cnri-python|cnri (?:open source )?python licen[cs]e
+condor-1.1|condor public licen[cs]e
+cpal-1.0|common public attribution licen[cs]e
+cpol-1.02|code project open licen[cs]e
+cua-opl-1.0|cua office public licen[cs]e
+cube|cube (?:game engine )?licen[cs]e
+curl|curl licen[cs]e
+drl-1.0|detection rule licen[cs]e
+ecl|educational community licen[cs]e(?: version)?(?: [12] 0)?
+efl|eiffel forum licen[cs]e(?: version)?(?: [12])?
+elastic-2.0|elastic licen[cs]e(?: 2 0)?
+entessa|entessa public licen[cs]e
+epics|epics open licen[cs]e
+erlpl-1.1|erlang public licen[cs]e
+etalab-2.0|licence ouverte(?: open licence)?(?: etalab)?
+eudatagrid|eu datagrid software licen[cs]e
+fair|(?:the )?fair licen[cs]e
+frameworx-1.0|frameworx open licen[cs]e
+freebsd-doc|freebsd documentation licen[cs]e
+freeimage|freeimage public licen[cs]e
+ftl|freetype (?:project )?licen[cs]e
+gl2ps|gl2ps licen[cs]e
+glide|3dfx glide (?:source code )?general public licen[cs]e
+gnuplot|gnuplot licen[cs]e
+gsoap-1.3b|gsoap public licen[cs]e
+haskellreport|haskell language report licen[cs]e
+hippocratic|hippocratic licen[cs]e(?: version)?(?: [123] [01])?
+icu|icu licen[cs]e
+imagemagick|imagemagick licen[cs]e
+info-zip|info zip licen[cs]e
+intel|intel open source licen[cs]e
+interbase-1.0|interbase public licen[cs]e
+ipa|ipa font licen[cs]e
+ipl-1.0|ibm public licen[cs]e
+jasper-2.0|jasper licen[cs]e
+jpnic|japan network information center licen[cs]e
+json|(?:the )?json licen[cs]e
+lal|(?:licence art libre|free art licen[cs]e)
+latex2e|latex2e licen[cs]e
+leptonica|leptonica licen[cs]e
+lgpllr|lesser general public licen[cs]e for linguistic resources
+libpng|libpng licen[cs]e(?: version 2)?
+libtiff|libtiff licen[cs]e
+liliq-p|licence libre du quebec permissive
+liliq-r|licence libre du quebec reciprocite
+llama|llama(?: [234])?(?: [123])? community licen[cs]e(?: agreement)?
+lpl|lucent public licen[cs]e
+minpack|minpack licen[cs]e
+miros|miros? licen[cs]e
+mitnfa|mit nfa licen[cs]e
+motosoto|motosoto open source licen[cs]e
+mpich2|mpich2 licen[cs]e
+mulan-psl|mulan permissive software licen[cs]e(?: version)?(?: [12])?
+mulan-publ|mulan public licen[cs]e
+multics|multics licen[cs]e
+naist-2003|nara institute of science and technology licen[cs]e
+naumen|naumen public licen[cs]e
+nbpl-1.0|net boolean public licen[cs]e
+ncgl-uk-2.0|non commercial government licen[cs]e
+net-snmp|net snmp licen[cs]e
+netcdf|netcdf licen[cs]e
+ngpl|nethack general public licen[cs]e
+nlod|norwegian licen[cs]e for open government data
+nokia|nokia open source licen[cs]e
+nosl|netizen open source licen[cs]e
+npl|netscape public licen[cs]e(?: version)?(?: 1 [01])?
+nposl-3.0|non profit open software licen[cs]e
+ntp|(?:the )?ntp licen[cs]e
+nvidia|nvidia (?:software|open model|source code) licen[cs]e(?: agreement)?
+oclc-2.0|oclc research public licen[cs]e
+odc-by-1.0|open data commons attribution licen[cs]e
+ogc-1.0|ogc software licen[cs]e
+ogl-canada|open government licen[cs]e canada
+ogl-uk|open government licen[cs]e(?: v?[123] 0)?
+ogtsl|open group test suite licen[cs]e
+oldap|openldap public licen[cs]e(?: version)?(?: [12] [0-9])?
+oml|open market licen[cs]e
+opl-1.0|open public licen[cs]e
+oset-pl-2.1|oset foundation public licen[cs]e
+parity|parity public licen[cs]e(?: [67] 0 0)?
+plexus|plexus classworlds licen[cs]e
+polyform-free-trial|polyform free trial licen[cs]e
+polyform-internal-use|polyform internal use licen[cs]e
+polyform-noncommercial|polyform non ?commercial licen[cs]e
+polyform-perimeter|polyform perimeter licen[cs]e
+polyform-shield|polyform shield licen[cs]e
+polyform-small-business|polyform small business licen[cs]e
+polyform-strict|polyform strict licen[cs]e
+qpl-1.0|q public licen[cs]e
+rhecos-1.1|red hat ecos public licen[cs]e
+rpl|reciprocal public licen[cs]e(?: 1 [15])?
+rpsl-1.0|realnetworks public source licen[cs]e
+rsa-md|rsa message digest licen[cs]e
+rscpl|ricoh source code public licen[cs]e
+ruby|ruby(?: s)? licen[cs]e
+scea|scea shared source licen[cs]e
+sendmail|sendmail (?:open source )?licen[cs]e
+sgi-b|sgi free software licen[cs]e b(?: version)?(?: [12] [01])?
+shl|solderpad hardware licen[cs]e
+simpl-2.0|simple public licen[cs]e
+sissl|sun industry standards source licen[cs]e
+sleepycat|sleepycat (?:public )?licen[cs]e
+smppl|secure messaging protocol public licen[cs]e
+snia|snia public licen[cs]e
+spl-1.0|sun public licen[cs]e
+sugarcrm-1.1.3|sugarcrm public licen[cs]e
+tapr-ohl-1.0|tapr open hardware licen[cs]e
+tcl|tcl tk licen[cs]e
+torque-1.1|torque (?:v2 5 )?software licen[cs]e
+tosl|trusster open source licen[cs]e
+tu-berlin|technische universitaet berlin licen[cs]e
+ucl-1.0|upstream compatibility licen[cs]e
+unicode-dfs|unicode licen[cs]e(?: agreement)?(?: v3)?
+upl-1.0|universal permissive licen[cs]e
+vim|vim licen[cs]e
+vostrom|vostrom public licen[cs]e
+vsl-1.0|vovida software licen[cs]e
+w3c|w3c software (?:notice and )?(?:document )?licen[cs]e
+watcom-1.0|sybase open watcom public licen[cs]e
+xfree86-1.1|xfree86 licen[cs]e
+xnet|x net licen[cs]e
+ypl|yahoo public licen[cs]e
+zend-2.0|zend (?:engine )?licen[cs]e
+zimbra|zimbra public licen[cs]e
+non-commercial|for non ?commercial use only under (?:this|the) licen[cs]e
+dual|dual licen[cs]ed under
+multi|(?:triple|tri|multi) licen[cs]ed under
+sublicense|without the right to sub ?licen[cs]e
+"""
+# Other names, passages and notices: label, keyword, words in order.
+MORE = """
+d-fsl-1.0|lizenz|deutsche freie software lizenz
+copyleft-next|copyleft|copyleft next(?: 0 3 [01])?
+fdk-aac|fraunhofer|software licen[cs]e for the fraunhofer fdk aac codec library
+hpnd|permission notice|historical permission notice and disclaimer
+ijg|jpeg group|this software is based in part on the work of the independent jpeg group
+imatix|imatix|imatix standard function library agreement
+nasa-1.3|nasa open|nasa open source agreement(?: version)?(?: 1 3)?
+pddl-1.0|open data commons|open data commons public domain dedication(?: and licen[cs]e)?
+smlnj|standard ml|standard ml of new jersey copyright notice
+gemma|gemma terms|gemma terms of use
+public-domain|public domain|dedicate any and all copyright interest in (?:the|this) software to the public domain
+public-domain|public domain|this (?:file|code|software|work|document) has been put (?:in|into) the public domain
+public-domain|no copyright|no copyright is claimed
+proprietary|trade secret|contains (?:confidential|proprietary) information and trade secrets
+proprietary|internal use only|for internal use only
+proprietary|unauthorized|unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|document|material) (?:via any medium )?is (?:strictly )?prohibited
+proprietary|unpublished|unpublished rights reserved under the copyright laws of the united states
+proprietary|may not be reproduced|may not be reproduced (?:or distributed )?in (?:any form|whole or in part) without (?:the )?(?:prior|express) written (?:permission|consent)
+mit|noninfringement|merchantability fitness for a particular purpose and noninfringement
+mit|to deal in the software|to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+mit|sublicense|sublicense and or sell copies of the software
+mit|above copyright notice|the above copyright notice and this permission notice shall be included
+bsd|binary form|redistributions in binary form must reproduce the above copyright notice
+bsd|contributors as is|this software is provided by the (?:copyright holders|regents|author) and contributors as is
+bsd-3-clause|neither the name|neither the name of (?:the )?(?:[^ ]+ ){1,6}nor the names of its contributors
+bsd-4-clause|product includes software|this product includes software developed by
+apache-2.0|as is basis|distributed on an as is basis without warranties or conditions of any kind
+apache-2.0|contributor licen|under one or more contributor licen[cs]e agreements
+apache-2.0|perpetual worldwide|perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) licen[cs]e
+apache-1.1|apache software foundation|this product includes software developed by the apache software foundation
+gpl|hope that it will be useful|distributed in the hope that it will be useful but without any warranty
+gpl|received a copy|you should have received a copy of the gnu general public licen[cs]e
+lgpl|received a copy|you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e
+agpl|received a copy|you should have received a copy of the gnu affero general public licen[cs]e
+gpl|either version|either version [123] of the licen[cs]e or at your option any later version
+gpl|everyone is permitted|everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document
+gfdl|invariant sections|with no invariant sections no front cover texts and no back cover texts
+gpl-exception|special exception|as a special exception the copyright holders give you permission to link
+gcc-exception|runtime library exception|gcc runtime library exception
+classpath-exception|classpath|classpath exception
+mpl|mozilla|if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl
+mpl-1.1|licen|software distributed under the licen[cs]e is distributed on an as is basis
+epl|accompanying materials|this program and the accompanying materials are made available under the terms of
+cddl|covered software|this licen[cs]e applies to covered software under the common development
+zlib|misrepresented|the origin of this software must not be misrepresented
+zlib|plainly marked|altered source versions must be plainly marked as such
+isc|disclaims all warranties|the author disclaims all warranties with regard to this software
+boost-1.0|machine executable|solely in the form of machine executable object code generated by a source language processor
+unlicense|for any purpose commercial|for any purpose commercial or non commercial and by any means
+wtfpl|do what the f|do what the fuck you want to public licen[cs]e
+beerware|buy me a beer|buy me a beer in return
+ofl|reserved font name|with reserved font name
+cc0-1.0|no rights reserved|no rights reserved
+cc0-1.0|cc0|cc0 1 0 universal public domain dedication
+cc-by|appropriate credit|you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made
+cc-by-sa|share alike|distribute your contributions under the same licen[cs]e as the original share alike
+cc-by-nd|distribute the modified|you may not distribute the modified material
+cc-by-nc|commercial purposes|you may not use the material for commercial purposes
+warranty|as is|provided as is without (?:any )?(?:express or implied )?warranty
+warranty|in no event|in no event shall the (?:authors?|copyright (?:holders?|owner)|contributors) (?:or (?:copyright holders|contributors) )?be liable
+warranty|merchantability|implied warrant(?:y|ies) of merchantability (?:and|or) fitness for a particular purpose
+warranty|consequential|direct indirect incidental special exemplary or consequential damages
+warranty|use at your own risk|use at your own risk
+copyright|copr |copr (?:19|20)[0-9]{2}
+copyright|rights reserved by|rights reserved by (?:the )?(?:author|publisher|copyright holder)s?
+copyright|copyright notice|this copyright notice (?:must|shall|may) (?:not )?be (?:retained|removed|included)
+trademark|trademark|(?:is|are) (?:a )?registered trademarks? of
+patent|patent|(?:patent|patents) pending
+license-reference|licen|licen[cs]e file in the (?:root|top level) (?:directory|folder) of this (?:source tree|repository|project|distribution)
+license-reference|licen|found in the licen[cs]e(?: txt| md)? file
+license-reference|licen|by (?:downloading|installing|using) (?:this|the) [^ ]+ you agree to (?:the terms of )?(?:this|the) licen[cs]e
+license-reference|licen|refer to the licen[cs]e for the specific language governing
+license-reference|licen|third party licen[cs]es?
+license-reference|copying|full copyright notice in the file copying
+license-reference|eula|end user licen[cs]e agreement eula
+"""
 # Notices that name no license.
 NOTICES = [
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?"),
@@ -123,7 +362,29 @@ NOTICES = [
     ("license-reference", "see", "see (?:the )?(?:file )?(?:license|licence|copying|notice)(?: txt| md)?(?: file)? for (?:details|more|the|terms|full)"),
     ("license-reference", "licen", "(?:released|licen[cs]ed|distributed|published|available) under(?: the)?(?: terms of(?: the)?)?(?: [^ ]+){0,3} licen[cs]e"),
 ]
-ROOTS = "licen|attribution|see (?:the )?(?:file )?(?:copying|notice)|lgpl|agpl|gpl|cc0| cc by|creative ?commons|copyright|rights reserved|public domain|spdx|warrant|redistribut|hereby granted|permission to use|endorse or promote|unencumbered|neighboring rights|substantial portions|free software|software foundation|advertising materials|source code form|arising from|apache|bsd|mpl|epl|cddl|cpl|eupl|ofl|osl|afl|zpl|odbl|lppl|busl|sspl|gfdl|wtfpl|mit no attribution|proprietary and confidential"
+# Each rule's match holds "licen" or, at the beginning of a word, one of these.
+ROOTS = (
+    "attribution|see copying|see the copying|see file copying|see the file copying|see notice|see the notice|see file notice|see the file notice|"
+    "lgpl|agpl|gpl|cc0|cc by|creative commons|creativecommons|copyright|all rights reserved|some rights reserved|rights reserved|public domain|spdx|warrant|redistribut|"
+    "hereby granted|permission to use|endorse or promote|unencumbered|neighboring rights|substantial portions|free software|software foundation|advertising materials|source code form|"
+    "arising from|apache|bsd|0bsd|freebsd|mpl|epl|cddl|cpl|eupl|ofl|osl|afl|zpl|odbl|lppl|busl|sspl|gfdl|wtfpl|mit no attribution|proprietary and confidential"
+).split("|")
+
+
+def _trie(words: list[str]) -> str:
+    """A regex for any of ``words`` that tries each first letter once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads:
+        return ""
+    return "(?:" + "|".join(re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())) + ")"
+
+
+def roots(extra: list[dict]) -> str:
+    """A regex of which something occurs in whatever a rule matches: ``ROOTS`` and keywords of ``MORE`` after a space, and keywords of extra rules anywhere."""
+    mine = {*ROOTS, *(line.split("|", 2)[1].strip() for line in MORE.split("\n") if line)} - {"licen"}
+    return "|".join(["licen", " " + _trie(sorted(mine)), *sorted(re.escape(k) for r in extra for k in r["keyword"].split("|"))])
 
 
 def words_of(version: str) -> str:
@@ -152,7 +413,7 @@ def rules() -> list[dict]:
             v = words_of(version)
             add(10, 1.0, f"{label}-{version}", "spdx", f"spdx license identifier cc {short} {v}")
             add(20, 0.95, f"{label}-{version}", "cc", f"cc {short}(?: version| v)? {v}(?: international| unported| generic)?")
-            add(20, 0.95, f"{label}-{version}", "attribution", f"(?:creative commons )?{long}(?: version| v)? {v}(?: international| unported| generic)?(?: public| license)*")
+            add(20, 0.95, f"{label}-{version}", "attribution", f"(?:creative commons )?{long}(?: version| v)? {v}(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?")
             add(30, 0.9, f"{label}-{version}", "creativecommons", f"creativecommons org licenses {short} {v}")
         add(40, 0.7, label, "cc", f"cc {short}")
         add(40, 0.7, label, "creative commons", f"creative commons {long}")
@@ -161,6 +422,11 @@ def rules() -> list[dict]:
     for label in sorted({label for label, _, _ in PLAIN if label not in ("proprietary", "public-domain")}):
         add(10, 1.0, label, "spdx", "spdx license identifier " + label.replace("-", " "))
         add(30, 0.9, label, "opensource org", "opensource org licenses? " + label.replace("-", " "))
+    for label, name in (line.split("|", 1) for line in NAMES.split("\n") if line):
+        add(25, 0.85, label, "licen", name)
+    for label, keyword, words in (line.split("|", 2) for line in MORE.split("\n") if line):
+        low = label in ("warranty", "copyright", "trademark", "patent", "license-reference")
+        add(60 if low else 30, 0.4 if low else 0.85, label, keyword, words)
     for label, keyword, words in PASSAGES:
         add(30, 0.9, label, keyword, words)
     for label, keyword, words in NOTICES:
@@ -169,12 +435,13 @@ def rules() -> list[dict]:
     return [dict(zip(keys, r, strict=True)) | {"id": i} for i, r in enumerate(found)]
 
 
-_RULE = "array<struct<id:int,priority:int,confidence:double,label:string,keywords:array<string>,take:string,cut:string>>"
+# Rules with the same keywords stand behind one gate.
+_RULE = "array<struct<keywords:array<string>,rules:array<struct<id:int,priority:int,confidence:double,label:string,take:string,cut:string>>>>"
 
 # Detections of a segment s among rules: s.text begins with "^ ", words are single-spaced, and a match begins at the space before its first word.
 _FOUND = """
 transform(segments, s -> element_at(transform(array(
-  flatten(transform(filter(rules, r -> exists(r.keywords, k -> contains(s.text, k)) and rlike(s.text, r.cut)),
+  flatten(transform(filter(flatten(transform(filter(gates, g -> exists(g.keywords, k -> contains(s.text, k))), g -> g.rules)), r -> rlike(s.text, r.cut)),
     r -> element_at(transform(array(struct(regexp_extract_all(s.text, r.take, 1) as found, split(s.text, r.cut, -1) as pieces)),
       m -> transform(m.found, (t, i) -> struct(
         aggregate(slice(m.pieces, 1, i + 1), 0, (n, p) -> n + length(p)) as lo, length(t) as n,
@@ -200,8 +467,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     """
     table = rules()
     table += [r | {"id": len(table) + i} for i, r in enumerate(extra or [])]
-    literal = json.dumps([{k: r[k] for k in ("id", "priority", "confidence", "label")} | {"keywords": r["keyword"].split("|")} | {"take": f"(?=( {r['regex']})(?= ))", "cut": f"(?= {r['regex']}(?= ))"} for r in table])
-    roots = "|".join([ROOTS, *(re.escape(k) for r in extra or [] for k in r["keyword"].split("|"))])
+    gates: dict[str, list[dict]] = {}
+    for r in table:
+        gates.setdefault(r["keyword"], []).append({k: r[k] for k in ("id", "priority", "confidence", "label")} | {"take": f"(?=( {r['regex']})(?= ))", "cut": f"(?= {r['regex']}(?= ))"})
+    literal = json.dumps([{"keywords": k.split("|"), "rules": rules} for k, rules in gates.items()])
     base = "(?= (?:" + "|".join(BASE) + ")(?= ))"
     lowered = F.translate(text_of(text_col), UPPER, LOWER)
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.concat(F.lit("^ "), F.trim(F.regexp_replace(lowered, GAPS, " ")), F.lit(" ")).alias("line"))
@@ -211,7 +480,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
         "line",
         F.expr(f"if(line = '^  ', 0, {spaces('line')} - 1)").cast("long").alias("n_words"),
         F.expr(f"case when {' or '.join(f'''contains(line, ' {p} ')''' for p in BASE)} then split(line, r'{base}', -1) end").alias("places"),
-        F.col("line").rlike(roots).alias("open"),
+        F.col("line").rlike(roots(extra or [])).alias("open"),
     )
     base_labels = "filter(array(" + ", ".join(f"if(contains(line, ' {p} '), '{label}', null)" for p, label in sorted(BASE.items(), key=lambda x: x[1])) + "), x -> x is not null)"
     based = counted.select(
@@ -224,8 +493,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
         F.expr("if(open, split(trim(substring(line, 2)), ' '), null)").alias("w"),
     )
     segmented = based.withColumn("segments", F.expr(f"if(w is null, null, {_SEGMENTS})")).drop("w")
-    ruled = segmented.withColumn("rules", F.when(F.col("segments").isNotNull(), F.from_json(F.lit(literal), _RULE)))
-    found = ruled.withColumn("found", F.expr(f"if(segments is null, null, {_FOUND})")).drop("segments", "rules")
+    ruled = segmented.withColumn("gates", F.when(F.col("segments").isNotNull(), F.from_json(F.lit(literal), _RULE)))
+    found = ruled.withColumn("found", F.expr(f"if(segments is null, null, {_FOUND})")).drop("segments", "gates")
     flat = found.withColumn("kept", F.coalesce(F.flatten("found"), F.expr("cast(array() as array<struct<lo:int,n:int,priority:int,id:int,label:string,confidence:double>>)")))
     return flat.select(
         F.col("id").alias(id_col),
