@@ -20,8 +20,8 @@ the stream ``*``, with weight ``other``. So the plan is bounded by the length of
 
 Within a stream rows go by hash bucket, then id (a fixed shuffle).
 Defined results: a null source is in ``*``; a null id is a row like others;
-repeated rows keep a place each; an empty table gives an empty result; columns
-with clashing names are left alone, new columns are those stated.
+repeated rows keep a place each; an empty table gives an empty result; an input
+column that bears the name of a new one stays as it is, and the new one gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -116,16 +116,16 @@ def mix(docs: DataFrame, weights: dict[str, float], other: float, block_rows: in
     """
     known = F.array(*map(F.lit, sorted(weights))) if weights else F.expr("cast(array() as array<string>)")
     source = F.col(f"`{source_col}`")
-    stream, rank, plan = fresh(docs, "mix_stream", "__mix_rank", "__mix_plan")
+    stream, block, slot, pos, rank, plan, key = fresh(docs, "mix_stream", "mix_block", "mix_slot", "mix_pos", "__mix_rank", "__mix_plan", "__stream")
     named = docs.withColumn(stream, F.when(F.array_contains(known, source), source).otherwise(F.lit(OTHER)))
-    counts = {r[0]: r[1] for r in named.groupBy(stream).count().collect()}  # len(weights) + 1 rows at most
+    counts = {r[0]: r[1] for r in named.groupBy(stream).agg(F.count(F.lit(1))).collect()}  # len(weights) + 1 rows at most
     every = {**weights, OTHER: other}
     table = phases({k: -(-n // block_rows) for k, n in counts.items()}, every, period)
-    ranked = rank_within(named, stream, [id_col], rank).withColumn("mix_block", F.floor(F.col(rank) / block_rows).cast("long"))
+    ranked = rank_within(named, stream, [id_col], rank).withColumn(block, F.floor(F.col(rank) / block_rows).cast("long"))
     steps = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), _PLAN)))
-    by_stream = steps.groupBy("stream").agg(F.collect_list(F.struct("lo", "hi", "share", "base", "period", "slots")).alias(plan)).withColumnRenamed("stream", "__stream")
-    placed = ranked.join(F.broadcast(by_stream), ranked[stream] == by_stream["__stream"])  # len(weights) + 1 rows
-    at = f"element_at(transform(filter(`{plan}`, p -> mix_block >= p.lo and mix_block < p.hi), p -> p.base + (mix_block - p.lo) div p.share * p.period + element_at(p.slots, cast((mix_block - p.lo) % p.share as int) + 1)), 1)"
-    slotted = placed.withColumn("mix_slot", F.expr(at))
-    position = F.col("mix_slot") * block_rows + F.col(rank) % block_rows
-    return slotted.select(*[slotted[f"`{c}`"] for c in docs.columns], F.col(stream).alias("mix_stream"), "mix_block", "mix_slot", position.cast("long").alias("mix_pos"))
+    by_stream = steps.groupBy(F.col("stream").alias(key)).agg(F.collect_list(F.struct("lo", "hi", "share", "base", "period", "slots")).alias(plan))
+    placed = ranked.join(F.broadcast(by_stream), ranked[stream] == by_stream[key])  # len(weights) + 1 rows
+    at = f"element_at(transform(filter(`{plan}`, p -> `{block}` >= p.lo and `{block}` < p.hi), p -> p.base + (`{block}` - p.lo) div p.share * p.period + element_at(p.slots, cast((`{block}` - p.lo) % p.share as int) + 1)), 1)"
+    slotted = placed.withColumn(slot, F.expr(at))
+    position = F.col(slot) * block_rows + F.col(rank) % block_rows
+    return slotted.select(*[F.col(f"`{c}`") for c in docs.columns], stream, block, slot, position.cast("long").alias(pos))
