@@ -20,28 +20,48 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language (no letter at all); automata are fitted on labelled rows of ``documents``."""
+    """Rejects documents in no language: those without a letter, and those that the best language's automaton parses far worse than letters without any rule.
+
+    Automata are fitted on labelled rows of ``documents``; where no language could be learnt, documents with a letter stay. A null or empty
+    text goes; a very long one is parsed whole; ties between languages reject nothing; of repeated rows all or none stay; an empty table stays empty;
+    other columns, of any name, are kept.
+    """
     training = language_id.sample_training(table(spark, sf_dir, "documents"), MAY_LEARN)
     return language_id.keep_known(docs, training)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+    """Of equal texts, the document with the largest id stays.
+
+    A null text equals an empty one; a null id is below all others; of repeated rows one stays, that whose other
+    columns are largest; texts of any length are compared whole; an empty table stays empty.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near copies (five-word shingles, similarity 0.8 or more), the one with the smallest id stays."""
+    """Of documents linked by near copies (five-word shingles, similarity 0.8 or more), the one with the smallest id stays.
+
+    A null or empty text is near to none; a text of under five words is one shingle; rows with a null id stay; rows that
+    repeat an id stay or go together; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, ordered so that sources interleave at their target weights."""
-    return mixing.mix(docs, WEIGHTS, OTHER_WEIGHT).orderBy("mix_pos").select(*docs.columns)
+    """All documents, ordered so that sources interleave at their target weights.
+
+    A null source is one of the others; null and repeated ids have a place each; columns that bear the names of mixing's own stay as they are.
+    """
+    found = mixing.mix(docs, WEIGHTS, OTHER_WEIGHT)
+    return found.orderBy(found.columns[-1]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens; of each length, documents go out in the order in which mixing wrote them."""
+    """Pieces of all documents in sequences of 2048 tokens; of each length, documents go out in the order in which mixing wrote them.
+
+    A null or empty text is one piece with the closing id alone; null and repeated ids are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), in_file_order="parquet" in {f.rsplit(".", 1)[-1] for f in docs.inputFiles()[:1]})
 
 
@@ -49,9 +69,14 @@ STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what stages wrote before it is removed when the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs

@@ -37,8 +37,9 @@ from labelforge.llm.common import slices
 
 UND = "und"
 WINDOW = 512
-MOST_SYMBOLS = 250
 LEAST_LENGTH = 4_000
+MOST_CELLS = 24_000_000
+EVIDENCE = 64
 GAP = 1  # the symbol of all that is no letter; 0 is a letter that training has not
 
 
@@ -60,9 +61,9 @@ class Alphabet:
             for c in text.lower():
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        self.letters = sorted(counts, key=lambda c: (-counts[c], c))[:MOST_SYMBOLS]
+        self.letters = sorted(counts, key=lambda c: (-counts[c], c))  # the sample bounds them
         self.size = len(self.letters) + 2
-        self.table = np.where(_letters(), 0, GAP).astype(np.uint8)
+        self.table = np.where(_letters(), 0, GAP).astype(np.uint8 if self.size < 256 else np.uint16 if self.size < 65_536 else np.uint32)
         for i, c in enumerate(self.letters):
             self.table[ord(c)] = i + 2
             if len(c.upper()) == 1:
@@ -72,8 +73,8 @@ class Alphabet:
         return self.table[_points(text)]
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton as a table of states x symbols; state 0 is dead, 1 the start."""
+def suffix_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is dead, 1 the start."""
     moves: list[dict[int, int]] = [{}, {}]
     length, link = [0, 0], [0, 0]
     last = 1
@@ -100,6 +101,12 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return moves
+
+
+def automaton(symbols: list[int], size: int) -> np.ndarray:
+    """The moves as a table of states x symbols."""
+    moves = suffix_moves(symbols)
     table = np.zeros((len(moves), size), np.int32)
     for s, row in enumerate(moves):
         for c, t in row.items():
@@ -107,24 +114,52 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
     return table
 
 
+class Moves:
+    """Moves that never die: a dead end starts a phrase, so the move goes on from the start, marked by its sign.
+
+    From the last state, which is that before a text and after an unknown letter, every move starts a phrase. Up to ``MOST_CELLS``
+    cells are a table; for larger alphabets the same moves are kept sorted.
+    """
+
+    def __init__(self, symbols: list[int], size: int, most_cells: int = MOST_CELLS):
+        self.size, moves = size, suffix_moves(symbols)
+        self.last = len(moves)
+        self.first = np.full(size, self.last, np.int32)
+        self.first[list(moves[1])] = list(moves[1].values())
+        states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        keys = states * size + np.fromiter((c for m in moves for c in m), np.int64, len(states))
+        to = np.fromiter((t for m in moves for t in m.values()), np.int32, len(states))
+        self.table = self.keys = None
+        if (len(moves) + 1) * size <= most_cells:
+            self.table = np.tile(-self.first, len(moves) + 1)
+            self.table[keys] = to
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = np.append(keys[order], -1), np.append(to[order], 0)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.size + symbol]
+        wanted = state.astype(np.int64) * self.size + symbol
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, self.to[at], -self.first[symbol])
+
+
+
+
 class Model:
     def __init__(self, training: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in training]
         self.alphabet = Alphabet([text for _, text in training])
-        self.tables, self.weights = [], []
+        self.moves, self.weights, self.own = [], [], []
         for _, text in training:
             symbols = self.alphabet.symbols(text).tolist()
-            table = automaton(symbols, self.alphabet.size)
-            table = np.concatenate([table, np.zeros((1, self.alphabet.size), np.int32)])
-            # A dead end starts a phrase: the move goes on from the start, marked by its sign. From the last
-            # state, which is that before a text and after an unknown letter, every move starts a phrase.
-            first = np.where(table[1] > 0, table[1], len(table) - 1)
-            self.tables.append(np.where(table > 0, table, -first[None, :]).astype(np.int32).ravel())
+            self.moves.append(Moves(symbols, self.alphabet.size))
             self.weights.append(math.log2(max(LEAST_LENGTH, len(symbols))))
+            self.own.append(math.log2(max(2, len(symbols))))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text in each language."""
-        size = self.alphabet.size
         symbols = [self.alphabet.symbols(t) for t in texts]
         lengths = np.array([len(s) for s in symbols], np.int64)
         counts = np.maximum(1, -(-lengths // WINDOW))
@@ -132,36 +167,47 @@ class Model:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         wide = np.minimum(WINDOW, lengths[owner] - nth * WINDOW)
         order = np.argsort(-wide, kind="stable")
-        flat = np.concatenate([*symbols, np.zeros(WINDOW, np.uint8)])
+        flat = np.concatenate([*symbols, np.zeros(WINDOW, self.alphabet.table.dtype)])
         starts = (np.cumsum(lengths) - lengths)[owner] + nth * WINDOW
         lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[starts[order]].T)
         active = np.searchsorted(-wide[order], -np.arange(WINDOW), "left")
         out = np.empty((len(texts), len(self.langs)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, found = np.full(len(owner), len(table) // size - 1, np.int32), np.zeros(len(owner), np.int32)
+        for k, move in enumerate(self.moves):
+            state, found = np.full(len(owner), move.last, np.int32), np.zeros(len(owner), np.int32)
             for j in range(WINDOW):
                 n = active[j]
                 if not n:
                     break
-                to = table[state[:n] * size + lanes[j, :n]]
+                to = move(state[:n], lanes[j, :n])
                 found[:n] += to < 0
                 np.abs(to, out=state[:n])
             out[:, k] = np.bincount(owner[order], weights=found, minlength=len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+    def judge(self, texts: list[str | None], most_bits: float = 1.5) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether the text is foreign to all languages.
+
+        A foreign text costs, in its best language and without the phrases at its ends, over ``most_bits`` times
+        as much as letters that follow no rule do (the logarithm of the alphabet's size for each character), by over ``EVIDENCE`` bits.
+        A phrase costs the logarithm of the language's own length here, so what is learnt from little text rejects little.
+        """
+        langs, scores, foreign = [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
         letters = _letters()
         at = [i for i, t in enumerate(texts) if t and letters[_points(t)].any()] if self.langs else []
-        for lo, hi in slices(at, 4_000_000, lambda i: len(texts[i])):
+        for lo, hi in slices(at, 1_000_000, lambda i: len(texts[i])):
             part = at[lo:hi]
-            cost = self.phrases([texts[i] for i in part]) * np.array(self.weights)
+            found = self.phrases([texts[i] for i in part])
+            cost = found * np.array(self.weights)
             best = cost.argmin(axis=1)
-            for i, row, b in zip(part, cost, best, strict=True):
+            for i, row, b, n in zip(part, cost, best, found[np.arange(len(part)), best], strict=True):
                 langs[i] = self.langs[b]
                 rest = np.delete(row, b)
                 scores[i] = float(1 - row[b] / rest.min()) if len(rest) else 1.0
-        return langs, scores
+                foreign[i] = bool((n - 2) * self.own[b] > most_bits * math.log2(self.alphabet.size) * len(texts[i]) + EVIDENCE)
+        return langs, scores, foreign
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
 
 
 @lru_cache(maxsize=2)
@@ -169,18 +215,28 @@ def model(training: tuple[tuple[str, str], ...]) -> Model:
     return Model(training)
 
 
-def sample_training(docs: DataFrame, may_learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 200, train_chars: int = 40_000) -> tuple[tuple[str, str], ...]:
+def sample_training(docs: DataFrame, may_learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 200, train_chars: int = 40_000, salts: int = 64) -> tuple[tuple[str, str], ...]:
     """``((lang, text), ...)`` by language: the bounded sample that automata are fitted on.
 
     ``may_learn`` is a condition in SQL that says which rows may be learnt from. Rows without text or
     label are passed over. Each of the chosen texts gives an equal share of
-    ``train_chars``, from its start.
+    ``train_chars``, from its start, and only as much of it is moved.
     """
-    rows = docs.filter(may_learn).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("lang is not null and rlike(text, '[\\\\p{L}]')")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    head = rows.select("lang", "id", F.substring("text", 1, train_chars).alias("text"))
-    chosen = head.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= rows_per_language)
-    share = chosen.select("lang", "k", F.substring("text", 1, max(64, 4 * train_chars // rows_per_language)).alias("text")).orderBy("lang", "k").collect()
+    share = max(64, 4 * train_chars // rows_per_language)
+    read = docs.filter(may_learn).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{text_col}`").alias("text")).filter(r"lang is not null and rlike(text, '[\\p{L}]')")
+    rows = read.select("lang", "h", F.substring("text", 1, share).alias("text"))
+
+    def smallest(of: DataFrame, *order: str) -> DataFrame:
+        """The ``rows_per_language`` first of each language: of each salt, then of these, so no task reads a whole language."""
+        for deal in (["lang", "salt"], ["lang"]):
+            of = of.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)) if len(deal) > 1 else F.lit(0))
+            of = of.withColumn("k", F.row_number().over(Window.partitionBy(*deal).orderBy(*order))).filter(F.col("k") <= rows_per_language)
+        return of
+
+    # hashes alone say which texts are fetched
+    limits = smallest(rows.select("lang", "h"), "h").groupBy("lang").agg(F.max("h").alias("most"))
+    chosen = smallest(rows.join(F.broadcast(limits), "lang").filter("h <= most").select("lang", "h", "text"), "h", "text")
+    share = chosen.select("lang", "k", "text").orderBy("lang", "k").collect()
     texts: dict[str, str] = {}
     for r in share:
         texts[r["lang"]] = f"{texts.get(r['lang'], '')} {r['text']}" if len(texts.get(r["lang"], "")) < train_chars else texts[r["lang"]]
@@ -199,8 +255,8 @@ def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, training: tuple[tuple[str, str], ...], text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that are in some language, with all their columns: not ``und`` and with a score of ``least_score`` or more.
+def keep_known(docs: DataFrame, training: tuple[tuple[str, str], ...], text_col: str = "text", most_bits: float = 1.5) -> DataFrame:
+    """The rows of ``docs`` that are in some language, with all their columns: neither ``und`` nor foreign to all (see ``Model.judge``).
 
     Where no language could be learnt, rows with a letter stay.
     """
@@ -210,7 +266,7 @@ def keep_known(docs: DataFrame, training: tuple[tuple[str, str], ...], text_col:
 
     def run(batches):
         for b in batches:
-            langs, scores = model(training).predict(b.column(names.index(text_col)).to_pylist())
-            yield b.filter(pa.array([x != UND and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, foreign = model(training).judge(b.column(names.index(text_col)).to_pylist(), most_bits)
+            yield b.filter(pa.array([x != UND and not f for x, f in zip(langs, foreign, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
