@@ -76,7 +76,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(), path_col="source")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(dictionary=tokenizer("word_bpe_49k.json")), path_col="source")
 
 
 def queries() -> dict:

@@ -3,7 +3,7 @@
 Candidates come from patterns of known key shapes and of quoted or bare values
 after words such as ``token =``, whole at any length. Each candidate gets features of its length,
 of its character classes and the transitions between them, of how much of it
-dictionary words cover, of the path it was found in and of the neighbouring
+dictionary words cover (the whole words of a tokenizer's vocabulary, if its path is given), of the path it was found in and of the neighbouring
 words. A forest of decision trees trained from labelled findings scores it;
 candidates under ``threshold`` are false positives.
 
@@ -20,6 +20,7 @@ an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -42,7 +43,7 @@ SHAPES = {
     "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
     "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?)[\"']?[ \t]*+(?:=|:|:=|=>)[ \t]*+[\"']?(?P<value>[^\s\"'<>,;]{6,}+)",
+    "assigned": r"(?ai:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?)[\"']?[ \t]*+(?::=|=>|=|:)[ \t]*+[\"']?(?P<value>[^\s\"'<>,;]{6,}+)",
 }
 FINDER = re.compile("|".join(f"(?P<k{i}>{p})" for i, p in enumerate(SHAPES.values())))
 KINDS = list(SHAPES)
@@ -50,40 +51,66 @@ KINDS = list(SHAPES)
 HINT = r"(?i)akia|asia|gh[pousr]_|xox[abprs]-|aiza|[sr]k_(?:live|test)_|eyj|private key|token|secret|passw|pwd|key|auth|credential"
 WORDS = "about access account admin after again alpha apple base before beta black blue change check client code config connect data database debug default delete demo description dev disable document domain dummy empty enable encode error example fake false file first fixture folder function global green group hello here home host house index input insert invalid item key language last layer letter level list local login main manager master message method missing mode module monkey name network none null number object option output page parameter password path placeholder please port private production public query random read record remote replace request required result return right root sample schema secret select server service session setting simple source staging start state status string super system table temp test text this time token true type undefined unknown update user value variable version welcome with word world write xxxx your".split()
 NAMES_SECRET = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "credential", "private")
-NAMES_OTHER = ("example", "sample", "test", "dummy", "placeholder", "sha", "md5", "checksum", "hash", "commit", "revision", "uuid", "digest", "integrity", "etag", "fingerprint")
+#: Words, whole, beside values that are no secrets.
+NAMES_OTHER = frozenset(("example", "sample", "test", "dummy", "placeholder", "sha", "md", "checksum", "hash", "commit", "revision", "uuid", "digest", "integrity", "etag", "fingerprint"))
 PATHS_OTHER = ("test", "spec", "fixture", "example", "sample", "mock", "doc", "vendor", "lock")
 
 
 @cache
-def _dictionary():
-    return re.compile("|".join(sorted((w for w in WORDS if len(w) >= 4), key=len, reverse=True)))
+def _dictionary(path: str | None):
+    """An automaton of the words of ``path`` (a tokenizer's vocabulary of whole words), or of ``WORDS``: ASCII letters, four or more."""
+    import ahocorasick
+
+    words = set(WORDS)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        ends = [w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>")]
+        words |= set(ends or (w.lstrip("\u0120\u2581") for w in vocabulary))
+    found = ahocorasick.Automaton()
+    for w in words:
+        if len(w) >= 4 and w.isascii() and w.isalpha() and w.islower():
+            found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def covered(text: str, path: str | None = None) -> float:
+    """The part of ``text`` that words of the dictionary cover, each place counted once."""
+    low = text.lower()
+    if not low.isascii():
+        low = "".join(c if c.isascii() else "\x00" for c in low)
+    spans, total, last = sorted((end - n + 1, end + 1) for end, n in _dictionary(path).iter(low)), 0, 0
+    for a, b in spans:
+        total += max(0, b - max(a, last))
+        last = max(last, b)
+    return total / max(1, len(low))
 
 
 def classes(text: str) -> np.ndarray:
     return np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in text], np.int64)
 
 
-def features(candidate: str, path: str, before: str, after: str) -> list[float]:
+def features(candidate: str, path: str, before: str, after: str, dictionary: str | None = None) -> list[float]:
     n = len(candidate)
     kinds = classes(candidate)
     moves = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(1, n - 1)
     counts = np.unique(list(candidate), return_counts=True)[1] / n
     entropy = float(-(counts * np.log2(counts)).sum())
     low = candidate.lower()
-    covered = sum(len(m[0]) for m in _dictionary().finditer(low)) / n
     vowels = sum(c in "aeiou" for c in low) / n
     hexed = sum(c in "0123456789abcdef" for c in low) / n
     runs = max((len(m[0]) for m in re.finditer(r"(.)\1*", candidate, re.S)), default=0) / n
     near, tail, place = before.lower(), after.lower(), path.lower()
     last = re.findall(r"[a-z_]+", near)[-2:]
     return [
-        math.log2(n), entropy, entropy / math.log2(max(2, n)), covered, vowels, hexed, runs,
+        math.log2(n), entropy, entropy / math.log2(max(2, n)), covered(candidate, dictionary), vowels, hexed, runs,
         *(np.bincount(kinds, minlength=4) / n).tolist(),
         *moves.tolist(),
         float((kinds[:-1] != kinds[1:]).mean()) if n > 1 else 0.0,
         float(any(w in p for p in last for w in NAMES_SECRET)),
         float(any(w in near for w in NAMES_SECRET)),
-        float(any(w in near or w in tail for w in NAMES_OTHER)),
+        float(not NAMES_OTHER.isdisjoint(re.findall("[a-z]+", f"{near} {tail}"))),
         float(any(w in place for w in PATHS_OTHER)),
         float(any(x in candidate for x in ("${", "{{", "<", "%(", "$(", "()"))),
         float("." in candidate or "/" in candidate),
@@ -122,6 +149,9 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
             lambda: rng.choice(WORDS) + draw(digits, rng.randint(1, 4)),
             lambda: draw("eaiounrst", rng.randint(6, 16)),
             lambda: "changeme" + draw(digits, rng.randint(0, 3)),
+            lambda: rng.choice(["your", "my", "<your", "insert", "enter"]) + rng.choice("-_") + rng.choice("-_").join(rng.sample(WORDS, 2)) + rng.choice(["", "-here", "_here", ">"]),
+            lambda: rng.choice(["process.env.", "os.environ.", "self.", "config.", "settings."]) + "_".join(rng.sample(WORDS, 2)).upper(),
+            lambda: "".join(w.capitalize() for w in rng.sample(WORDS, rng.randint(2, 4))) + rng.choice(["", "()", "Id"]),
             lambda: "1234567890abcdef"[: rng.randint(6, 16)],
             lambda: "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
             lambda: draw("0123456789abcdef", rng.choice([32, 40, 64])),
@@ -135,8 +165,8 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
 class Forest:
     """Decision trees on bootstrap rows with a random choice of features at each split; leaves hold the share of label 1."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 9, least: int = 4, seed: int = 11):
-        self.trees = []
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 9, least: int = 4, seed: int = 11, dictionary: str | None = None):
+        self.trees, self.dictionary = [], dictionary
         rng = np.random.default_rng(seed)
         for _ in range(trees):
             rows = rng.integers(0, len(x), len(x))
@@ -193,14 +223,17 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: DataFrame | list | None = None) -> Forest:
-    """A forest from labelled findings: rows of (candidate, path, before, after, label), or those made here."""
+def train(findings: DataFrame | list | None = None, dictionary: str | None = None) -> Forest:
+    """A forest from labelled findings: rows of (candidate, path, before, after, label), or those made here.
+
+    ``dictionary`` is the path of a tokenizer file whose whole words serve as dictionary, here and on executors.
+    """
     if isinstance(findings, DataFrame):
         few = findings.select("candidate", "path", "before", "after", "label").orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after").limit(MOST_ROWS)
         findings = [tuple(r) for r in few.collect()]
     rows = findings or labelled_findings()
-    x = np.array([features(c, p or "", b or "", a or "") for c, p, b, a, _ in rows])
-    return Forest(x, np.array([r[4] for r in rows], np.float64))
+    x = np.array([features(c, p or "", b or "", a or "", dictionary) for c, p, b, a, _ in rows])
+    return Forest(x, np.array([r[4] for r in rows], np.float64), dictionary=dictionary)
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -218,7 +251,7 @@ def findings_in(text: str, path: str, forest: Forest, threshold: float) -> tuple
     spans = candidates(text)
     if not spans:
         return 0, []
-    x = np.array([features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) for _, a, b in spans])
+    x = np.array([features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], forest.dictionary) for _, a, b in spans])
     scores = np.round(forest.score(x), 6)
     # a private key's header is a finding whatever it is made of
     return len(spans), [(k, a, b, float(s)) for (k, a, b), s in zip(spans, scores, strict=True) if s >= threshold or k == "private-key"]

@@ -51,3 +51,34 @@ def test_packing_takes_documents_in_the_order_of_mixing(spark, tmp_path):
         places = [place for _, _, place in sorted(found)]
         assert places == sorted(places)
     assert len({r["doc_id"] for r in out}) == 2000
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SHAPE).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls everywhere, repeated rows and ids, and columns that bear the names which stages use themselves."""
+    words = "the old house on the hill was painted green by two men from the town last summer while it rained".split()
+    rows = [
+        (None, " ".join(words), "en", None, None), (None, None, None, "src0", 1), (1, None, "en", "src0", 1), (2, "", None, None, None),
+        (3, " ".join(words[3:]), "en", "src0", 5), (3, " ".join(reversed(words)), "en", "src1", 5),
+        (4, "one two three", None, "src2", 3), (4, "one two three", None, "src2", 3), (5, "word " * 9000, "en", "src3", 2),
+    ]
+    clash = ["key", "digest", "component", "mix_pos", "mix_block", "__salt", "__text", "id", "length", "salt"]
+    docs = spark.createDataFrame(rows, SHAPE).selectExpr("*", *[f"coalesce(doc_id, 0) + {i} as `{c}`" for i, c in enumerate(clash)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now, counts = docs, []
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        counts.append(now.count())
+        if i < 4:
+            assert now.columns == docs.columns
+    # three texts are null or empty; one row is repeated; no text is near another
+    assert counts[:4] == [6, 5, 5, 5]
+    assert {r["doc_id"] for r in now.collect()} == {None, 3, 4, 5}
