@@ -54,24 +54,41 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.filter("not (kind = 'genre' and contains(path, ' / PROMO')) and not (kind = 'metadata' and path = 'ASIA')")
 
 
+#: Fields of a source record after isbn13, source and ingest_seq.
+RECORD = ("title", "publisher", "number_of_pages", "tags", "authors", "country", "publication_place", "date_of_publication", "language", "physical_format", "cover_url", "blurb", "reviews")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(isbn13, source, ingest_seq, title, publisher, number_of_pages, tags) of three sources, with gaps and a repeated record."""
+    """(isbn13, source, ingest_seq, ...``RECORD``) of three sources, with gaps and a repeated record."""
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    key, name = F.col("p_partkey"), F.col("p_name")
+    key, name, maker = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
     words = F.concat(F.split(name, " "), F.array("p_type"))
-    names = ("source", "ingest_seq", "title", "publisher", "number_of_pages", "tags")
-    record = lambda *values: F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
-    library = (F.when(key % 7 != 0, name), F.when(key % 5 != 0, F.col("p_brand")), F.when(key % 3 != 0, F.col("p_size")), words)
+    none, text = F.lit(None).cast("string"), lambda x: F.lit(x).cast("string")
+    no_list = F.array().cast("array<string>")
+    record = lambda *values: F.struct(*[v.alias(n) for n, v in zip(("source", "ingest_seq", *RECORD), values, strict=True)])
+    library = (
+        F.when(key % 7 != 0, name), F.when(key % 5 != 0, F.col("p_brand")), F.when(key % 3 != 0, F.col("p_size")), words,
+        F.when(key % 4 != 1, F.array(maker)).otherwise(no_list), F.when(key % 9 == 0, "India"), F.when(key % 2 == 0, F.array(F.lit("London"), F.lit(" london "))).otherwise(no_list),
+        F.when(key % 5 != 0, F.concat(F.lit("19"), (key % 50 + 50).cast("string"))), F.when(key % 8 != 0, "English"), text(""), text("ol.jpg"), F.when(key % 3 == 0, " Blurb  one "), no_list,
+    )
+    other = (F.array(maker, F.upper(maker)), none, no_list, text("May 1, 2001"), none, F.when(key % 2 == 1, "Hardcover"), F.when(key % 3 == 0, "gr.jpg"), text(""), F.array(F.lit("Good  book"), F.lit(" "), F.lit("good book")))
+    third = (no_list, none, no_list, text(""), text("German"), text("Paperback"), F.when(key % 2 == 0, "am.jpg"), text("Blurb two"), F.array(F.lit("Fine")))
     rows = F.array(
         record(F.lit("OpenLibrary"), F.lit(0), F.lit("an older record"), *library[1:]),
         record(F.lit("OpenLibrary"), F.lit(1), *library),
-        record(F.lit("Goodreads"), F.lit(2), F.concat(F.lit("  "), F.upper(name), F.lit("  ")), F.upper("p_brand"), F.when(key % 2 == 0, F.lit(0)), F.transform(words, lambda x: F.upper(x))),
-        record(F.lit("Amazon"), F.lit(3), F.lower(name), F.lower("p_brand"), F.col("p_size") + 1, F.transform(words, lambda x: F.lower(x))),
+        record(F.lit("Goodreads"), F.lit(2), F.concat(F.lit("  "), F.upper(name), F.lit("  ")), F.upper("p_brand"), F.when(key % 2 == 0, F.lit(0)), F.transform(words, lambda x: F.upper(x)), *other),
+        record(F.lit("Amazon"), F.lit(3), F.lower(name), F.lower("p_brand"), F.col("p_size") + 1, F.transform(words, lambda x: F.when(key % 2 == 0, F.lower(x)).otherwise(x)), *third),
     )
     every = parts.select(key.alias("isbn13"), F.inline(rows))
     return every.filter("(source <> 'Goodreads' or isbn13 % 20 <> 0) and (source <> 'Amazon' or isbn13 % 4 <> 0)")
 
 
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(isbn13): the list of books asked for; every tenth is in no source."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("isbn13"))
+    return parts.union(parts.filter("isbn13 % 10 = 0 and isbn13 > 0").select(-F.col("isbn13")))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(isbn13, m, raw): JSON texts of annotations, whole or spoilt in ways that depend on isbn13."""
     held = labels(spark, sf_dir).groupBy("isbn13", "m").agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("path")))).alias(f) for f in FIELDS])

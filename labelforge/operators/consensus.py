@@ -11,6 +11,8 @@ from labelforge.operators import agreement as A
 
 CATEGORIES = ("unanimous", "majority", "hierarchical_singleton", "isolated_singleton")
 KEY = ["isbn13", "field"]
+#: Reasons for which a single vote goes to review.
+REVIEWED = ("isolated_singleton", "singleton_extra_specificity")
 
 
 def tiers(labels: DataFrame) -> DataFrame:
@@ -24,50 +26,64 @@ def with_ancestors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("above", P.proper_prefixes(F.col("path")))
 
 
-def below(rows: DataFrame) -> DataFrame:
-    """(isbn13, field, path, m): models of paths at or below each path of ``rows``' books that is a prefix."""
-    return with_ancestors(rows).select(*KEY, F.explode(F.concat(F.array("path"), F.col("above"))).alias("path"), "m")
+#: Steps over a book's few paths (annotators times labels): each adds a column to those before it.
+_STEPS = {
+    "paths": "array_sort(array_distinct(transform(chosen, r -> r.path)))",
+    "votes": """transform(paths, p -> struct(p as path, array_sort(transform(filter(chosen, r -> r.path = p), r -> r.m)) as voters,
+        array_sort(array_distinct(transform(filter(chosen, r -> r.path = p or startswith(r.path, concat(p, ' / '))), r -> r.m))) as supporters))""",
+    "accepted": "transform(filter(votes, v -> size(v.voters) >= 2), v -> v.path)",
+    "candidates": "filter(votes, v -> size(v.voters) < 2 and size(v.supporters) >= 2)",
+    "specific": """filter(transform(candidates, c -> c.path), c -> not exists(candidates, o -> startswith(o.path, concat(c, ' / ')))
+        and not exists(accepted, o -> startswith(o, concat(c, ' / '))))""",
+    "proposed": "array_distinct(concat(accepted, specific))",
+    "canonical": "filter(proposed, p -> not exists(proposed, o -> startswith(o, concat(p, ' / '))))",
+    "review": """transform(filter(votes, v -> size(v.voters) = 1), v -> struct(v.path as path, v.voters[0] as m, case
+        when array_contains(canonical, v.path) then 'singleton_hierarchy_supported_canonical'
+        when exists(canonical, c -> startswith(c, concat(v.path, ' / '))) then 'singleton_redundant_ancestor'
+        when exists(canonical, c -> startswith(v.path, concat(c, ' / '))) then 'singleton_extra_specificity'
+        else 'isolated_singleton' end as reason))""",
+}
+
+
+def book_consensus(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, votes, candidates, canonical, review, ...): all path decisions of a book, from one grouping of its labels."""
+    held = labels.groupBy(*KEY).agg(F.collect_set(F.struct("path", "m")).alias("chosen"))
+    for name, step in _STEPS.items():
+        held = held.withColumn(name, F.expr(step))
+    return held
 
 
 def ancestor_support(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, supporters): models that chose an observed path or one below it."""
-    observed = labels.select(*KEY, "path").distinct()
-    return below(labels).join(observed, [*KEY, "path"]).groupBy(*KEY, "path").agg(F.array_sort(F.collect_set("m")).alias("supporters"))
+    return book_consensus(labels).select(*KEY, F.inline("votes")).select(*KEY, "path", "supporters")
 
 
 def hierarchical_candidates(labels: DataFrame) -> DataFrame:
     """Observed paths without an exact majority that two or more models support, counting choosers of descendants; unobserved common ancestors never appear."""
-    exact = A.path_support(labels).select(*KEY, "path", "votes")
-    return ancestor_support(labels).filter(F.size("supporters") >= 2).join(exact, [*KEY, "path"]).filter("votes < 2").select(*KEY, "path", "supporters")
+    return book_consensus(labels).select(*KEY, F.inline("candidates")).select(*KEY, "path", "supporters")
 
 
 def pruned(rows: DataFrame) -> DataFrame:
-    """(isbn13, field, path) of ``rows`` without those that have a strict descendant among them: an anti-join on exploded prefixes."""
-    inner = with_ancestors(rows.select(*KEY, "path")).select(*KEY, F.explode("above").alias("path")).distinct()
-    return rows.select(*KEY, "path").distinct().join(inner, [*KEY, "path"], "left_anti")
+    """(isbn13, field, path) of ``rows`` without those that have a strict descendant among them, by one grouping of a book's paths."""
+    held = rows.groupBy(*KEY).agg(F.collect_set("path").alias("paths"))
+    return held.select(*KEY, F.explode(P.without_redundant_ancestors(F.col("paths"))).alias("path"))
 
 
 def canonical(labels: DataFrame) -> DataFrame:
-    """(isbn13, field, path): exact majorities and the most specific hierarchical candidates that add something, pruned.
-
-    Reviews, silver labels and provenance each start from it, so it is kept.
-    """
-    accepted = A.path_support(labels).filter("votes >= 2").select(*KEY, "path")
-    over = with_ancestors(accepted).select(*KEY, F.explode("above").alias("path")).distinct()
-    specific = pruned(hierarchical_candidates(labels)).join(over, [*KEY, "path"], "left_anti")
-    return pruned(accepted.unionByName(specific)).persist()
+    """(isbn13, field, path): exact majorities and the most specific hierarchical candidates that add something, pruned."""
+    return book_consensus(labels).select(*KEY, F.explode("canonical").alias("path"))
 
 
 def singleton_review(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, m, reason) for each path with one vote."""
-    single = A.path_support(labels).filter("votes = 1").select(*KEY, "path", F.element_at("voters", 1).alias("m"))
-    final = canonical(labels)
-    same = final.withColumn("is_canonical", F.lit(True))
-    above = with_ancestors(final).select(*KEY, F.explode("above").alias("path")).distinct().withColumn("is_above", F.lit(True))
-    parents = with_ancestors(single).select(*KEY, "path", F.explode("above").alias("up")).join(final.withColumnRenamed("path", "up"), [*KEY, "up"]).select(*KEY, "path").distinct().withColumn("is_below", F.lit(True))
-    reason = F.when(F.col("is_canonical"), "singleton_hierarchy_supported_canonical").when(F.col("is_above"), "singleton_redundant_ancestor").when(F.col("is_below"), "singleton_extra_specificity").otherwise("isolated_singleton")
-    on = [*KEY, "path"]
-    return single.join(same, on, "left").join(above, on, "left").join(parents, on, "left").select(*KEY, "path", "m", reason.alias("reason"))
+    return book_consensus(labels).select(*KEY, F.inline("review"))
+
+
+def resolved_table(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, path, m, reason, canonical_paths) of single votes that need no review, beside what their book keeps."""
+    settled = ("singleton_hierarchy_supported_canonical", "singleton_redundant_ancestor")
+    rows = book_consensus(labels).select(*KEY, F.concat_ws(" | ", F.array_sort("canonical")).alias("canonical_paths"), F.inline("review"))
+    return rows.filter(F.col("reason").isin(*settled)).select(*KEY, "path", "m", "reason", "canonical_paths")
 
 
 def all_abstain(presence: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,7 +138,7 @@ def rank_in_order(df: DataFrame, key: str, lead: str, order: list[str], rank: st
     return dealt.withColumn("__in", inside).join(starts, [key, "__range"]).withColumn(rank, F.col("__start") + F.col("__in")).drop("__range", "__in", "__start")
 
 
-def adjudication_sheet(labels: DataFrame, reasons: tuple[str, ...] = ("isolated_singleton", "singleton_extra_specificity")) -> DataFrame:
+def adjudication_sheet(labels: DataFrame, reasons: tuple[str, ...] = REVIEWED) -> DataFrame:
     """Numbered cases for review with blank decision columns."""
     rows = singleton_review(labels).filter(F.col("reason").isin(*reasons))
     ranked = rank_in_order(rows, "field", "isbn13", ["isbn13", "path", "m"], "k")
@@ -131,13 +147,16 @@ def adjudication_sheet(labels: DataFrame, reasons: tuple[str, ...] = ("isolated_
     return ranked.select(F.concat(name, F.lit("-"), F.when(F.col("k") > 9999, F.col("k").cast("string")).otherwise(F.lpad(F.col("k").cast("string"), 4, "0"))).alias("case_id"), *KEY, "path", "m", "reason", *blank)
 
 
-def book_routes(presence: DataFrame, labels: DataFrame) -> DataFrame:
-    """(isbn13, available, signatures, route): exact agreement of whole annotations."""
+def book_routes(presence: DataFrame, labels: DataFrame, without_tags: DataFrame | None = None) -> DataFrame:
+    """(isbn13, available, signatures, route): exact agreement of whole annotations. Books in ``without_tags`` (isbn13) were never annotated for lack of tags."""
     signed = A.label_sets(presence, labels).groupBy("isbn13", "genre", "metadata").agg(F.count(F.lit(1)).alias("n"))
     counted = signed.groupBy("isbn13").agg(F.sum("n").alias("available"), F.count(F.lit(1)).alias("signatures"))
     every = A.availability(presence).select("isbn13").join(counted, "isbn13", "left").fillna(0, ["available", "signatures"])
     a, s = F.col("available"), F.col("signatures")
     route = F.when(a < 2, "insufficient_models").when((a == 3) & (s == 1), "perfect_3_of_3").when((a == 3) & (s == 2), "agreement_2_of_3").when((a == 2) & (s == 1), "agreement_2_of_2").when(a == 3, "conflict_3_original_models").otherwise("conflict_2_original_models")
+    if without_tags is not None:
+        every = every.join(without_tags.select("isbn13").distinct().withColumn("bare", F.lit(True)), "isbn13", "left")
+        route = F.when(F.col("bare"), "no_filtered_tags").otherwise(route)
     return every.select("isbn13", a.cast("long").alias("available"), s.cast("long").alias("signatures"), route.alias("route"))
 
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelforge.fixtures import MODELS
 from labelforge.operators import agreement as A
 from labelforge.operators import consensus as C
 
-#: support, supporters that maintain, supporters that retract, opponents that accept, opponents that reject: verdict, reason
+# Support, supporters that maintain, supporters that retract, opponents that accept, opponents that reject: verdict, reason.
 DECISIONS = [
-    (1, 0, 1, 0, 0, "REJECT", "single_supporter_retracted"),
-    (1, 1, 0, 2, 0, "ACCEPT", "single_supporter_both_accept"),
-    (1, 1, 0, 0, 2, "REJECT", "single_supporter_both_reject"),
-    (1, 1, 0, 1, 1, "MANUAL", "single_supporter_split"),
-    (2, 0, 2, 0, 0, "REJECT", "both_supporters_retracted"),
-    (2, 1, 1, 0, 0, "MANUAL", "supporters_split"),
-    (2, 2, 0, 1, 0, "ACCEPT", "opponent_accepts"),
-    (2, 2, 0, 0, 1, "MANUAL", "opponent_rejects"),
+    (1, 0, 1, 0, 0, "REJECT", "1of3_supporter_retracted"),
+    (1, 1, 0, 2, 0, "ACCEPT", "1of3_both_opponents_accept"),
+    (1, 1, 0, 0, 2, "REJECT", "1of3_both_opponents_reject"),
+    (1, 1, 0, 1, 1, "MANUAL", "1of3_opponents_split"),
+    (2, 0, 2, 0, 0, "REJECT", "2of3_both_supporters_retracted"),
+    (2, 1, 1, 0, 0, "MANUAL", "2of3_supporters_split"),
+    (2, 2, 0, 1, 0, "ACCEPT", "2of3_opponent_accepts"),
+    (2, 2, 0, 0, 1, "MANUAL", "2of3_opponent_rejects"),
 ]
 
 
@@ -75,6 +76,32 @@ def book_counts(presence: DataFrame, labels: DataFrame, judged: DataFrame) -> Da
     return rows.select("isbn13", "accepted", "manual", "rejected", F.when(F.col("manual") > 0, "YES").otherwise("NO").alias("has_manual"))
 
 
+def detail_arrays(open_: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(debate_id, round1, round2, final_by_model): arrays of (m, decision, evidence_tags, justification) in model order; where a model spoke in both rounds the later decision counts.
+
+    Rounds may have ``evidence_tags`` and ``justification``; without them these are empty.
+    """
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        for c, empty in (("evidence_tags", F.array().cast("array<string>")), ("justification", F.lit(""))):
+            rows = rows if c in rows.columns else rows.withColumn(c, empty)
+        return rows.groupBy("debate_id").agg(F.array_sort(F.collect_list(F.struct("m", "decision", "evidence_tags", "justification"))).alias(name))
+
+    both = open_.select("debate_id").join(told(first, "round1"), "debate_id", "left").join(told(second, "round2"), "debate_id", "left")
+    said = lambda c: F.coalesce(F.map_from_entries(F.transform(c, lambda x: F.struct(x["m"], x["decision"]))), F.expr("map()").cast("map<int,string>"))
+    one, two = said("round1"), said("round2")
+    return both.select("debate_id", "round1", "round2", F.map_concat(F.map_filter(one, lambda k, _: ~F.map_contains_key(two, k)), two).alias("final_by_model"))
+
+
+def full_rows(counts: DataFrame, accepted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Final rows of books: ``counts`` (see ``book_counts``), accepted paths by kind and each model's own paths, all joined by " | "."""
+    final = accepted.groupBy("isbn13").pivot("annotation_type", ["Genre", "Metadata"]).agg(F.first(F.array_join("paths", " | ")))
+    by_model = labels.groupBy("isbn13").pivot("m", list(MODELS)).agg(F.array_join(F.array_sort(F.collect_set("path")), " | "))
+    empty = lambda c, n: F.coalesce(F.col(str(c)), F.lit("")).alias(n)
+    rows = counts.join(final, "isbn13", "left").join(by_model, "isbn13", "left")
+    return rows.select(*counts.columns, empty("Genre", "final_genre_paths"), empty("Metadata", "final_metadata_paths"), *[empty(m, f"m{m}_paths") for m in MODELS])
+
+
 def details(open_: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """(debate_id, decisions): per model, in model order; round 2 comes after round 1."""
     rows = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
@@ -90,7 +117,7 @@ def human_decisions(sheet: DataFrame) -> DataFrame:
 
 
 def silver(labels: DataFrame, decided: DataFrame) -> DataFrame:
-    """(isbn13, field, path): canonical and accepted paths, pruned."""
+    """(isbn13, field, path): canonical and accepted paths, pruned, so that each book's are grouped once."""
     return C.pruned(C.canonical(labels).unionByName(decided.filter("decision = 'ACCEPT'").select("isbn13", "field", "path")))
 
 
@@ -113,8 +140,10 @@ def final_routing(routes: DataFrame) -> DataFrame:
     """(isbn13, destination, method): every book once. Debate results follow a stated rule by isbn13."""
     k = F.col("isbn13") % 5
     conflict = F.col("route").startswith("conflict")
-    method = F.when(~conflict & (F.col("route") != "insufficient_models"), F.col("route")).when(conflict & (k < 2), "debate")
-    reason = F.when(F.col("route") == "insufficient_models", "insufficient_original_annotations").when(k == 2, "debate_not_run").when(k == 3, "debate_api_error").otherwise("resolver_returned_empty")
+    manual = F.col("route").isin("insufficient_models", "no_filtered_tags")
+    agreed = F.when(F.col("route") == "perfect_3_of_3", "perfect_3_of_3_consensus").otherwise(F.col("route"))
+    method = F.when(~conflict & ~manual, agreed).when(conflict & (k < 2), "debate_resolver")
+    reason = F.when(F.col("route") == "insufficient_models", "insufficient_original_annotations").when(F.col("route") == "no_filtered_tags", "no_filtered_tags").when(k == 2, "debate_not_run").when(k == 3, "debate_api_error").otherwise("resolver_returned_empty")
     return routes.select("isbn13", F.when(method.isNotNull(), "final").otherwise("manual").alias("destination"), F.coalesce(method, reason).alias("method"))
 
 

@@ -17,10 +17,14 @@ def latest_records(records: DataFrame) -> DataFrame:
     return records.groupBy("isbn13", "source").agg(F.max_by(F.struct(*others), "ingest_seq").alias("r")).select("isbn13", "source", "r.*")
 
 
-def merged(records: DataFrame) -> DataFrame:
-    """One row for each book: a struct column for each source (null where it has no record)."""
+def merged(records: DataFrame, isbns: DataFrame | None = None) -> DataFrame:
+    """One row for each book: a struct column for each source (null where it has no record).
+
+    ``isbns`` (isbn13) are the books asked for; those without any record stay, others go. Without it every book with a record is there.
+    """
     fields = [c for c in records.columns if c not in ("isbn13", "source", "ingest_seq")]
-    return latest_records(records).groupBy("isbn13").pivot("source", list(SOURCES)).agg(F.first(F.struct(*fields)))
+    found = latest_records(records).groupBy("isbn13").pivot("source", list(SOURCES)).agg(F.first(F.struct(*fields)))
+    return found if isbns is None else isbns.select("isbn13").join(found, "isbn13", "left")
 
 
 def first_value(field: str, cleaned: bool = True, order: tuple[str, ...] = SOURCES) -> tuple[Column, Column]:
@@ -33,31 +37,96 @@ def available_sources() -> Column:
     return F.filter(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in SOURCES]), lambda x: x.isNotNull())
 
 
-def master(records: DataFrame) -> DataFrame:
-    """(isbn13, title, publisher, number_of_pages, their sources, available_sources, source_count, genre evidence by source)."""
-    title, publisher, pages = first_value("title"), first_value("publisher"), first_value("number_of_pages", cleaned=False)
-    named = {"title": title, "publisher": publisher, "number_of_pages": pages}
-    return merged(records).select(
+#: Fields that are texts, with the order of sources for each.
+TEXTS = dict.fromkeys(("title", "publisher", "country", "date_of_publication", "language", "physical_format"), SOURCES) | {"cover_url": ("Goodreads", "Amazon", "OpenLibrary")}
+
+
+def first_list(field: str, order: tuple[str, ...] = SOURCES) -> Column:
+    """The first source's list that is not empty, cleaned, the first of each case key; else an empty list."""
+    lists = [F.when(F.size(F.col(s)[field]) > 0, T.dedup_folded(F.col(s)[field])) for s in order]
+    return F.coalesce(*lists, F.array().cast("array<string>"))
+
+
+def merged_lists(*lists: Column) -> Column:
+    """All lists after one another, cleaned, the first of each case key."""
+    none = F.array().cast("array<string>")
+    return T.dedup_folded(F.concat(*[F.coalesce(x, none) for x in lists]))
+
+
+def _told(values: Column, source: str) -> Column:
+    texts = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), T.clean), lambda x: x.isNotNull())
+    return F.transform(texts, lambda x: F.struct(F.lit(source).alias("source"), x.alias("text")))
+
+
+def blurbs() -> Column:
+    """(source, text) of each source's blurb."""
+    return F.concat(*[_told(F.array(F.col(s)["blurb"]), s) for s in SOURCES])
+
+
+def reviews() -> Column:
+    """(source, text) of each source's reviews, repeated ones too."""
+    return F.concat(*[_told(F.col(s)["reviews"], s) for s in SOURCES])
+
+
+def master(records: DataFrame, isbns: DataFrame | None = None) -> DataFrame:
+    """A book's merged record: fields with the source each came from, available_sources, source_count, genre evidence by source, blurbs and reviews.
+
+    Fields that ``records`` lacks are left out.
+    """
+    has = set(records.columns)
+    texts = {f: first_value(f, order=order) for f, order in TEXTS.items() if f in has}
+    pages = first_value("number_of_pages", cleaned=False)
+    named = texts | {"number_of_pages": pages}
+    lists = [first_list(f).alias(f) for f in ("authors", "publication_place") if f in has]
+    told = [column().alias(name) for name, column, field in (("blurbs", blurbs, "blurb"), ("reviews", reviews, "reviews")) if field in has]
+    return merged(records, isbns).select(
         "isbn13",
         *[v.alias(k) for k, (v, _) in named.items()],
         *[s.alias(f"{k}_source") for k, (_, s) in named.items()],
+        *lists,
         available_sources().alias("available_sources"),
         F.size(available_sources()).cast("long").alias("source_count"),
         *[T.dedup_folded(F.coalesce(F.col(s)["tags"], F.array().cast("array<string>"))).alias(f"{s.lower()}_genres") for s in SOURCES],
+        *told,
     )
 
 
-def tag_provenance(records: DataFrame) -> DataFrame:
-    """(isbn13, tag, sources): the first spelling of each case key, in source order, and the sources that have it in any case."""
+def flat_master(found: DataFrame) -> DataFrame:
+    """The 17 text columns of a master table; lists are joined by " | " and missing values are blank."""
+    blank = lambda c: F.coalesce(T.clean(F.col(c).cast("string")), F.lit("")).alias(c)
+    texts = lambda c: T.join_pipe(F.transform(c, lambda x: x["text"])).alias(c)
+    lists = lambda c: T.join_pipe(F.col(c)).alias(c)
+    return found.select(
+        "isbn13", blank("title"), lists("authors"), blank("publisher"), blank("country"), lists("publication_place"), blank("date_of_publication"), blank("language"),
+        blank("number_of_pages"), blank("physical_format"), *[lists(f"{s.lower()}_genres") for s in SOURCES], texts("blurbs"), texts("reviews"), lists("available_sources"), "source_count",
+    )
+
+
+def _source_tags(records: DataFrame) -> DataFrame:
+    """(isbn13, r, source, pos, tag): each source's cleaned tags, the first of each case key."""
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    rows = latest_records(records).select("isbn13", "source", rank.alias("r"), F.posexplode("tags").alias("pos", "raw")).withColumn("tag", T.clean(F.col("raw"))).filter("tag is not null")
-    held = rows.groupBy("isbn13", T.fold(F.col("tag")).alias("key")).agg(F.min_by("tag", F.struct("r", "pos")).alias("tag"), F.array_sort(F.collect_set(F.struct("r", "source"))).alias("s"))
+    return latest_records(records).select("isbn13", "source", rank.alias("r"), F.posexplode(T.dedup_folded("tags")).alias("pos", "tag"))
+
+
+def tag_provenance(records: DataFrame) -> DataFrame:
+    """(isbn13, tag, sources): the sources that have exactly this spelling, in order of sources."""
+    held = _source_tags(records).groupBy("isbn13", "tag").agg(F.array_sort(F.collect_set(F.struct("r", "source"))).alias("s"))
     return held.select("isbn13", "tag", F.array_join(F.transform("s", lambda x: x["source"]), ",").alias("sources"))
 
 
+def merged_tags(records: DataFrame) -> DataFrame:
+    """(isbn13, tag): of each case key the first spelling, in order of sources."""
+    return _source_tags(records).groupBy("isbn13", T.fold(F.col("tag")).alias("key")).agg(F.min_by("tag", F.struct("r", "pos")).alias("tag")).select("isbn13", "tag")
+
+
+# Fixed value: why a noise tag goes.
+NOISE_REASON = "Deterministic removal: format, reading-status, or storefront noise."
+
+
 def noise_split(tags: DataFrame) -> DataFrame:
-    """(isbn13, tag, noise)."""
-    return tags.select("isbn13", "tag", T.fold(F.trim("tag")).isin(T.NOISE_TAGS).alias("noise"))
+    """(isbn13, tag, noise, reason): noise tags carry the fixed reason."""
+    noise = T.fold(F.trim("tag")).isin(T.NOISE_TAGS)
+    return tags.select("isbn13", "tag", noise.alias("noise"), F.when(noise, NOISE_REASON).alias("reason"))
 
 
 def validated_filter(candidates: DataFrame, replies: DataFrame) -> DataFrame:

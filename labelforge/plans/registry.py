@@ -51,14 +51,15 @@ sim AS (SELECT isbn13, field, m_a, m_b, path_a, path_b, common, 2.0*common/(len(
 ANC = (
     BASE
     + """,
+up AS (SELECT isbn13, m, field, path, array_to_string(string_split(path,' / ')[1:i],' / ') AS above FROM (SELECT *, unnest(range(1, len(string_split(path,' / ')))) AS i FROM l)),
 anc AS (SELECT u.isbn13, u.field, least(u.m,d.m) AS m_a, greatest(u.m,d.m) AS m_b, u.path AS ancestor, d.path AS descendant
-      FROM l u JOIN l d ON u.isbn13=d.isbn13 AND u.field=d.field AND u.m<>d.m AND starts_with(d.path, u.path||' / '))"""
+      FROM l u JOIN up d ON u.isbn13=d.isbn13 AND u.field=d.field AND u.path=d.above WHERE u.m<>d.m)"""
 )
 HIER = (
     ANC
     + """,
 sup AS (SELECT o.isbn13, o.field, o.path, list_sort(list(DISTINCT x.m)) AS supporters FROM s o
-      JOIN l x ON x.isbn13=o.isbn13 AND x.field=o.field AND (x.path=o.path OR starts_with(x.path, o.path||' / ')) GROUP BY ALL),
+      JOIN (SELECT isbn13, field, m, path FROM l UNION ALL SELECT isbn13, field, m, above FROM up) x ON x.isbn13=o.isbn13 AND x.field=o.field AND x.path=o.path GROUP BY ALL),
 hc AS (SELECT sup.* FROM sup JOIN s USING (isbn13, field, path) WHERE len(supporters)>=2 AND votes<2),
 acc AS (SELECT isbn13, field, path FROM s WHERE votes>=2),
 spec AS (SELECT isbn13, field, path FROM hc h WHERE
@@ -85,15 +86,15 @@ pc AS (SELECT isbn13||'__'||upper(field[1])||field[2:]||'__'||path AS debate_id,
       votes AS support_count, voters AS vf, list_filter([0,1,2], lambda x: NOT list_contains(voters, x)) AS va FROM s JOIN c3 USING (isbn13)),
 dis AS (SELECT * FROM pc WHERE support_count<3),
 r1 AS (SELECT debate_id, m, CASE WHEN (isbn13*7+length(path)*3+m*(isbn13%5))%4=0 THEN 'RETRACT' ELSE 'MAINTAIN' END AS decision FROM (SELECT *, unnest(vf) AS m FROM dis)),
-el AS (SELECT debate_id, isbn13, path, unnest(va) AS m FROM dis WHERE debate_id NOT IN (SELECT debate_id FROM r1 WHERE decision='RETRACT')),
+el AS (SELECT dis.debate_id, isbn13, path, unnest(va) AS m FROM dis LEFT JOIN (SELECT DISTINCT debate_id FROM r1 WHERE decision='RETRACT') x ON x.debate_id=dis.debate_id WHERE x.debate_id IS NULL),
 r2 AS (SELECT debate_id, m, CASE WHEN (isbn13+length(path)+m*(isbn13%4))%3=0 THEN 'REJECT' ELSE 'ACCEPT' END AS decision FROM el),
 tl AS (SELECT dis.debate_id, isbn13, annotation_type, path, support_count, count(*) FILTER (decision='MAINTAIN') AS ma, count(*) FILTER (decision='RETRACT') AS re,
       count(*) FILTER (decision='ACCEPT') AS ac, count(*) FILTER (decision='REJECT') AS rj
       FROM dis LEFT JOIN (SELECT * FROM r1 UNION ALL SELECT * FROM r2) v USING (debate_id) GROUP BY ALL),
 ver AS (SELECT debate_id, isbn13, annotation_type, path, support_count,
       CASE WHEN support_count=1 AND re=1 OR support_count=1 AND rj=2 OR re=2 THEN 'REJECT' WHEN support_count=1 AND ac=2 OR support_count=2 AND ma=2 AND ac=1 THEN 'ACCEPT' ELSE 'MANUAL' END AS verdict,
-      CASE WHEN support_count=1 THEN CASE WHEN re=1 THEN 'single_supporter_retracted' WHEN ac=2 THEN 'single_supporter_both_accept' WHEN rj=2 THEN 'single_supporter_both_reject' ELSE 'single_supporter_split' END
-      ELSE CASE WHEN re=2 THEN 'both_supporters_retracted' WHEN re=1 THEN 'supporters_split' WHEN ac=1 THEN 'opponent_accepts' ELSE 'opponent_rejects' END END AS reason FROM tl),
+      CASE WHEN support_count=1 THEN CASE WHEN re=1 THEN '1of3_supporter_retracted' WHEN ac=2 THEN '1of3_both_opponents_accept' WHEN rj=2 THEN '1of3_both_opponents_reject' ELSE '1of3_opponents_split' END
+      ELSE CASE WHEN re=2 THEN '2of3_both_supporters_retracted' WHEN re=1 THEN '2of3_supporters_split' WHEN ac=1 THEN '2of3_opponent_accepts' ELSE '2of3_opponent_rejects' END END AS reason FROM tl),
 ap AS (SELECT isbn13, annotation_type, list_sort(list(DISTINCT path)) AS paths FROM (SELECT isbn13, annotation_type, path FROM pc WHERE support_count=3
       UNION ALL SELECT isbn13, annotation_type, path FROM ver WHERE verdict='ACCEPT') GROUP BY ALL),
 bc AS (SELECT c3.isbn13, coalesce(a,0)::BIGINT AS accepted, coalesce(mn,0) AS manual, coalesce(rj,0) AS rejected, CASE WHEN coalesce(mn,0)>0 THEN 'YES' ELSE 'NO' END AS has_manual
@@ -111,7 +112,7 @@ sil AS (SELECT * FROM un v WHERE NOT EXISTS (SELECT 1 FROM un o WHERE o.isbn13=v
 ROUTE = (
     PAIRS
     + """,
-rt AS (SELECT isbn13, coalesce(a,0)::BIGINT AS available, coalesce(g,0)::BIGINT AS signatures, CASE WHEN coalesce(a,0)<2 THEN 'insufficient_models'
+rt AS (SELECT isbn13, coalesce(a,0)::BIGINT AS available, coalesce(g,0)::BIGINT AS signatures, CASE WHEN isbn13%17=3 THEN 'no_filtered_tags' WHEN coalesce(a,0)<2 THEN 'insufficient_models'
       WHEN a=3 AND g=1 THEN 'perfect_3_of_3' WHEN a=3 AND g=2 THEN 'agreement_2_of_3' WHEN a=2 AND g=1 THEN 'agreement_2_of_2'
       WHEN a=3 THEN 'conflict_3_original_models' ELSE 'conflict_2_original_models' END AS route
       FROM av LEFT JOIN (SELECT isbn13, sum(n) AS a, count(*) AS g FROM (SELECT isbn13, genre, metadata, count(*) AS n FROM sets GROUP BY ALL) GROUP BY 1) USING (isbn13))"""
@@ -133,13 +134,15 @@ SRC = """
 src AS (SELECT p_partkey AS isbn13, 'OpenLibrary' AS source, 0 AS rank, CASE WHEN p_partkey%7<>0 THEN p_name END AS title, CASE WHEN p_partkey%5<>0 THEN p_brand END AS publisher,
       CASE WHEN p_partkey%3<>0 THEN p_size END AS pages, list_append(string_split(p_name,' '), p_type) AS tags FROM part
       UNION ALL SELECT p_partkey, 'Goodreads', 1, upper(p_name), upper(p_brand), CASE WHEN p_partkey%2=0 THEN 0 END, list_transform(list_append(string_split(p_name,' '), p_type), lambda x: upper(x)) FROM part WHERE p_partkey%20<>0
-      UNION ALL SELECT p_partkey, 'Amazon', 2, lower(p_name), lower(p_brand), p_size+1, list_transform(list_append(string_split(p_name,' '), p_type), lambda x: lower(x)) FROM part WHERE p_partkey%4<>0),
+      UNION ALL SELECT p_partkey, 'Amazon', 2, lower(p_name), lower(p_brand), p_size+1, list_transform(list_append(string_split(p_name,' '), p_type), lambda x: CASE WHEN p_partkey%2=0 THEN lower(x) ELSE x END) FROM part WHERE p_partkey%4<>0),
 mas AS (SELECT isbn13, arg_min(title, rank) FILTER (title IS NOT NULL) AS title, arg_min(publisher, rank) FILTER (publisher IS NOT NULL) AS publisher,
       arg_min(pages, rank) FILTER (pages IS NOT NULL) AS number_of_pages, arg_min(source, rank) FILTER (title IS NOT NULL) AS title_source,
       arg_min(source, rank) FILTER (publisher IS NOT NULL) AS publisher_source, arg_min(source, rank) FILTER (pages IS NOT NULL) AS number_of_pages_source,
       string_agg(source, ',' ORDER BY rank) AS available_sources, count(*) AS source_count FROM src GROUP BY 1),
 tg AS (SELECT isbn13, source, rank, unnest(tags) AS tag, generate_subscripts(tags,1) AS pos FROM src),
-tp AS (SELECT isbn13, arg_min(tag, rank*1000+pos) AS tag, array_to_string(list_transform(list_sort(list(DISTINCT rank)), lambda r: ['OpenLibrary','Goodreads','Amazon'][r+1]), ',') AS sources FROM tg GROUP BY isbn13, lower(tag))"""
+t1 AS (SELECT isbn13, source, rank, arg_min(tag, pos) AS tag, min(pos) AS pos FROM tg GROUP BY isbn13, source, rank, lower(tag)),
+pv AS (SELECT isbn13, tag, string_agg(source, ',' ORDER BY rank) AS sources FROM t1 GROUP BY 1,2),
+tp AS (SELECT isbn13, arg_min(tag, rank*1000+pos) AS tag FROM t1 GROUP BY isbn13, lower(tag))"""
 
 
 def register(name: str, ctes: str = "", sql: str = ""):
@@ -357,9 +360,14 @@ def adjudication_sheet(s, d):
 
 
 # book-level routing
+def _routes(s, d):
+    """Routes of all books; every 17th has no tags."""
+    return C.book_routes(_p(s, d), _l(s, d), _p(s, d).select("isbn13").filter("isbn13 % 17 = 3"))
+
+
 @register("book_signature_route", ROUTE, "SELECT * FROM rt")
 def book_signature_route(s, d):
-    return C.book_routes(_p(s, d), _l(s, d))
+    return _routes(s, d)
 
 
 @register("majority_signature", PAIRS, """SELECT isbn13, array_to_string(t.genre,' | ') AS genre, array_to_string(t.metadata,' | ') AS metadata, t.n FROM
@@ -438,7 +446,7 @@ def debate_details(s, d):
 # silver labels
 def _silver(s, d):
     labels = _l(s, d)
-    decided = D.human_decisions(C.adjudication_sheet(labels))
+    decided = D.human_decisions(C.singleton_review(labels).filter(F.col("reason").isin(*C.REVIEWED)))
     return labels, decided, D.silver(labels, decided)
 
 
@@ -475,19 +483,19 @@ def representation_check(s, d):
     return D.representation(final, decided)
 
 
-FIN = """(SELECT isbn13, CASE WHEN route LIKE 'conflict%' AND isbn13%5>=2 OR route='insufficient_models' THEN 'manual' ELSE 'final' END AS destination,
-  CASE WHEN route='insufficient_models' THEN 'insufficient_original_annotations' WHEN route NOT LIKE 'conflict%' THEN route WHEN isbn13%5<2 THEN 'debate'
+FIN = """(SELECT isbn13, CASE WHEN route LIKE 'conflict%' AND isbn13%5>=2 OR route IN ('insufficient_models','no_filtered_tags') THEN 'manual' ELSE 'final' END AS destination,
+  CASE WHEN route='insufficient_models' THEN 'insufficient_original_annotations' WHEN route='perfect_3_of_3' THEN 'perfect_3_of_3_consensus' WHEN route NOT LIKE 'conflict%' THEN route WHEN isbn13%5<2 THEN 'debate_resolver'
   WHEN isbn13%5=2 THEN 'debate_not_run' WHEN isbn13%5=3 THEN 'debate_api_error' ELSE 'resolver_returned_empty' END AS method FROM rt)"""
 
 
 @register("final_routing", ROUTE, f"SELECT * FROM {FIN}")
 def final_routing(s, d):
-    return D.final_routing(C.book_routes(_p(s, d), _l(s, d)))
+    return D.final_routing(_routes(s, d))
 
 
 @register("method_counts", ROUTE, f"SELECT destination, method, count(*) AS n FROM {FIN} GROUP BY 1,2")
 def method_counts(s, d):
-    return D.final_routing(C.book_routes(_p(s, d), _l(s, d))).groupBy("destination", "method").agg(F.count(F.lit(1)).alias("n"))
+    return D.final_routing(_routes(s, d)).groupBy("destination", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
 # audit
@@ -553,11 +561,16 @@ def clean_master(s, d):
 
 
 def _tags(s, d):
-    return I.tag_provenance(X.sources(s, d))
+    return I.merged_tags(X.sources(s, d))
 
 
-@register("tag_provenance", SRC, "SELECT * FROM tp")
+@register("tag_provenance", SRC, "SELECT * FROM pv")
 def tag_provenance(s, d):
+    return I.tag_provenance(X.sources(s, d))
+
+
+@register("merged_tags", SRC, "SELECT * FROM tp")
+def merged_tags(s, d):
     return _tags(s, d)
 
 
@@ -576,7 +589,7 @@ def _noisy(s, d):
     return tags.unionByName(tags.select("isbn13").distinct().select("isbn13", F.when(k == 0, "Kindle").when(k == 1, "TO-READ").otherwise("fiction").alias("tag")))
 
 
-@register("noise_filter", SRC, f"SELECT isbn13, tag, lower(tag) IN ('kindle','to-read') AS noise FROM {NOISY}")
+@register("noise_filter", SRC, f"SELECT isbn13, tag, lower(tag) IN ('kindle','to-read') AS noise, CASE WHEN lower(tag) IN ('kindle','to-read') THEN 'Deterministic removal: format, reading-status, or storefront noise.' END AS reason FROM {NOISY}")
 def noise_filter(s, d):
     return I.noise_split(_noisy(s, d))
 
@@ -610,7 +623,8 @@ def _book_tags(s, d):
     """A book's tags and, for two of three books, one that names a root or a place."""
     tags = _tags(s, d).select("isbn13", "tag")
     k = F.col("isbn13") % 3
-    return tags.unionByName(tags.select("isbn13").distinct().filter(k != 2).select("isbn13", F.when(k == 0, "Fiction in Africa").otherwise("non-fiction").alias("tag")))
+    every = tags.unionByName(tags.select("isbn13").distinct().filter(k != 2).select("isbn13", F.when(k == 0, "Fiction in Africa").otherwise("non-fiction").alias("tag")))
+    return every.persist()  # evidence of scores and of roots
 
 
 CAND = (
@@ -643,12 +657,11 @@ def candidate_topk(s, d):
   WHEN EXISTS (SELECT 1 FROM (SELECT unnest(genre) AS x) WHERE x NOT IN (SELECT path FROM tax WHERE kind='genre')) THEN 'invalid_genre'
   WHEN EXISTS (SELECT 1 FROM (SELECT unnest(metadata) AS x) WHERE x NOT IN (SELECT path FROM tax WHERE kind='metadata')) THEN 'invalid_metadata' ELSE 'valid' END AS result FROM sets""")
 def annotation_validation(s, d):
-    """The first rule each annotation breaks; the taxonomy, a table of bounded size, is an array beside each row."""
-    valid = X.taxonomy(s, d).groupBy().agg(*[F.collect_list(F.when(F.col("kind") == f, F.col("path"))).alias(f"all_{f}") for f in X.FIELDS])
-    sets = A.label_sets(_p(s, d), _l(s, d)).withColumn("one", F.lit(1))
-    both = sets.join(F.broadcast(valid.withColumn("one", F.lit(1))), "one")
-    error = R.annotation_error(F.col("genre"), F.col("metadata"), F.col("all_genre"), F.col("all_metadata"))
-    return both.select("isbn13", "m", F.coalesce(error, F.lit("valid")).alias("result"))
+    """The first rule each annotation breaks, by an anti-join of its paths with the taxonomy."""
+    valid = X.taxonomy(s, d).select(F.col("kind").alias("field"), "path")
+    broken = _l(s, d).join(valid, ["field", "path"], "left_anti").groupBy("isbn13", "m").agg(F.min("field").alias("field"))  # genres sort before metadata
+    able = _p(s, d).filter("status = 'success'").select("isbn13", "m")
+    return able.join(broken, ["isbn13", "m"], "left").select("isbn13", "m", F.coalesce(F.concat(F.lit("invalid_"), "field"), F.lit("valid")).alias("result"))
 
 
 # responses
@@ -767,17 +780,31 @@ def page_links(s, d):
     return rows.select("page_id", F.size("l").cast("long").alias("links"), F.coalesce(F.try_element_at("l", F.lit(1))["href"], F.lit("")).alias("first_href"))
 
 
-@register("page_blocked", "", "SELECT page_id, contains(lower(html),'enter the characters you see below') OR contains(lower(html),'not a robot') OR contains(lower(html),'type the characters you see in this image') AS blocked FROM pages")
+@register("page_blocked", "", "SELECT page_id, contains(lower(html),'enter the characters you see below') OR contains(lower(html),'sorry, we just need to make sure you''re not a robot') OR contains(lower(html),'type the characters you see in this image') AS blocked FROM pages")
 def page_blocked(s, d):
     return X.read(s, d, "pages").select("page_id", G.blocked(F.col("html")).alias("blocked"))
 
 
-@register("page_regex_fields", "", """SELECT page_id, (page_id%900+1)::INT AS pages, 'May 19' || (page_id%90+10) AS first_published, CASE page_id%3 WHEN 0 THEN 'Paperback' WHEN 1 THEN 'Hardcover' END AS format,
-  '978' || lpad(page_id::VARCHAR, 10, '0') AS isbn13 FROM pages""")
+PAGE = """
+pg AS (SELECT p_partkey AS k, 'First published ' || CASE p_partkey%3 WHEN 0 THEN 'May 3, 19' || (p_partkey%90+10) WHEN 1 THEN '19' || (p_partkey%90+10) ELSE 'long ago' END || chr(10) || (p_partkey%900+1) || ' Pages, '
+      || CASE p_partkey%4 WHEN 0 THEN 'paperback' WHEN 1 THEN 'Mass Market Paperback' WHEN 2 THEN 'scroll' ELSE 'ebook' END || chr(10) || CASE p_partkey%5 WHEN 0 THEN 'Audiobooks, Paperback and Kindle Edition' WHEN 1 THEN 'HARDCOVER or paperback' WHEN 2 THEN 'Audiobooks' ELSE '' END
+      || chr(10) || 'ISBN-13 : 978-' || lpad(p_partkey::VARCHAR, 10, '0') || chr(10) || 'Print length: 1,' || lpad((p_partkey%1000)::VARCHAR, 3, '0') || ' pages' AS t FROM part)"""
+
+
+@register("page_regex_fields", PAGE, r"""SELECT k AS page_id, nullif(regexp_extract(t, '(?i)first published\s+([A-Za-z]+\s+\d{1,2},\s+\d{4}|\d{4})', 1), '') AS first_published,
+  regexp_extract(t, '(?i)(\d{1,5})\s+pages\b', 1)::INT AS pages, nullif(regexp_extract(t, '(?i)\d{1,5}\s+pages\s*,\s*(hardcover|paperback|mass market paperback|kindle edition|ebook)', 1), '') AS edition,
+  CASE WHEN k%4=1 THEN 'Mass Market Paperback' WHEN k%5=0 THEN 'Kindle Edition' WHEN k%5=1 THEN 'Hardcover' WHEN k%4=0 THEN 'Paperback' END AS format,
+  regexp_extract(t, '978-(\d+)', 1) AS tail, replace(regexp_extract(t, '(?i)length: ([\d,]+) pages', 1), ',', '')::INT AS print_length FROM pg""")
 def page_regex_fields(s, d):
-    k = F.col("page_id")
-    text = F.concat(F.lit("First published May 19"), (k % 90 + 10).cast("string"), F.lit("\n"), (k % 900 + 1).cast("string"), F.lit(" Pages, "), F.when(k % 3 == 0, "paperback").when(k % 3 == 1, "HARDCOVER").otherwise("scroll"), F.lit("\nISBN-13 : 978-"), F.lpad(k.cast("string"), 10, "0"))
-    return X.read(s, d, "pages").select("page_id", text.alias("t")).select("page_id", G.page_count(F.col("t")).alias("pages"), G.first_published(F.col("t")).alias("first_published"), G.format_of(F.col("t")).alias("format"), G.isbn13(F.col("t")).alias("isbn13"))
+    k = F.col("p_partkey")
+    year = (k % 90 + 10).cast("string")
+    born = F.when(k % 3 == 0, F.concat(F.lit("May 3, 19"), year)).when(k % 3 == 1, F.concat(F.lit("19"), year)).otherwise("long ago")
+    shape = F.when(k % 4 == 0, "paperback").when(k % 4 == 1, "Mass Market Paperback").when(k % 4 == 2, "scroll").otherwise("ebook")
+    more = F.when(k % 5 == 0, "Audiobooks, Paperback and Kindle Edition").when(k % 5 == 1, "HARDCOVER or paperback").when(k % 5 == 2, "Audiobooks").otherwise("")
+    text = F.concat(F.lit("First published "), born, F.lit("\n"), (k % 900 + 1).cast("string"), F.lit(" Pages, "), shape, F.lit("\n"), more, F.lit("\nISBN-13 : 978-"), F.lpad(k.cast("string"), 10, "0"), F.lit("\nPrint length: 1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" pages"))
+    t = X.read(s, d, "part").select(k.alias("page_id"), text.alias("t"))
+    found = F.create_map(F.lit("print length"), F.regexp_extract("t", "(?s)Print length: (.*)", 1))
+    return t.select("page_id", G.first_published(F.col("t")).alias("first_published"), G.page_count(F.col("t")).alias("pages"), G.edition_format(F.col("t")).alias("edition"), G.format_of(F.col("t")).alias("format"), F.substring(G.isbn13(F.col("t")), 4, 10).alias("tail"), G.product_pages(found, F.col("t")).alias("print_length"))
 
 
 @register("page_headings")

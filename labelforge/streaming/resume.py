@@ -20,7 +20,7 @@ def start(tasks: DataFrame, table: str, stream_checkpoint: str, provider: runner
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         held = read_checkpoint(spark, table, runner.CHECKPOINT)
-        new = runner.pending(df.dropDuplicates(["isbn13", "provider", "model"]), held)
+        new = runner.pending(df.dropDuplicates(["isbn13", "provider", "model"]), held, runner.spent_models(held))
         runner.parsed(runner.ask(new, provider)).write.mode("append").parquet(table)
 
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", stream_checkpoint).trigger(availableNow=True).start()
