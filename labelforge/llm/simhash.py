@@ -22,8 +22,8 @@ of ``PER_BLOCK`` smallest hashes, each equal in both sets with the probability o
 Again pairs that share a block are verified by the Hamming distance of the components, at most ``MOST_APART``
 of them, and then exactly on whole sets. At a similarity of exactly 0.8 a pair shares no block
 with probability 3e-6, at 0.85 with 2e-8; it exceeds the distance with less than 1e-8. Nothing depends on the number of documents, and no group is
-capped. Only as many pairs are compared as components need: each document meets the smallest id of each of its blocks'
-groups. What is not in the component of its group's smallest id after that (strays) is compared with all members that are in other components. Groups with over ``dense``
+capped. Only as many pairs are compared as components need: each document meets the head of each of its blocks'
+groups, the member that shares blocks with most others. What is not in the component of its group's head after that (strays) is compared with all members that are in other components. Groups with over ``dense``
 strays are split by a second shared block for it (at 0.8 a pair shares one block only with probability 5e-5).
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
@@ -221,15 +221,15 @@ def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width
 
 
 def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
-    """Members (key, id, members, low) of the groups that are not one component in ``found``, with ``component`` and ``lead``, the component of the smallest id."""
+    """Members (key, id, members, head) of the groups that are not one component in ``found``, with ``component`` and ``lead``, the component of the head."""
     labelled = cut(members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    open_ = labelled.groupBy("key").agg(F.min_by("component", "id").alias("lead"), F.min("component").alias("least"), F.max("component").alias("top"), F.count(F.lit(1)).alias("size"))
+    open_ = labelled.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("head"), F.col("component"))).alias("lead"), F.min("component").alias("least"), F.max("component").alias("top"), F.count(F.lit(1)).alias("size"))
     keys = cut(open_.filter("least <> top").select("key", "lead", "size"))
     return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"))
 
 
 def _strays(open_: DataFrame, n_members: int, dense: int) -> DataFrame:
-    """Pairs ``(a, b)`` of members of a group that are in two components, one of them not that of the group's smallest id.
+    """Pairs ``(a, b)`` of members of a group that are in two components, one of them not that of the group's head.
 
     Groups with over ``dense`` such strays are split by a second key that their members share.
     """
@@ -285,11 +285,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
     keyed = marked.join(equal.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti").select("id", F.posexplode("sketch").alias("block", "value")).select("id", F.xxhash64("block", "value").alias("key"))
-    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).filter("members > 1"))
-    members = cut(look_up(keyed, groups, ["key"], "members", BLOCKS * marked.count()))
-    n_members = members.count()
-    lows = members.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    found = step(lows, equal)
+    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    shared = cut(look_up(keyed, groups, ["key"], "members", BLOCKS * marked.count()))
+    n_members = shared.count()
+    # the head of a group is the member that meets most others: what copies were made from, rather than one of them
+    weighed = shared.join(shared.groupBy("id").agg(F.sum("members").alias("weight")).hint("merge"), "id")
+    heads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("head"), F.first("members").alias("members")))
+    members = cut(look_up(shared.drop("members"), heads, ["key"], "members", n_members))
+    found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal)
     open_ = _mixed(members, found, n_members)
     if not open_.isEmpty():
         found = step(_strays(open_, n_members, dense), found.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -26,18 +26,13 @@ def with_ancestors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("above", P.proper_prefixes(F.col("path")))
 
 
-#: Steps over a book's few paths (annotators times labels): each adds a column to those before it.
+#: Steps over a book's few paths (annotators times labels): each adds a column to those before it. A path is
+#: strong if two or more models chose it or a path below it; the deepest strong paths are canonical, since a strong path
+#: above another is either a candidate that is not the most specific or an accepted path that is pruned.
 _STEPS = {
-    "paths": "array_sort(array_distinct(transform(chosen, r -> r.path)))",
-    "votes": """transform(paths, p -> struct(p as path, array_sort(transform(filter(chosen, r -> r.path = p), r -> r.m)) as voters,
-        array_sort(array_distinct(transform(filter(chosen, r -> r.path = p or startswith(r.path, concat(p, ' / '))), r -> r.m))) as supporters))""",
-    "accepted": "transform(filter(votes, v -> size(v.voters) >= 2), v -> v.path)",
-    "candidates": "filter(votes, v -> size(v.voters) < 2 and size(v.supporters) >= 2)",
-    "specific": """filter(transform(candidates, c -> c.path), c -> not exists(candidates, o -> startswith(o.path, concat(c, ' / ')))
-        and not exists(accepted, o -> startswith(o, concat(c, ' / '))))""",
-    "proposed": "array_distinct(concat(accepted, specific))",
-    "canonical": "filter(proposed, p -> not exists(proposed, o -> startswith(o, concat(p, ' / '))))",
-    "review": """transform(filter(votes, v -> size(v.voters) = 1), v -> struct(v.path as path, v.voters[0] as m, case
+    "strong": "transform(filter(votes, v -> bit_count(v.under) >= 2), v -> v.path)",
+    "canonical": "filter(strong, p -> not exists(strong, o -> startswith(o, concat(p, ' / '))))",
+    "review": """transform(filter(votes, v -> bit_count(v.exact) = 1), v -> struct(v.path as path, cast(length(bin(v.exact)) - 1 as int) as m, case
         when array_contains(canonical, v.path) then 'singleton_hierarchy_supported_canonical'
         when exists(canonical, c -> startswith(c, concat(v.path, ' / '))) then 'singleton_redundant_ancestor'
         when exists(canonical, c -> startswith(v.path, concat(c, ' / '))) then 'singleton_extra_specificity'
@@ -45,9 +40,22 @@ _STEPS = {
 }
 
 
+def _models(mask: str):
+    """The models of a mask, in order."""
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(F.col(mask), i) == 1)
+
+
+def path_masks(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, path, exact, under) of each observed path: bit m tells that model m chose it, or it or a path below it. Models are whole numbers from 0 to 62."""
+    bit = F.expr("shiftleft(1L, m)")
+    at = F.explode(F.concat(F.array(F.struct(F.col("path").alias("path"), F.lit(True).alias("own"))), F.transform(P.proper_prefixes(F.col("path")), lambda p: F.struct(p.alias("path"), F.lit(False).alias("own")))))
+    rows = labels.select(*KEY, bit.alias("bit"), at.alias("at")).select(*KEY, "at.path", "at.own", "bit")
+    return rows.groupBy(*KEY, "path").agg(F.expr("bit_or(if(own, bit, 0L))").alias("exact"), F.expr("bit_or(bit)").alias("under")).filter("exact <> 0")
+
+
 def book_consensus(labels: DataFrame) -> DataFrame:
-    """(isbn13, field, votes, candidates, canonical, review, ...): all path decisions of a book, from one grouping of its labels."""
-    held = labels.groupBy(*KEY).agg(F.collect_set(F.struct("path", "m")).alias("chosen"))
+    """(isbn13, field, votes, strong, canonical, review): all path decisions of a book; labels that are dealt by book need no further shuffle."""
+    held = path_masks(labels).groupBy(*KEY).agg(F.collect_list(F.struct("path", "exact", "under")).alias("votes"))
     for name, step in _STEPS.items():
         held = held.withColumn(name, F.expr(step))
     return held
@@ -55,12 +63,12 @@ def book_consensus(labels: DataFrame) -> DataFrame:
 
 def ancestor_support(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, supporters): models that chose an observed path or one below it."""
-    return book_consensus(labels).select(*KEY, F.inline("votes")).select(*KEY, "path", "supporters")
+    return path_masks(labels).select(*KEY, "path", _models("under").alias("supporters"))
 
 
 def hierarchical_candidates(labels: DataFrame) -> DataFrame:
     """Observed paths without an exact majority that two or more models support, counting choosers of descendants; unobserved common ancestors never appear."""
-    return book_consensus(labels).select(*KEY, F.inline("candidates")).select(*KEY, "path", "supporters")
+    return path_masks(labels).filter("bit_count(exact) < 2 and bit_count(under) >= 2").select(*KEY, "path", _models("under").alias("supporters"))
 
 
 def pruned(rows: DataFrame) -> DataFrame:

@@ -103,9 +103,11 @@ def flat_master(found: DataFrame) -> DataFrame:
 
 
 def _source_tags(records: DataFrame) -> DataFrame:
-    """(isbn13, r, source, pos, tag): each source's cleaned tags, the first of each case key."""
+    """(isbn13, r, source, key, pos, tag): each source's cleaned tags, the first of each case key."""
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    return latest_records(records).select("isbn13", "source", rank.alias("r"), F.posexplode(T.dedup_folded("tags")).alias("pos", "tag"))
+    rows = latest_records(records).select("isbn13", "source", rank.alias("r"), F.posexplode("tags").alias("pos", "raw")).withColumn("tag", T.clean(F.col("raw"))).filter("tag is not null")
+    first = rows.groupBy("isbn13", "source", "r", T.fold(F.col("tag")).alias("key")).agg(F.min(F.struct("pos", "tag")).alias("first"))
+    return first.select("isbn13", "r", "source", "key", "first.pos", "first.tag")
 
 
 def tag_provenance(records: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def tag_provenance(records: DataFrame) -> DataFrame:
 
 def merged_tags(records: DataFrame) -> DataFrame:
     """(isbn13, tag): of each case key the first spelling, in order of sources."""
-    return _source_tags(records).groupBy("isbn13", T.fold(F.col("tag")).alias("key")).agg(F.min_by("tag", F.struct("r", "pos")).alias("tag")).select("isbn13", "tag")
+    return _source_tags(records).groupBy("isbn13", "key").agg(F.min_by("tag", F.struct("r", "pos")).alias("tag")).select("isbn13", "tag")
 
 
 # Fixed value: why a noise tag goes.
