@@ -23,8 +23,8 @@ Again pairs that share a block are verified by the Hamming distance of the compo
 of them, and then exactly on whole sets. At a similarity of exactly 0.8 a pair shares no block
 with probability 3e-6, at 0.85 with 2e-8; it exceeds the distance with less than 1e-8. Nothing depends on the number of documents, and no group is
 capped. Only as many pairs are compared as components need: each document meets the head of each of its blocks'
-groups, the member that shares blocks with most others. What is not in the component of its group's head after that (strays) is compared with all members that are in other components. Groups with over ``dense``
-strays are split by a second shared block for it (at 0.8 a pair shares one block only with probability 5e-5).
+groups, the member that shares blocks with most others. What is not in the component of its group's head after that (strays) is compared with all members that are in other components; the last bits of the components go along in that join, so only pairs whose distance can be small enough leave it. Groups with over ``dense``
+strays carry whole sets into the join, which then emits links alone.
 
 Defined results: a null text is empty; repeated rows share a fingerprint; a
 null id is kept but never names a component unless nothing else can; an
@@ -110,6 +110,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return ((least >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2").reshape(BLOCKS, PER_BLOCK).view("<i8").ravel()
 
 
+def brief(of: np.ndarray) -> np.ndarray:
+    """The last four bits of each component of a sketch, 16 components to a number. Briefs differ in no more components than sketches do."""
+    bits = (of.view("<u2") & 15).astype(np.uint8)
+    return (bits[::2] | bits[1::2] << 4).view("<i8")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(id, fp)``: fp is the fingerprint as a signed 64-bit number."""
 
@@ -189,6 +195,12 @@ def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int, salts: in
 _APART = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> x ^ y), 0, (n, x) -> n + if(x = 0, 0, int(x & 65535L <> 0) + int(x & 4294901760L <> 0) + int(x & 281470681743360L <> 0) + int(shiftrightunsigned(x, 48) <> 0)))"
 
 
+def _brief_apart(a: str, b: str) -> str:
+    """SQL for the number of components in which two briefs differ."""
+    each = [f"{a}[{i}] ^ {b}[{i}]" for i in range(BLOCKS * PER_BLOCK // 16)]
+    return " + ".join(f"bit_count((({x}) | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {0x1111111111111111}L)" for x in each)
+
+
 def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
     """The rows (id, text) of ``source`` whose id is in ``ids``, a column id without repeats.
 
@@ -202,20 +214,25 @@ def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
     return open_.select("id", "text").join(ids.hint("merge"), "id")
 
 
-def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sketches are close and whose shingle sets have the similarity."""
+def _sets(source: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """``(id, set)``: shingle sets of the rows of ``source`` whose id is in ``asked``."""
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
+    return cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
+
+
+def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sketches are close and whose shingle sets have the similarity."""
     facts = marked.select("id", "n", "sketch")
     both = _with(_with(pairs, facts, "b", n), facts, "a", n)
     sized = f"least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
     candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"))
     asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
+    sets = _sets(source, asked, width)
     whole = _with(_with(candidates, sets, "b", n), sets, "a", n).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"))
 
@@ -228,28 +245,34 @@ def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
     return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"))
 
 
-def _strays(open_: DataFrame, n_members: int, dense: int) -> DataFrame:
+def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: int, width: int, dense: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``(a, b)`` of members of a group that are in two components, one of them not that of the group's head.
 
-    Groups with over ``dense`` such strays are split by a second key that their members share.
+    Sizes and briefs go along, so that pairs whose sketches can't be close are told in the join and never written. The first
+    result holds pairs yet to compare, of groups with up to ``dense`` strays. In larger ones whole sets go along too and the join compares them: it
+    leaves links only, the second result, and a set is moved once for each of its groups, not for each of its pairs.
     """
-    lost = open_.filter("component <> lead")
-    counts = cut(lost.groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")))
-
-    def pairs(rows: DataFrame, strays: DataFrame, on: list[str]) -> DataFrame:
-        one = strays.select(*on, F.col("id").alias("x"), F.col("component").alias("cx"), "members")
-        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), *on)
-        return look_up(two, one, on, "members", n_members).filter("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-
-    few = look_up(open_.drop("members"), counts.filter(F.col("strays") <= dense).drop("strays"), ["key"], "members", n_members)
-    straight = pairs(few, few.filter("component <> lead"), ["key"])
-    if counts.filter(F.col("strays") > dense).isEmpty():
-        return straight
-    wide = look_up(open_.drop("members"), counts.filter(F.col("strays") > dense).drop("strays"), ["key"], "members", n_members)
-    held = wide.groupBy("id", "component").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("component") != F.col("lead")).alias("stray"), "members"))).alias("keys"))  # a key for each block at most
-    twos = "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x.key as key, y.key as second, x.stray or y.stray as stray, least(x.members, y.members) as members))))"
-    split = cut(held.select("id", "component", F.expr(f"inline({twos})")))
-    return straight.union(pairs(split.drop("stray", "members"), split.filter("stray").drop("stray"), ["key", "second"]))
+    open_ = cut(open_.drop("head").join(marked.select("id", "n", "brief").hint("merge"), "id"))
+    counts = cut(open_.filter("component <> lead").groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")))
+    near = f"cx <> cy and least(nx, ny) + 1e-6D >= {similarity!r}D * greatest(nx, ny) and {_brief_apart('sx', 'sy')} <= {MOST_APART}"
+
+    def pairs(size: str, condition: str, sets: bool) -> DataFrame:
+        rows = look_up(open_.drop("members"), counts.filter(size).drop("strays"), ["key"], "members", n_members)
+        if sets:
+            rows = cut(rows)
+            # ids recur at most once a block, so no key is hot here
+            rows = rows.join(_sets(source, rows.select("id").distinct(), width).hint("merge"), "id")
+        else:
+            rows = rows.withColumn("set", F.lit(None))
+        one = rows.filter("component <> lead").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("brief").alias("sx"), F.col("set").alias("wx"), "members")
+        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("brief").alias("sy"), F.col("set").alias("wy"), "key")
+        return look_up(two, one, ["key"], "members", n_members).filter(condition).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    few = pairs(f"strays <= {dense}", near, False)
+    if counts.filter(f"strays > {dense}").isEmpty():
+        return few, None
+    alike = f"size(array_intersect(wx, wy)) * {1 + similarity!r}D + 1e-6D >= {similarity!r}D * (size(wx) + size(wy))"
+    return few, cut(pairs(f"strays > {dense}", f"{near} and {alike}", True).distinct())
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, dense: int = 64) -> DataFrame:
@@ -264,15 +287,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def mark(batches):
         for b in batches:
-            at, sizes, sketches, digests = [], [], [], []
+            at, sizes, sketches, briefs, digests = [], [], [], [], []
             for i, text in enumerate(b.column(1)):
                 hashes = shingle_hashes(_words(text.as_py()), width)
                 if len(hashes):  # a text without words is similar to none
                     at.append(i)
                     sizes.append(len(hashes))
                     sketches.append(sketch(hashes))
+                    briefs.append(brief(sketches[-1]))
                     digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["id", "n", "sketch", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(briefs, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["id", "n", "sketch", "brief", "digest"])
 
     def step(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Components of ``known`` links and the links among ``pairs``."""
@@ -280,7 +304,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = asked.count()
         return cut(components(known.union(_close(asked, n, marked, source, width, similarity)) if n else known))
 
-    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, digest binary"))
+    marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, brief array<long>, digest binary"))
     # equal sets are linked to their smallest id and go on as one
     alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
@@ -295,7 +319,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal)
     open_ = _mixed(members, found, n_members)
     if not open_.isEmpty():
-        found = step(_strays(open_, n_members, dense), found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        few, linked = _strays(open_, marked, source, n_members, width, dense, similarity)
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = step(few, known if linked is None else known.union(linked))
     return found.select(F.col("node").alias("id"), "component")
 
 
