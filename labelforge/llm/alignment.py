@@ -23,7 +23,9 @@ other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
 import uuid
 from collections import Counter
@@ -52,20 +54,24 @@ def byte_decoder() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, bytes of their entries, and the rule for cutting texts."""
+    """Both tokenizers, sizes of their entries in bytes, and the rule for cutting texts."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
         to_byte = byte_decoder()
         vocab = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items() if all(c in to_byte for c in t)}
+        self.a_sizes = np.zeros(1 + max(vocab.values()), np.int64)
+        for t, i in vocab.items():
+            self.a_sizes[i] = len(t) if all(c in to_byte for c in t) else 0
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces}
+        self.b_sizes = np.array([1 if self.b.is_byte(i) else len(p.replace(MARK, " ").encode()) for i, p in pieces], np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
         self.cuts = cut_chars(a_path, [p for i, p in pieces if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)])
         others = f"[^\\S{re.escape(self.cuts)}]"
         self.segments = re.compile(rf"\s+(?:\S+(?:{others}\s*)?)*")
@@ -77,13 +83,16 @@ class Pair:
     def split(self, text: str) -> list[str]:
         return self.segments.findall(" " + text)
 
-    def encode_a(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-
-    def encode_b(self, segments: list[str]) -> list[list[int]]:
-        """B's tokens without the space that it adds: in a segment that begins with a space that one stands for it, else the added one is a token of its own."""
-        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        return [ids if s[0] == " " else ids[1:] for s, ids in zip(segments, found, strict=True)]
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B for segments, one after another. Those that end in white space, which would run into the next one's, come last and by themselves."""
+        solid = sum(not s[-1].isspace() for s in segments)
+        if any(s[-1].isspace() for s in segments[:solid]):
+            raise ValueError("segments that end in white space come last")
+        texts = ["".join(segments[:solid]), *segments[solid:]] if solid else segments
+        a = [self.a.encode(t, add_special_tokens=False).ids for t in texts]
+        # in a text that begins with a space, the one that B adds stands for it; else that is a token of its own
+        b = [self.b.encode(t[1:]) if t[0] == " " else self.b.encode(t)[1:] for t in texts]
+        return tuple(np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
 
 
 def cut_chars(a_path: str, b_pieces: list[str]) -> str:
@@ -112,33 +121,25 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def align(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> tuple[list[tuple[list[int], list[int]]], Counter]:
-    """Groups of A and B ids, and how many links each id pair has."""
-    groups, links = [], Counter()
-    i = j = i_end = j_end = 0
-    ga: list[int] = []
-    gb: list[int] = []
-    while i < len(a) or j < len(b):
-        if i_end <= j_end and i < len(a):
-            ga.append(a[i])
-            i_start, i_end = i_end, i_end + len(a_bytes[a[i]])
-            i += 1
-            if gb and i_start < j_end:  # the open B token overlaps the new A token
-                links[ga[-1], gb[-1]] += 1
-        elif j < len(b):
-            gb.append(b[j])
-            j_start, j_end = j_end, j_end + len(b_bytes[b[j]])
-            j += 1
-            if ga and j_start < i_end:
-                links[ga[-1], gb[-1]] += 1
-        else:
-            break
-        if i_end == j_end:
-            groups.append((ga, gb))
-            ga, gb = [], []
-    if i < len(a) or j < len(b) or ga or gb:
-        raise ValueError("tokens of A and B don't cover the same bytes")
-    return groups, links
+def align(segments: list[str], a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Where segments, groups and links lie among their tokens' ids ``a`` and ``b``, all segments at once.
+
+    Bytes between two neighbouring ends, of tokens of either side, belong to one A and one B token; two tokens that overlap have exactly one such
+    stretch in common. So each end is a link, and each end on both sides closes a group. ``a_at``, ``b_at``, ``groups_at`` and ``links_at``: how many of these are done at each
+    segment's end; ``group_a``, ``group_b``: how many tokens are done at each group's end; ``link_a``, ``link_b``: the ids of each link.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
+    ends = np.cumsum([len(s.encode()) for s in segments])
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    every = np.union1d(a_ends, b_ends)
+    if not np.isin(ends, common).all() or every[-1] != ends[-1]:
+        raise ValueError("a token of A or B crosses a segment's end")
+    done = lambda x, at: np.searchsorted(x, at, side="right")
+    return {
+        "a_at": done(a_ends, ends), "b_at": done(b_ends, ends), "groups_at": done(common, ends), "links_at": done(every, ends),
+        "group_a": done(a_ends, common), "group_b": done(b_ends, common),
+        "link_a": a[np.searchsorted(a_ends, every)], "link_b": b[np.searchsorted(b_ends, every)],
+    }
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -180,38 +181,39 @@ def distinct_segments(chunked: DataFrame, vocabs: tuple[str, str], region: int =
 
 
 def aligned_segments(segments: DataFrame, vocabs: tuple[str, str]) -> DataFrame:
-    """``segments`` with n_a, n_b, n_groups, n_links, ``groups`` (ids of A and B by group, as text) and ``links``, arrays a, b and k: ids and how many links hold them."""
-    schema = "segment string, n long, chunks array<int>, n_a int, n_b int, n_groups int, n_links int, groups string, a array<int>, b array<int>, k array<int>"
+    """``segments`` with n_a, n_b, n_groups, ``groups`` (ids of A and B by group, as text) and ``a`` and ``b``, the ids of each link."""
+    schema = "segment string, n long, chunks array<int>, n_a int, n_b int, n_groups int, groups string, a array<int>, b array<int>"
 
     def run(batches):
         p = pair(*vocabs)
+        name = p.names.__getitem__
+
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            a, b, groups, links = p.encode_a(names), p.encode_b(names), [], []
-            for s, x, y in zip(names, a, b, strict=True):
-                if b"".join(map(p.b_bytes.__getitem__, y)) != s.encode():
-                    raise ValueError("B's tokens don't hold a segment's bytes")
-                g, linked = align(x, y, p.a_bytes, p.b_bytes)
-                groups.append(g)
-                links.append(linked)
-            texts = [";".join([f"{','.join(map(str, u))}|{','.join(map(str, v))}" for u, v in g]) for g in groups]
-            ints, lists = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, ints([len(x) for x in a]), ints([len(y) for y in b]), ints([len(g) for g in groups]), ints([sum(x.values()) for x in links]), pa.array(texts, pa.string())]
-                + [lists([[i for i, _ in x] for x in links]), lists([[j for _, j in x] for x in links]), lists([list(x.values()) for x in links])],
-                ["segment", "n", "chunks", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "k"],
-            )
+            segments = batch.column(0).to_pylist()
+            order = sorted(range(len(segments)), key=lambda i: segments[i][-1].isspace())
+            segments = [segments[i] for i in order]
+            batch = batch.take(pa.array(order))
+            a, b = p.encode(segments)
+            at = align(segments, a, b, p.a_sizes, p.b_sizes)
+            a_names, b_names = list(map(name, a.tolist())), list(map(name, b.tolist()))
+            bounds = (itertools.pairwise([0, *at[c].tolist()]) for c in ("group_a", "group_b"))
+            texts = [f"{a_names[i] if j - i == 1 else ','.join(a_names[i:j])}|{b_names[k] if n - k == 1 else ','.join(b_names[k:n])}" for (i, j), (k, n) in zip(*bounds, strict=True)]
+            groups = [";".join(texts[i:j]) for i, j in itertools.pairwise([0, *at["groups_at"].tolist()])]
+            counts = [pa.array(np.diff(at[c], prepend=0), pa.int32()) for c in ("a_at", "b_at", "groups_at")]
+            offsets = pa.array(np.concatenate([[0], at["links_at"]]), pa.int32())
+            links = [pa.ListArray.from_arrays(offsets, pa.array(at[c], pa.int32())) for c in ("link_a", "link_b")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(groups, pa.string()), *links], ["segment", "n", "chunks", "n_a", "n_b", "n_groups", "groups", "a", "b"])
 
     return segments.mapInArrow(run, schema)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """``(a, b, count, best, held)``: links of each id pair over all documents, whether that is the highest of its B id, and how many segments have it.
+    """``(a, b, count, best, held)``: links of each id pair over all documents, whether that is the highest of its B id, and how many links of segments hold it.
 
     A B id meets A's ids at most, so the window over it is bounded by A's vocabulary.
     """
-    each = aligned.select("n", F.inline(F.arrays_zip("a", "b", "k")))
-    counts = each.groupBy("a", "b").agg(F.sum(F.col("k") * F.col("n")).alias("count"), F.count(F.lit(1)).alias("held"))
+    each = aligned.select("n", F.inline(F.arrays_zip("a", "b")))
+    counts = each.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("held"))
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
@@ -222,28 +224,28 @@ MOST_SENT = 2_000_000
 def with_sums(aligned: DataFrame, pairs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """``aligned`` without its links, with n_best and count_sum."""
     spark = aligned.sparkSession
-    kept = ["segment", "chunks", "n_a", "n_b", "n_groups", "n_links", "groups"]
+    kept = ["segment", "chunks", "n_a", "n_b", "n_groups", "groups"]
     if pairs.count() > most_sent:
         numbered = _stored(aligned.withColumn("sid", F.monotonically_increasing_id()), "numbered")
-        each = numbered.select("sid", F.inline(F.arrays_zip("a", "b", "k")))
+        each = numbered.select("sid", F.inline(F.arrays_zip("a", "b")))
         joined = look_up(each, pairs, ["a", "b"], "held", each.count())
-        sums = joined.groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("n_best"), F.sum(F.col("k") * F.col("count")).alias("count_sum"))
-        return numbered.join(sums.hint("merge"), "sid").select(*kept, "n_best", "count_sum")
+        sums = joined.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return numbered.withColumn("n_links", F.size("a").cast("long")).join(sums.hint("merge"), "sid").select(*kept, "n_links", "n_best", "count_sum")
     table = pairs.select(F.expr("(bigint(a) << 32) | b").alias("key"), "count", "best").toArrow().sort_by("key")
     sent = spark.sparkContext.broadcast([table.column(c).to_numpy() for c in ("key", "count", "best")])
 
     def run(batches):
         keys, counts, best = sent.value
         for batch in batches:
-            lists = [batch.column(c) for c in "abk"]
-            a, b, k = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+            a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in "ab")
             at = np.searchsorted(keys, a << 32 | b)
-            ends = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())])
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (k * best[at], k * counts[at])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, sums)], [*kept, "n_best", "count_sum"])
+            n_links = batch.column("a").value_lengths().to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n_links)])
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (best[at].astype(np.int64), counts[at])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, [n_links, *sums])], [*kept, "n_links", "n_best", "count_sum"])
 
     kinds = {f.name: f.dataType.simpleString() for f in aligned.schema.fields}
-    return aligned.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_best long, count_sum long")
+    return aligned.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_links long, n_best long, count_sum long")
 
 
 _FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -282,9 +284,9 @@ def compose(chunked: DataFrame, facts: DataFrame, vocabs: tuple[str, str]) -> Da
                 for i, text in enumerate(part.column(3)):
                     digest = ""
                     if p.whole(t := text.as_py()):
-                        own = [index[s] for s in p.split(t)]
+                        own = list(map(index.__getitem__, p.split(t)))
                         sums[i] = figures[own].sum(axis=0)
-                        digest = hashlib.sha256(";".join([groups[j] for j in own]).encode()).hexdigest()
+                        digest = hashlib.sha256(";".join(map(groups.__getitem__, own)).encode()).hexdigest()
                     digests.append(digest)
                 yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(sums[:, c]) for c in range(len(_FIGURES))], pa.array(digests, pa.string())], ["id", *_FIGURES, "groups_sha256"])
 

@@ -121,8 +121,11 @@ def test_segments_give_the_tokens_of_whole_texts(spark, sf_dir):
         if p.whole(text):
             parts = p.split(text)
             assert "".join(parts) == " " + text
-            assert [i for x in p.encode_a(parts) for i in x] == p.a.encode(" " + text, add_special_tokens=False).ids
-            assert [i for x in p.encode_b(parts) for i in x] == p.b.encode(text)
+            each = [p.encode([x]) for x in parts]
+            assert [i for a, _ in each for i in a.tolist()] == p.a.encode(" " + text, add_special_tokens=False).ids
+            assert [i for _, b in each for i in b.tolist()] == p.b.encode(text)
+            solid = [x for x in parts if not x[-1].isspace()]
+            assert [x.tolist() for x in p.encode(solid)] == [[i for e, x in zip(each, parts, strict=True) if not x[-1].isspace() for i in e[k].tolist()] for k in (0, 1)] if solid else True
 
 
 def test_repeated_null_and_clashing_rows(spark, plain):
