@@ -147,15 +147,16 @@ def _block_keys(max_distance: int) -> list[str]:
     return keys
 
 
-def links(fps: DataFrame, max_distance: int = 2, dense: int = 16) -> DataFrame:
-    """``(a, b)``: links among distinct fingerprints, column ``fp``, whose components are those of all pairs at ``max_distance`` or fewer bits."""
+def links(fps: DataFrame, n_fps: int, max_distance: int = 2, dense: int = 16) -> DataFrame:
+    """``(a, b)``: links among ``n_fps`` distinct fingerprints, column ``fp``, whose components are those of all pairs at ``max_distance`` or fewer bits."""
     if max_distance not in (0, 2, 4):
         raise ValueError("max_distance is 0, 2 or 4")
     if not max_distance:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a <> b")
     keyed = fps.select("fp", F.explode(F.array(*map(F.expr, _block_keys(max_distance)))).alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = cut(look_up(keyed, shared, ["key"], "n", len(_block_keys(max_distance)) * fps.count()))
+    n_keys = len(_block_keys(max_distance)) * n_fps
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), n_keys // 2)
+    members = cut(look_up(keyed, shared, ["key"], "n", n_keys), n_keys)
     few = members.filter(F.col("n") <= dense)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter(f"a > b and bit_count(a ^ b) <= {max_distance}").select("a", "b")
     many = members.filter(F.col("n") > dense).select("fp").distinct()
@@ -169,13 +170,16 @@ def links(fps: DataFrame, max_distance: int = 2, dense: int = 16) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_distance: int = 2, dense: int = 16) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``fp`` and ``component``, the smallest id reachable over links."""
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
-    joined = components(links(distinct.select("fp"), max_distance, dense))
+    n_rows = marked.count()
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), n_rows)
+    n_fps = distinct.count()
+    joined = components(links(distinct.select("fp"), n_fps, max_distance, dense), n_fps)
     # fingerprints without a link are components of their own
     labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    named = cut(labelled.join(smallest, "component").select("fp", "smallest", "rows"))
-    return look_up(marked, named, ["fp"], "rows", marked.count()).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
+    labelled = cut(labelled, n_fps)
+    smallest = cut(labelled.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("members")), n_fps)
+    named = cut(look_up(labelled, smallest, ["component"], "members", n_fps).select("fp", "smallest", "rows"), n_fps)
+    return look_up(marked, named, ["fp"], "rows", n_rows).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
 def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int, salts: int = 64, shares: int = 1000) -> DataFrame:
@@ -230,19 +234,19 @@ def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width
     facts = marked.select("id", "n", "sketch")
     both = _with(_with(pairs, facts, "b", n), facts, "a", n)
     sized = f"least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
-    candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"))
-    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"), n)
+    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
     sets = _sets(source, asked, width)
     whole = _with(_with(candidates, sets, "b", n), sets, "a", n).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"))
+    return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"), n)
 
 
 def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
     """Members (key, id, members, head) of the groups that are not one component in ``found``, with ``component`` and ``lead``, the component of the head."""
-    labelled = cut(members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    labelled = cut(members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), n_members)
     open_ = labelled.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("head"), F.col("component"))).alias("lead"), F.min("component").alias("least"), F.max("component").alias("top"), F.count(F.lit(1)).alias("size"))
-    keys = cut(open_.filter("least <> top").select("key", "lead", "size"))
-    return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"))
+    keys = cut(open_.filter("least <> top").select("key", "lead", "size"), n_members // 2)
+    return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"), n_members)
 
 
 def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: int, width: int, dense: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
@@ -253,7 +257,7 @@ def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: i
     leaves links only, the second result, and a set is moved once for each of its groups, not for each of its pairs.
     """
     open_ = cut(open_.drop("head").join(marked.select("id", "n", "brief").hint("merge"), "id"))
-    counts = cut(open_.filter("component <> lead").groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")))
+    counts = cut(open_.filter("component <> lead").groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")), n_members // 2)
     near = f"cx <> cy and least(nx, ny) + 1e-6D >= {similarity!r}D * greatest(nx, ny) and {_brief_apart('sx', 'sy')} <= {MOST_APART}"
 
     def pairs(size: str, condition: str, sets: bool) -> DataFrame:
@@ -300,22 +304,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def step(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Components of ``known`` links and the links among ``pairs``."""
-        asked = cut(pairs.distinct())
+        asked = cut(pairs.distinct(), n_members)
         n = asked.count()
-        return cut(components(known.union(_close(asked, n, marked, source, width, similarity)) if n else known))
+        return cut(components(known.union(_close(asked, n, marked, source, width, similarity)) if n else known, n_rows), n_rows)
 
     marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, brief array<long>, digest binary"))
     # equal sets are linked to their smallest id and go on as one
-    alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", marked.count()).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    n_rows = marked.count()
+    alike = cut(marked.groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1"), n_rows)
+    equal = cut(look_up(marked.select("id", "digest"), alike, ["digest"], "members", n_rows).filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), n_rows)
     keyed = marked.join(equal.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti").select("id", F.posexplode("sketch").alias("block", "value")).select("id", F.xxhash64("block", "value").alias("key"))
-    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    shared = cut(look_up(keyed, groups, ["key"], "members", BLOCKS * marked.count()))
+    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), BLOCKS * n_rows // 2)
+    shared = cut(look_up(keyed, groups, ["key"], "members", BLOCKS * n_rows), BLOCKS * n_rows)
     n_members = shared.count()
     # the head of a group is the member that meets most others: what copies were made from, rather than one of them
     weighed = shared.join(shared.groupBy("id").agg(F.sum("members").alias("weight")).hint("merge"), "id")
-    heads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("head"), F.first("members").alias("members")))
-    members = cut(look_up(shared.drop("members"), heads, ["key"], "members", n_members))
+    heads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("head"), F.first("members").alias("members")), n_members // 2)
+    members = cut(look_up(shared.drop("members"), heads, ["key"], "members", n_members), n_members)
     found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal)
     open_ = _mixed(members, found, n_members)
     if not open_.isEmpty():
@@ -332,6 +337,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     exact copies first). Texts are moved once, by a sort-merge join at every size.
     """
     groups = near_copies(docs, id_col, text_col, width, similarity)
-    gone = cut(groups.filter("id <> component").select(F.col("id").alias("__gone")).distinct())
+    gone = cut(groups.filter("id <> component").select(F.col("id").alias("__gone")).distinct(), docs.count())
     known = docs.filter(F.col(f"`{id_col}`").isNotNull())
     return known.join(gone.hint("merge"), known[f"`{id_col}`"] == gone["__gone"], "left_anti").union(docs.filter(F.col(f"`{id_col}`").isNull()))

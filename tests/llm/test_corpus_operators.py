@@ -585,17 +585,17 @@ def test_links_are_whole(spark, most, dense):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most, dense)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(signed), most, dense)
     for r in edges.collect():
         assert ((r["a"] ^ r["b"]) % (1 << 64)).bit_count() <= most
-    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    got = {r["node"]: r["component"] for r in components(edges, 100).collect()}
     assert [got.get(x, x) for x in signed] == reach(signed, [x for x in fps], most) or {frozenset(y for y in signed if got.get(y, y) == got.get(x, x)) for x in signed} == {frozenset(y for y, c in zip(signed, reach(signed, fps, most), strict=True) if c == d) for d in set(reach(signed, fps, most))}
 
 
 @pytest.mark.parametrize("plain", [0, 1000])
 def test_components_on_paths(spark, plain):
     edges = [(i, i + 1) for i in range(0, 40)] + [(200, 201), (201, 200), (300, 300)] + [(400, i) for i in range(401, 460)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), plain=plain).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), len(edges), plain=plain).collect()}
     assert got == {i: 0 for i in range(41)} | {200: 200, 201: 200} | {i: 400 for i in range(400, 460)}
 
 
