@@ -71,20 +71,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def look_up(rows: DataFrame, found: DataFrame, on: list[str], size: str, n_rows: int, how: str = "inner", salts: int = 64, shares: int = 1000) -> DataFrame:
-    """``rows`` joined to the table ``found`` on the columns ``on``; ``size`` tells how many rows each key of ``found`` meets.
+#: A key's rows are dealt over copies of it so that none has more than one in ``COPY_SHARE`` of all rows, or than ``COPY_ROWS``.
+COPY_SHARE, COPY_ROWS = 200, 1_000_000
 
-    Keys that meet more than one in ``shares`` of the ``n_rows`` rows, fewer than ``shares`` of them, are known to
-    every task (a broadcast of that bound); their rows are dealt over ``salts`` copies of the key. The join itself is
+
+def copies_of(size: Column, n_rows: int, share: int = COPY_SHARE) -> Column:
+    """How many copies of a key with ``size`` of ``n_rows`` rows these are dealt over; most keys have one."""
+    return F.greatest(F.ceil(size * share / max(1, n_rows)), F.ceil(size / COPY_ROWS), F.lit(1)).cast("int")
+
+
+def look_up(rows: DataFrame, found: DataFrame, on: list[str], size: str, n_rows: int, how: str = "inner", share: int = COPY_SHARE) -> DataFrame:
+    """``rows`` joined to the table ``found`` on the columns ``on``; ``size`` tells how many of the ``n_rows`` rows each key of ``found`` meets.
+
+    Keys with over one in ``share`` of the rows, or over ``COPY_ROWS`` of them, are known to
+    every task: a broadcast of fewer than ``share`` + ``n_rows`` / ``COPY_ROWS`` keys. Their rows are dealt over as many copies of the key as that takes. The join itself is
     a sort-merge join at every size: what it moves grows with the rows, and with nothing else.
     """
-    hot, salt = fresh(rows.select("*", *[F.lit(0).alias(c) for c in found.columns if c not in rows.columns]), "__hot", "__salt")
-    is_hot = F.col(size) * shares > n_rows
-    marks = found.filter(is_hot).select(*on).distinct().withColumn(hot, F.lit(True))
-    spread = F.when(F.col(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on][:1], F.spark_partition_id()), F.lit(salts))).otherwise(F.lit(0))
-    dealt = rows.join(F.broadcast(marks), on, "left").withColumn(salt, spread.cast("int")).drop(hot)
-    copies = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))))
-    return dealt.join(copies.hint("merge"), [*on, salt], how).drop(salt)
+    copies, salt = fresh(rows.select("*", *[F.lit(0).alias(c) for c in found.columns if c not in rows.columns]), "__copies", "__salt")
+    dealt_to = copies_of(F.col(size), n_rows, share)
+    marks = found.withColumn(copies, dealt_to).filter(F.col(copies) > 1).groupBy(*on).agg(F.max(copies).alias(copies))
+    spread = F.when(F.col(copies).isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on][:1], F.spark_partition_id()), F.col(copies))).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(marks), on, "left").withColumn(salt, spread.cast("int")).drop(copies)
+    # rows of ``found`` that share a key have one size
+    each = found.withColumn(salt, F.explode(F.sequence(F.lit(0), dealt_to - 1)))
+    return dealt.join(each.hint("merge"), [*on, salt], how).drop(salt)
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], rank: str, rows_per_bucket: int = 50_000, least_buckets: int = 64, ranges: str | None = None) -> DataFrame:

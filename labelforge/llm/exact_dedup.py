@@ -53,7 +53,7 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = cut(rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1"))
     n_rows = docs.count()
     groups = combine(
-        look_up(rows, repeated, ["__digest"], "__size", n_rows, "left_semi", salts),
+        look_up(rows, repeated, ["__digest"], "__size", n_rows, "left_semi"),
         [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")],
         [F.max("__keep").alias("__keep"), F.sum("__size").alias("__size")],
         salts,
@@ -64,9 +64,9 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     multi = cut(by_digest.filter("__contents > 1 or __size > 1"))
     if multi.filter("__contents > 1").isEmpty():
-        found = look_up(rows if with_text else rows.drop("__text"), multi.drop("__contents"), ["__digest"], "__size", n_rows, "left", salts)
+        found = look_up(rows if with_text else rows.drop("__text"), multi.drop("__contents"), ["__digest"], "__size", n_rows, "left")
     else:  # some digest stands for several contents, so rows find their group by content
-        found = look_up(rows, cut(groups), ["__digest", "__text"], "__size", n_rows, "left", salts)
+        found = look_up(rows, cut(groups), ["__digest", "__text"], "__size", n_rows, "left")
     keep_id = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return found.select(
         F.col("__id").alias(id_col),

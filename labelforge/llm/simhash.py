@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from labelforge.llm.common import cut, look_up, text_of
+from labelforge.llm.common import copies_of, cut, look_up, text_of
 from labelforge.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -182,21 +182,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return look_up(marked, named, ["fp"], "rows", n_rows).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int, salts: int = 64, shares: int = 1000) -> DataFrame:
+def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int) -> DataFrame:
     """``pairs`` with the columns of the table ``facts`` (id, ...) for the id in column ``side``, named so with ``_side``.
 
-    An id in more than one of ``shares`` pairs (fewer than ``shares`` ids, a broadcast of that bound) has its pairs dealt
-    over ``salts`` copies of its facts.
+    An id in very many pairs has its pairs dealt over copies of its facts (see ``look_up``).
     """
-    hot = F.broadcast(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * shares > n_pairs).select(side, F.lit(True).alias("hot")))
-    dealt = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("a", "b"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counts.select(side, copies_of(F.col("n"), n_pairs).alias("copies")).filter("copies > 1"))
+    dealt = pairs.join(hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
     named = facts.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in facts.columns])
-    copies = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), salts - 1).otherwise(0)))).drop("hot")
-    return dealt.join(copies.hint("merge"), [side, "salt"]).drop("salt")
+    each = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return dealt.join(each.hint("merge"), [side, "salt"]).drop("salt")
 
 
-#: Components in which two sketches differ: each number holds four.
-_APART = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> x ^ y), 0, (n, x) -> n + if(x = 0, 0, int(x & 65535L <> 0) + int(x & 4294901760L <> 0) + int(x & 281470681743360L <> 0) + int(shiftrightunsigned(x, 48) <> 0)))"
+def _apart(a: str, b: str) -> str:
+    """SQL for the number of components in which two sketches differ: each of their numbers holds four."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> x ^ y), 0, (n, x) -> n + if(x = 0, 0, int(x & 65535L <> 0) + int(x & 4294901760L <> 0) + int(x & 281470681743360L <> 0) + int(shiftrightunsigned(x, 48) <> 0)))"
+
+
+def _sized(a: str, b: str, similarity: float) -> str:
+    """SQL for whether sets of two sizes can have the similarity."""
+    return f"least({a}, {b}) + 1e-6D >= {similarity!r}D * greatest({a}, {b})"
 
 
 def _brief_apart(a: str, b: str) -> str:
@@ -229,12 +235,15 @@ def _sets(source: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     return cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
 
 
-def _close(pairs: DataFrame, n: int, marked: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sketches are close and whose shingle sets have the similarity."""
+def _near_sketches(pairs: DataFrame, n: int, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sizes and sketches allow the similarity."""
     facts = marked.select("id", "n", "sketch")
     both = _with(_with(pairs, facts, "b", n), facts, "a", n)
-    sized = f"least(n_a, n_b) + 1e-6D >= {similarity!r}D * greatest(n_a, n_b)"
-    candidates = cut(both.filter(f"{sized} and {_APART} <= {MOST_APART}").select("a", "b"), n)
+    return both.filter(f"{_sized('n_a', 'n_b', similarity)} and {_apart('sketch_a', 'sketch_b')} <= {MOST_APART}").select("a", "b")
+
+
+def _alike(candidates: DataFrame, n: int, source: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of the table ``candidates``, at most ``n`` of them, whose shingle sets have the similarity."""
     asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
     sets = _sets(source, asked, width)
     whole = _with(_with(candidates, sets, "b", n), sets, "a", n).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
@@ -252,27 +261,29 @@ def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
 def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: int, width: int, dense: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``(a, b)`` of members of a group that are in two components, one of them not that of the group's head.
 
-    Sizes and briefs go along, so that pairs whose sketches can't be close are told in the join and never written. The first
-    result holds pairs yet to compare, of groups with up to ``dense`` strays. In larger ones whole sets go along too and the join compares them: it
+    Sizes, briefs and sketches go along, so that pairs whose sketches aren't close are told in the join and never written. The first
+    result holds pairs whose sets are yet to be compared, of groups with up to ``dense`` strays. In larger ones whole sets go along too and the join compares them: it
     leaves links only, the second result, and a set is moved once for each of its groups, not for each of its pairs.
     """
     open_ = cut(open_.drop("head").join(marked.select("id", "n", "brief").hint("merge"), "id"))
     counts = cut(open_.filter("component <> lead").groupBy("key").agg(F.count(F.lit(1)).alias("strays"), F.first("members").alias("members")), n_members // 2)
-    near = f"cx <> cy and least(nx, ny) + 1e-6D >= {similarity!r}D * greatest(nx, ny) and {_brief_apart('sx', 'sy')} <= {MOST_APART}"
+    near = f"cx <> cy and {_sized('nx', 'ny', similarity)} and {_brief_apart('sx', 'sy')} <= {MOST_APART}"
+    close = f"{near} and {_apart('kx', 'ky')} <= {MOST_APART}"
 
     def pairs(size: str, condition: str, sets: bool) -> DataFrame:
         rows = look_up(open_.drop("members"), counts.filter(size).drop("strays"), ["key"], "members", n_members)
+        rows = rows.withColumn("sketch", F.lit(None).cast("array<long>")) if sets else rows.join(marked.select("id", "sketch").hint("merge"), "id")
         if sets:
             rows = cut(rows)
             # ids recur at most once a block, so no key is hot here
             rows = rows.join(_sets(source, rows.select("id").distinct(), width).hint("merge"), "id")
         else:
             rows = rows.withColumn("set", F.lit(None))
-        one = rows.filter("component <> lead").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("brief").alias("sx"), F.col("set").alias("wx"), "members")
-        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("brief").alias("sy"), F.col("set").alias("wy"), "key")
-        return look_up(two, one, ["key"], "members", n_members).filter(condition).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        one = rows.filter("component <> lead").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("brief").alias("sx"), F.col("sketch").alias("kx"), F.col("set").alias("wx"), "members")
+        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("brief").alias("sy"), F.col("sketch").alias("ky"), F.col("set").alias("wy"), "key")
+        return look_up(two, one, ["key"], "members", n_members, share=1000).filter(condition).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
-    few = pairs(f"strays <= {dense}", near, False)
+    few = pairs(f"strays <= {dense}", close, False)
     if counts.filter(f"strays > {dense}").isEmpty():
         return few, None
     alike = f"size(array_intersect(wx, wy)) * {1 + similarity!r}D + 1e-6D >= {similarity!r}D * (size(wx) + size(wy))"
@@ -302,11 +313,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     digests.append(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(briefs, pa.list_(pa.int64())), pa.array(digests, pa.binary())], ["id", "n", "sketch", "brief", "digest"])
 
-    def step(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Components of ``known`` links and the links among ``pairs``."""
+    def step(pairs: DataFrame, known: DataFrame, told: bool) -> DataFrame:
+        """Components of ``known`` links and the links among ``pairs``, whose sketches are close if that is ``told``."""
         asked = cut(pairs.distinct(), n_members)
         n = asked.count()
-        return cut(components(known.union(_close(asked, n, marked, source, width, similarity)) if n else known, n_rows), n_rows)
+        if n and not told:
+            asked = cut(_near_sketches(asked, n, marked, similarity), n)
+        return cut(components(known.union(_alike(asked, n, source, width, similarity)) if n else known, n_rows), n_rows)
 
     marked = cut(source.mapInArrow(mark, f"id {kind}, n int, sketch array<long>, brief array<long>, digest binary"))
     # equal sets are linked to their smallest id and go on as one
@@ -321,12 +334,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weighed = shared.join(shared.groupBy("id").agg(F.sum("members").alias("weight")).hint("merge"), "id")
     heads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("head"), F.first("members").alias("members")), n_members // 2)
     members = cut(look_up(shared.drop("members"), heads, ["key"], "members", n_members), n_members)
-    found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal)
+    found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal, told=False)
     open_ = _mixed(members, found, n_members)
     if not open_.isEmpty():
         few, linked = _strays(open_, marked, source, n_members, width, dense, similarity)
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = step(few, known if linked is None else known.union(linked))
+        found = step(few, known if linked is None else known.union(linked), told=True)
     return found.select(F.col("node").alias("id"), "component")
 
 
