@@ -11,8 +11,12 @@ unknown character counts as its UTF-8 bytes.
 
 Texts begin with a space mark, and spaces are space marks. No piece has a mark
 after another character, so a best path passes every start of a run of marks
-and the runs' counts can be added up; scores are whole numbers below 2^53, so
-sums are exact in any order and the counts are those of the whole text.
+and the runs' counts can be added up. Where scores are whole numbers below 2^53,
+sums are exact in any order. Log-probabilities are not: the tokenizer adds a piece's score to the
+rounded score of all before it, so in a near tie the text before a run may decide. Each run's ``margin`` is the
+least difference between a best score and one that lost to it; a run whose margin is beyond all rounding is segmented alike after any text and
+is remembered with its pieces' scores, which are added one by one to what came before; any other run is segmented anew from the score before
+it. So counts and scores are those of the whole text, to the last bit.
 
 Defined results: a null or empty text has 0 tokens and score 0; repeated rows
 give equal results; a null id is kept; an empty table gives an empty result;
@@ -34,6 +38,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 RUNS = re.compile(f"{MARK}*[^{MARK}]*")
 MOST_CACHED = 300_000
+#: In texts of more characters no run of fractional scores is taken from memory.
+MOST_CHARS = 1 << 24
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 
 
@@ -47,7 +53,10 @@ def vocabulary(path: str) -> list[tuple[str, float, int]]:
 
 
 class Counter(dict):
-    """(pieces, score) of runs; emptied when it holds ``MOST_CACHED`` runs."""
+    """(pieces, scores of the pieces) of runs that are segmented alike after any text, None for other short runs; emptied when it holds ``MOST_CACHED`` runs.
+
+    Where all scores are whole, the scores' sum stands for them.
+    """
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         super().__init__()
@@ -55,21 +64,32 @@ class Counter(dict):
 
         self.matches = ahocorasick.Automaton()
         scores = [score for _, score, _ in pieces]
-        if any(score != int(score) for score in scores):
-            raise ValueError("scores must be whole numbers")
         for piece, score, _ in pieces:
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"a mark inside {piece!r}")
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         self.unknown = min(scores) - UNKNOWN_PENALTY
+        self.whole = all(score == int(score) for score in scores)
+        self.largest = max(map(abs, [*scores, self.unknown]))
         self.bytes = any(kind == BYTE for _, _, kind in pieces)
 
-    def viterbi(self, run: str) -> tuple[int, float]:
+    def viterbi(self, run: str, before: float = 0.0) -> tuple[int, float, list[float], float]:
+        """Pieces of ``run``, their best score after a text of score ``before``, each piece's score, and the margin."""
         n = len(run)
-        best: list[float | None] = [0.0] + [None] * n
+        best: list[float | None] = [before] + [None] * n
         count = [0] * (n + 1)
+        came: list[tuple[int, float]] = [(0, 0.0)] * (n + 1)  # start and score of the last piece
         done = 0  # positions up to here have all their candidates
+        margin = float("inf")
+
+        def offer(end: int, start: int, score: float, pieces: int) -> None:
+            nonlocal margin
+            total, held = best[start] + score, best[end]
+            if held is not None:
+                margin = min(margin, abs(total - held))
+            if held is None or total > held:
+                best[end], count[end], came[end] = total, count[start] + pieces, (start, score)
 
         def close(upto: int) -> None:
             """Offer unknown characters where no one-character piece matched."""
@@ -77,10 +97,7 @@ class Counter(dict):
             while done < upto:
                 done += 1
                 if not single[done]:
-                    score = best[done - 1] + self.unknown
-                    if best[done] is None or score > best[done]:
-                        best[done] = score
-                        count[done] = count[done - 1] + (len(run[done - 1].encode("utf-8", "surrogatepass")) if self.bytes else 1)
+                    offer(done, done - 1, self.unknown, len(run[done - 1].encode("utf-8", "surrogatepass")) if self.bytes else 1)
 
         single = bytearray(n + 1)
         for end, (length, score) in self.matches.iter(run):  # by end; at one end, longest first
@@ -88,18 +105,24 @@ class Counter(dict):
             close(end - 1)
             if length == 1:
                 single[end] = 1
-            score += best[end - length]
-            if best[end] is None or score > best[end]:
-                best[end] = score
-                count[end] = count[end - length] + 1
+            offer(end, end - length, score, 1)
         close(n)
-        return count[n], best[n]
-
-    def __missing__(self, run: str) -> tuple[int, float]:
-        found = self.viterbi(run)
-        if len(self) >= MOST_CACHED:
-            self.clear()
+        scores, at = [], n
+        while at:
+            at, score = came[at]
+            scores.append(score)
+        return count[n], best[n], scores[::-1], margin
+
+    def __missing__(self, run: str) -> tuple[int, object] | None:
+        pieces, total, scores, margin = self.viterbi(run)
+        if self.whole:
+            found = pieces, total
+        else:
+            # sums stay below MOST_CHARS pieces' scores; each of a run's additions rounds by less than that times 2^-52
+            found = (pieces, scores) if margin > 4 * (len(run) + 1) * MOST_CHARS * self.largest * 2.0**-52 else None
         if len(run) <= 64:
+            if len(self) >= MOST_CACHED:
+                self.clear()
             self[run] = found
         return found
 
@@ -107,8 +130,22 @@ class Counter(dict):
         if not text:
             return 0, 0.0
         marked = MARK + text.replace(" ", MARK)
-        found = [self[run] for run in RUNS.findall(marked) if run]
-        return sum(n for n, _ in found), sum(s for _, s in found)
+        runs = [run for run in RUNS.findall(marked) if run]
+        if self.whole:
+            found = [self[run] for run in runs]
+            return sum(n for n, _ in found), sum(s for _, s in found)
+        pieces, total = 0, 0.0
+        safe = len(marked) <= MOST_CHARS
+        for run in runs:
+            found = self[run] if safe else None
+            if found is None:
+                n, total, _, _ = self.viterbi(run, total)
+            else:
+                n = found[0]
+                for score in found[1]:
+                    total += score
+            pieces += n
+        return pieces, total
 
 
 @cache
