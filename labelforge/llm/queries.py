@@ -60,7 +60,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
     stored = warc.store(bundles, ensure_checkpoint_dir(spark))
-    found = warc.read_bundles(stored, with_payload=False)
+    found = warc.read_indexed(stored, with_payload=False)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -192,24 +192,39 @@ def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
     return bundles.select("bundle", "data").mapInArrow(run, RECORD)
 
 
-def look_up(bundles: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Records of the ids in ``wanted``: each is read from its own frame at its own offset."""
-    entries = bundles.select("bundle", F.inline("index"))
-    asked = wanted.select(F.col(id_col).cast("long").alias("id")).distinct()
-    places = entries.join(asked, "id").groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
+def _read_places(rows: DataFrame, with_payload: bool) -> DataFrame:
+    """Records of ``rows`` (bundle, data, places): each at its (id, frame, offset), frame by frame. One that bears another id there is an error."""
 
     def run(batches):
         for b in batches:
             for name, data, places in zip(*b.columns, strict=True):
                 raw, by_frame = data.as_py(), {}
                 for p in places.as_py():
-                    by_frame.setdefault(p["frame"], []).append(p["offset"])
+                    by_frame.setdefault(p["frame"], []).append((p["offset"], p["id"]))
                 table = seek_table(raw)
-                for k, offsets in sorted(by_frame.items()):
-                    text = frame(raw, *table[k])
-                    yield pa.RecordBatch.from_pylist([facts(*parse(text, at)[:2]) | {"bundle": name.as_py()} for at in sorted(offsets)], _ARROW)
+                for k, entries in sorted(by_frame.items()):
+                    text, found = frame(raw, *table[k]), []
+                    for at, identifier in sorted(entries, key=lambda e: e[0]):
+                        row = facts(*parse(text, at)[:2]) | {"bundle": name.as_py()}
+                        if row["id"] != identifier:
+                            raise ValueError(f"record {identifier} isn't where the index has it")
+                        found.append(row if with_payload else row | {"payload": None})
+                    yield pa.RecordBatch.from_pylist(found, _ARROW)
+
+    return rows.mapInArrow(run, RECORD)
+
 
-    return bundles.join(places, "bundle").select("bundle", "data", "places").mapInArrow(run, RECORD)
+def read_indexed(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
+    """A row for each entry of the bundles' indexes, read at its frame and offset."""
+    return _read_places(bundles.select("bundle", "data", F.col("index").alias("places")), with_payload)
+
+
+def look_up(bundles: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Records of the ids in ``wanted``: each is read from its own frame at its own offset."""
+    entries = bundles.select("bundle", F.inline("index"))
+    asked = wanted.select(F.col(id_col).cast("long").alias("id")).distinct()
+    places = entries.join(asked, "id").groupBy("bundle").agg(F.collect_list(F.struct("id", "frame", "offset")).alias("places"))
+    return _read_places(bundles.join(places, "bundle").select("bundle", "data", "places"), True)
 
 
 def store(bundles: DataFrame, folder: str) -> DataFrame:
