@@ -215,16 +215,19 @@ def model(training: tuple[tuple[str, str], ...]) -> Model:
     return Model(training)
 
 
-def sample_training(docs: DataFrame, may_learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 200, train_chars: int = 40_000, salts: int = 64) -> tuple[tuple[str, str], ...]:
+def sample_training(docs: DataFrame, may_learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 200, train_chars: int = 40_000, most_languages: int = 200, salts: int = 64) -> tuple[tuple[str, str], ...]:
     """``((lang, text), ...)`` by language: the bounded sample that automata are fitted on.
 
     ``may_learn`` is a condition in SQL that says which rows may be learnt from. Rows without text or
-    label are passed over. Each of the chosen texts gives an equal share of
-    ``train_chars``, from its start, and only as much of it is moved.
+    label are passed over. Of each language the ``rows_per_language`` texts with the smallest hash of their id are chosen; each gives at most four times its equal share of
+    ``train_chars``, from its start, and they are taken in that order until ``train_chars`` are full. Only as much of a text is moved. The ``most_languages``
+    labels with most rows are languages (ties by name); rarer labels, such as misspelt ones, are learnt by nobody, so models, the sample and what tasks hold are bounded whatever labels there are.
     """
+    labelled = docs.filter(may_learn).select(F.col(f"`{lang_col}`").alias("lang")).filter("lang is not null")
+    frequent = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
     share = max(64, 4 * train_chars // rows_per_language)
     read = docs.filter(may_learn).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{text_col}`").alias("text")).filter(r"lang is not null and rlike(text, '[\\p{L}]')")
-    rows = read.select("lang", "h", F.substring("text", 1, share).alias("text"))
+    rows = read.join(F.broadcast(frequent), "lang", "left_semi").select("lang", "h", F.substring("text", 1, share).alias("text"))
 
     def smallest(of: DataFrame, *order: str) -> DataFrame:
         """The ``rows_per_language`` first of each language: of each salt, then of these, so no task reads a whole language."""
