@@ -225,14 +225,15 @@ def _only(source: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
 
 
 def _sets(source: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """``(id, set)``: shingle sets of the rows of ``source`` whose id is in ``asked``."""
+    """``(id, set, n, ends)``: shingle sets of the rows of ``source`` whose id is in ``asked``, their sizes and the distinct last 16 bits of their hashes."""
 
     def shingle(batches):
         for b in batches:
             sets = [shingle_hashes(_words(t.as_py()), width).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            ends = [np.unique(s.astype(np.int16)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int32()), pa.array(ends, pa.list_(pa.int16()))], ["id", "set", "n", "ends"])
 
-    return cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>"))
+    return cut(_only(source, asked).mapInArrow(shingle, f"id {source.schema['id'].dataType.simpleString()}, set array<long>, n int, ends array<short>"))
 
 
 def _near_sketches(pairs: DataFrame, n: int, marked: DataFrame, similarity: float) -> DataFrame:
@@ -243,11 +244,20 @@ def _near_sketches(pairs: DataFrame, n: int, marked: DataFrame, similarity: floa
 
 
 def _alike(candidates: DataFrame, n: int, source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of the table ``candidates``, at most ``n`` of them, whose shingle sets have the similarity."""
-    asked = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
+    """The pairs ``(a, b)`` of the table ``candidates``, at most ``n`` of them, whose shingle sets have the similarity.
+
+    The ends of the hashes, a quarter of the bytes, are compared first. Two sets share at most as many hashes as they share ends, and as many as one of them loses where its own
+    hashes have ends in common; so only pairs that this bound leaves move whole sets.
+    """
+    asked = cut(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), n)
     sets = _sets(source, asked, width)
-    whole = _with(_with(candidates, sets, "b", n), sets, "a", n).withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return cut(whole.filter(F.col("common") + 1e-6 >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).filter("common > 0").select("a", "b"), n)
+    least = f"{similarity / (1 + similarity)!r}D * (n_a + n_b) - 1e-6D"
+    short = sets.select("id", "n", "ends")
+    shared = "size(array_intersect(ends_a, ends_b)) + least(n_a - size(ends_a), n_b - size(ends_b))"
+    left = cut(_with(_with(candidates, short, "b", n), short, "a", n).filter(f"{shared} >= {least}").select("a", "b"), n)
+    whole = sets.select("id", "n", "set")
+    common = "size(array_intersect(set_a, set_b))"
+    return cut(_with(_with(left, whole, "b", n), whole, "a", n).filter(f"{common} > 0 and {common} >= {least}").select("a", "b"), n)
 
 
 def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
@@ -276,7 +286,7 @@ def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: i
         if sets:
             rows = cut(rows)
             # ids recur at most once a block, so no key is hot here
-            rows = rows.join(_sets(source, rows.select("id").distinct(), width).hint("merge"), "id")
+            rows = rows.join(_sets(source, rows.select("id").distinct(), width).select("id", "set").hint("merge"), "id")
         else:
             rows = rows.withColumn("set", F.lit(None))
         one = rows.filter("component <> lead").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("brief").alias("sx"), F.col("sketch").alias("kx"), F.col("set").alias("wx"), "members")
