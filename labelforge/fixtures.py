@@ -106,3 +106,33 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     return held.withColumn("text", text).select("isbn13", "m", raw.alias("raw"))
+
+
+# Stand-ins for what models and reviewers answer: stated rules by book, path and model.
+
+
+def round1(open_: DataFrame) -> DataFrame:
+    """(debate_id, m, decision): each supporter maintains or retracts (a stated rule)."""
+    k = (F.col("isbn13") * 7 + F.length("path") * 3 + F.col("m") * (F.col("isbn13") % 5)) % 4
+    return open_.select("debate_id", "isbn13", "path", F.explode("models_for").alias("m")).select("debate_id", "m", F.when(k == 0, "RETRACT").otherwise("MAINTAIN").alias("decision"))
+
+
+def round2(asked: DataFrame) -> DataFrame:
+    k = (F.col("isbn13") + F.length("path") + F.col("m") * (F.col("isbn13") % 4)) % 3
+    return asked.select("debate_id", "m", F.when(k == 0, "REJECT").otherwise("ACCEPT").alias("decision"))
+
+
+def human_decisions(sheet: DataFrame) -> DataFrame:
+    """(isbn13, field, path, decision): a stated rule stands in for the reviewer."""
+    k = (F.col("isbn13") + F.length("path")) % 4
+    return sheet.select("isbn13", "field", "path", F.when(k == 0, "REJECT").when(k == 1, "UNSURE").otherwise("ACCEPT").alias("decision"))
+
+
+def debates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of book debates (see ``debate.final_routing``): every fifth book has none, others failed, came back empty or were resolved."""
+    k, key = F.col("o_orderkey") % 5, F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    genre = F.when((k == 0) | (key % 10 == 1), F.array(F.lit("Fiction"))).otherwise(none)
+    metadata = F.when(key % 10 == 6, F.array(F.lit("ASIA"))).otherwise(none)
+    rows = read(spark, sf_dir, "orders").filter(k != 2)
+    return rows.select(key.alias("isbn13"), F.when(k == 3, "error").otherwise("success").alias("status"), genre.alias("genre_paths"), metadata.alias("metadata_paths"), F.when(k != 3, F.lit("groq")).alias("provider"), F.when(k != 3, F.concat(F.lit("model-"), (key % 2).cast("string"))).alias("model"))

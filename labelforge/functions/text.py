@@ -126,5 +126,11 @@ def quota_exhausted(error: Column) -> Column:
     return F.contains(low, F.lit("429")) & (F.contains(low, F.lit("tokens per day")) | F.contains(low, F.lit("(tpd)")))
 
 
+def is_quota(error: str) -> bool:
+    """``quota_exhausted`` of a text at hand, where a provider is being called."""
+    low = error.lower()
+    return "429" in low and ("tokens per day" in low or "(tpd)" in low)
+
+
 def strip_root(path: Column, root: str) -> Column:
     return F.regexp_replace(path, f"^{root} / ", "")

@@ -7,6 +7,7 @@ is keyed by (isbn13, field), so the aggregates and self-joins share that partiti
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,26 +133,101 @@ def symmetric_similarity(pairs: DataFrame) -> DataFrame:
     )
 
 
+def prefix_rows(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, m, path, n, depth, prefix): each label's prefixes, itself included; n is its depth."""
+    own = F.filter(F.transform(F.split("path", P.SEPARATOR), lambda x: F.trim(x)), lambda x: x != "")
+    rows = labels.select("isbn13", "field", "m", "path", own.alias("own")).withColumn("n", F.size("own"))
+    every = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("own", 1, i), P.SEPARATOR).alias("prefix")))
+    return rows.filter("n > 0").select("isbn13", "field", "m", "path", "n", F.inline(every))
+
+
+def best_matches(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, m, other, path, best, exact, related, same_root): each label's best match among another model's labels, through an index of prefixes.
+
+    The index has, for each prefix and model, the depth of the shortest and of the longest path under it and how many there are. Of the paths that share the first d parts with
+    a label of n parts, the shortest, of s parts, is the most similar: 2d / (n + s). So a label meets each of its prefixes once, not each of the other's labels. ``same_root``: how many of the
+    other's labels share the root. A label that shares no root with any has no row.
+    """
+    rows = prefix_rows(labels).repartition("isbn13", "field", "prefix")
+    index = rows.groupBy("isbn13", "field", "prefix", F.col("m").alias("other")).agg(F.min("n").alias("short"), F.max("n").alias("long"), F.count(F.lit(1)).alias("under"))
+    met = rows.join(index, ["isbn13", "field", "prefix"]).filter("m <> other").repartition("isbn13")
+    whole, depth, n = F.col("depth") == F.col("n"), F.col("depth"), F.col("n")
+    return met.groupBy("isbn13", "field", "m", "other", "path").agg(
+        F.max(2.0 * depth / (n + F.col("short"))).alias("best"),
+        F.max(whole & (F.col("short") == n)).alias("exact"),
+        F.max(F.when(whole, F.col("long") > n).otherwise(F.col("short") == depth)).alias("related"),
+        F.max(F.when(depth == 1, F.col("under"))).alias("same_root"),
+    )
+
+
+def similarity_by_prefixes(presence: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``symmetric_similarity`` from ``best_matches``: by book, all facts about its pairs of models meet in one row."""
+    facts = best_matches(labels).groupBy("isbn13", "field", "m", "other").agg(F.sum("best").alias("total"), F.max("exact").alias("exact"), F.max("related").alias("related"), F.min("same_root").alias("same_root"), F.count(F.lit(1)).alias("met"))
+    facts = facts.groupBy("isbn13").agg(F.collect_list(F.struct("field", "m", "other", "total", "exact", "related", "same_root", "met")).alias("facts"))
+    sizes = labels.groupBy("isbn13", "field", "m").agg(F.count_distinct("path").alias("n")).groupBy("isbn13").agg(F.collect_list(F.struct("field", "m", "n")).alias("sizes"))
+    models = successes(presence).groupBy("isbn13").agg(F.array_sort(F.collect_set("m")).alias("models"))
+    books = models.join(sizes, "isbn13", "left").join(facts, "isbn13", "left")
+    pairs = books.select("isbn13", "models", "sizes", "facts", F.explode("models").alias("m_a")).select("*", F.explode(F.expr("filter(models, b -> b > m_a)")).alias("m_b"))
+    rows = pairs.select("isbn13", "m_a", "m_b", "sizes", "facts", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    size = lambda m: F.expr(f"coalesce(get(filter(sizes, s -> s.field = field and s.m = {m}), 0).n, 0L)")
+    fact = lambda m, o: F.expr(f"get(filter(facts, f -> f.field = field and f.m = {m} and f.other = {o}), 0)")
+    rows = rows.select("isbn13", "field", "m_a", "m_b", size("m_a").alias("na"), size("m_b").alias("nb"), fact("m_a", "m_b").alias("ab"), fact("m_b", "m_a").alias("ba"))
+    na, nb, none = F.col("na"), F.col("nb"), F.lit(0.0)
+    mean = (F.coalesce("ab.total", none) / F.nullif(na, F.lit(0)) + F.coalesce("ba.total", none) / F.nullif(nb, F.lit(0))) / 2
+    both = (na > 0) & (nb > 0)
+    return rows.select(
+        "isbn13", "field", "m_a", "m_b",
+        F.when(both, mean).when((na > 0) | (nb > 0), 0.0).alias("similarity"),
+        ((na == 0) & (nb == 0)).alias("joint_abstention"),
+        ((na == 0) != (nb == 0)).alias("one_sided_abstention"),
+        F.coalesce("ab.related", F.lit(False)).alias("ancestor_relation"),
+        F.coalesce("ab.exact", F.lit(False)).alias("exact_overlap"),
+        (both & ((F.coalesce("ab.met", F.lit(0)) < na) | (F.col("ab.same_root") < nb))).alias("zero_prefix_pair"),
+    )
+
+
 def hierarchy_summary(rows: DataFrame) -> DataFrame:
     """By field and pair; joint abstentions don't enter the mean."""
     flags = ("joint_abstention", "one_sided_abstention", "ancestor_relation", "exact_overlap", "zero_prefix_pair")
     return rows.groupBy("field", "m_a", "m_b").agg(F.count(F.lit(1)).alias("evaluated"), *[F.count_if(F.col(f)).alias(f) for f in flags], F.round(F.avg("similarity"), 6).alias("mean_similarity"))
 
 
-def matching_weight(weights: list[list[float]]) -> float:
-    """Largest total of a one-to-one assignment: rows one by one, best total for each set of taken columns."""
-    if len(weights) < len(weights[0]):
-        weights = [list(c) for c in zip(*weights, strict=True)]
-    best = {0: 0.0}
-    for row in weights:
-        step = dict(best)  # the row may stay unmatched
-        for taken, total in best.items():
-            for j, w in enumerate(row):
-                if not taken >> j & 1:
-                    key = taken | 1 << j
-                    step[key] = max(step.get(key, -1.0), total + w)
-        best = step
-    return max(best.values())
+def matching_weight(weights: np.ndarray) -> float:
+    """Largest total of a one-to-one assignment between rows and columns; weights are not negative.
+
+    The Hungarian method by shortest augmenting paths: rows enter one by one, potentials of rows and columns keep all reduced costs at zero or above, and
+    each row's path to a free column is the shortest by reduced costs (a step over all columns at once). Time grows with rows^2 x columns.
+    """
+    w = np.asarray(weights, float)
+    if w.shape[0] > w.shape[1]:
+        w = w.T
+    rows, columns = w.shape
+    cost = w.max() - w
+    of_row, of_column = np.zeros(rows), np.zeros(columns)
+    owner = np.full(columns, -1)  # the row that has a column
+    for new in range(rows):
+        reach, came = np.full(columns, np.inf), np.full(columns, -1)
+        done = np.zeros(columns, bool)
+        row, at, total = new, -1, 0.0
+        while True:
+            through = total + cost[row] - of_row[row] - of_column
+            better = ~done & (through < reach)
+            reach[better], came[better] = through[better], at
+            at = int(np.argmin(np.where(done, np.inf, reach)))
+            total = reach[at]
+            if owner[at] < 0:
+                break
+            done[at] = True
+            row = owner[at]
+        of_row[new] += total
+        of_row[owner[done]] += total - reach[done]
+        of_column[done] -= total - reach[done]
+        while at >= 0:  # hand columns on along the path
+            before = came[at]
+            owner[at] = new if before < 0 else owner[before]
+            at = before
+    taken = np.flatnonzero(owner >= 0)
+    return float(w[owner[taken], taken].sum())
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -159,7 +235,7 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
 
     def match(batches):
         for b in batches:
-            b["similarity"] = [None if na + nb == 0 else 2 * (matching_weight([list(x[i : i + nb]) for i in range(0, na * nb, nb)]) if na and nb else 0.0) / (na + nb) for na, nb, x in zip(b["na"], b["nb"], b["flat"], strict=True)]
+            b["similarity"] = [None if na + nb == 0 else 2 * (matching_weight(np.reshape(x, (na, nb))) if na and nb else 0.0) / (na + nb) for na, nb, x in zip(b["na"], b["nb"], b["flat"], strict=True)]
             yield b[["isbn13", "field", "m_a", "m_b", "similarity"]]
 
     a, b = F.col("a"), F.col("b")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelforge.fixtures import FIELDS, MODELS
 from labelforge.functions import paths as P
 from labelforge.operators import agreement as A
+from labelforge.operators.ordinals import with_ordinal
 
 CATEGORIES = ("unanimous", "majority", "hierarchical_singleton", "isolated_singleton")
 KEY = ["isbn13", "field"]
@@ -131,25 +132,10 @@ def book_presence(presence: DataFrame, labels: DataFrame) -> DataFrame:
     return held.unionByName(all_abstain(presence, labels).groupBy("field").agg(F.count(F.lit(1)).alias("books")).withColumn("category", F.lit("all_models_abstain")))
 
 
-def rank_in_order(df: DataFrame, key: str, lead: str, order: list[str], rank: str, per_bucket: int = 20_000) -> DataFrame:
-    """Append ``rank``, 1-based by ``order`` within ``key``; ``lead`` is the first, whole-numbered column of ``order``.
-
-    Ranges of ``lead`` are ranked in parallel and shifted by the rows before
-    them, so no task holds a whole key.
-    """
-    lo, hi, n = df.agg(F.min(lead), F.max(lead), F.count(F.lit(1))).first()
-    width = max(1, (hi - lo + 1) // max(1, n // per_bucket)) if n else 1
-    dealt = df.withColumn("__range", F.expr(f"{lead} div {width}"))
-    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n")).select(key, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
-    return dealt.withColumn("__in", inside).join(starts, [key, "__range"]).withColumn(rank, F.col("__start") + F.col("__in")).drop("__range", "__in", "__start")
-
-
 def adjudication_sheet(labels: DataFrame, reasons: tuple[str, ...] = REVIEWED) -> DataFrame:
     """Numbered cases for review with blank decision columns."""
     rows = singleton_review(labels).filter(F.col("reason").isin(*reasons))
-    ranked = rank_in_order(rows, "field", "isbn13", ["isbn13", "path", "m"], "k")
+    ranked = with_ordinal(rows, "field", ["isbn13", "path", "m"], "k")
     name = F.when(F.col("field") == "genre", "GENRE").otherwise("META")
     blank = [F.lit("").alias(c) for c in ("decision", "confidence", "rationale")]
     return ranked.select(F.concat(name, F.lit("-"), F.when(F.col("k") > 9999, F.col("k").cast("string")).otherwise(F.lpad(F.col("k").cast("string"), 4, "0"))).alias("case_id"), *KEY, "path", "m", "reason", *blank)

@@ -26,27 +26,25 @@ def disputes(presence: DataFrame, labels: DataFrame) -> DataFrame:
     return C.path_conflicts(presence, labels).filter("support_count < 3")
 
 
-def round1(open_: DataFrame) -> DataFrame:
-    """(debate_id, m, decision): each supporter maintains or retracts (a stated rule stands in for the model)."""
-    k = (F.col("isbn13") * 7 + F.length("path") * 3 + F.col("m") * (F.col("isbn13") % 5)) % 4
-    return open_.select("debate_id", "isbn13", "path", F.explode("models_for").alias("m")).select("debate_id", "m", F.when(k == 0, "RETRACT").otherwise("MAINTAIN").alias("decision"))
+def _with_votes(open_: DataFrame, votes: DataFrame, about: list[str]) -> DataFrame:
+    """(debate_id, about, maintain, retract, accept, reject): each debate's columns ``about`` as a struct and its tallies, met by one grouping."""
+    tallies = ("MAINTAIN", "RETRACT", "ACCEPT", "REJECT")
+    facts = open_.select("debate_id", F.struct(*about).alias("about"), F.lit(None).cast("string").alias("decision"))
+    said = votes.select("debate_id", F.lit(None).cast(facts.schema["about"].dataType).alias("about"), "decision")
+    held = facts.unionByName(said).groupBy("debate_id").agg(F.max("about").alias("about"), *[F.count_if(F.col("decision") == d).alias(d.lower()) for d in tallies])
+    return held.filter("about is not null")
 
 
 def round2_eligible(open_: DataFrame, first: DataFrame) -> DataFrame:
     """(debate_id, isbn13, path, m): opponents asked, only where every supporter maintains."""
-    kept = first.groupBy("debate_id").agg(F.count_if(F.col("decision") == "MAINTAIN").alias("kept"))
-    return open_.join(kept, "debate_id").filter("kept = support_count").select("debate_id", "isbn13", "path", F.explode("models_against").alias("m"))
-
-
-def round2(asked: DataFrame) -> DataFrame:
-    k = (F.col("isbn13") + F.length("path") + F.col("m") * (F.col("isbn13") % 4)) % 3
-    return asked.select("debate_id", "m", F.when(k == 0, "REJECT").otherwise("ACCEPT").alias("decision"))
+    held = _with_votes(open_, first, ["isbn13", "path", "support_count", "models_against"])
+    return held.filter("maintain = about.support_count").select("debate_id", "about.isbn13", "about.path", F.explode("about.models_against").alias("m"))
 
 
 def verdicts(open_: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Disputes with ``verdict`` and ``reason`` by the decision table; a state that is not in it raises."""
-    votes = first.unionByName(second).groupBy("debate_id").agg(*[F.count_if(F.col("decision") == d).alias(d.lower()) for d in ("MAINTAIN", "RETRACT", "ACCEPT", "REJECT")])
-    tallied = open_.join(votes, "debate_id", "left").fillna(0, ["maintain", "retract", "accept", "reject"])
+    about = ["isbn13", "annotation_type", "path", "support_count"]
+    tallied = _with_votes(open_, first.unionByName(second), about).select("debate_id", "about.*", "maintain", "retract", "accept", "reject")
     state = [F.col(c) for c in ("support_count", "maintain", "retract", "accept", "reject")]
 
     def look_up(i: int):
@@ -93,13 +91,38 @@ def detail_arrays(open_: DataFrame, first: DataFrame, second: DataFrame) -> Data
     return both.select("debate_id", "round1", "round2", F.map_concat(F.map_filter(one, lambda k, _: ~F.map_contains_key(two, k)), two).alias("final_by_model"))
 
 
-def full_rows(counts: DataFrame, accepted: DataFrame, labels: DataFrame) -> DataFrame:
-    """Final rows of books: ``counts`` (see ``book_counts``), accepted paths by kind and each model's own paths, all joined by " | "."""
-    final = accepted.groupBy("isbn13").pivot("annotation_type", ["Genre", "Metadata"]).agg(F.first(F.array_join("paths", " | ")))
-    by_model = labels.groupBy("isbn13").pivot("m", list(MODELS)).agg(F.array_join(F.array_sort(F.collect_set("path")), " | "))
-    empty = lambda c, n: F.coalesce(F.col(str(c)), F.lit("")).alias(n)
-    rows = counts.join(final, "isbn13", "left").join(by_model, "isbn13", "left")
-    return rows.select(*counts.columns, empty("Genre", "final_genre_paths"), empty("Metadata", "final_metadata_paths"), *[empty(m, f"m{m}_paths") for m in MODELS])
+def full_rows(presence: DataFrame, labels: DataFrame, judged: DataFrame) -> DataFrame:
+    """Final rows of complete books: (isbn13, accepted, manual, rejected, has_manual), accepted paths by kind and each model's own paths, these joined by " | ".
+
+    The same figures as ``book_counts`` and ``accepted_paths``: who answered, what each chose, how many chose it and what was judged meet in one grouping of a book.
+    """
+    columns = {"m": "int", "kind": "string", "path": "string", "votes": "long", "verdict": "string"}
+
+    def facts(df: DataFrame, **found) -> DataFrame:
+        return df.select("isbn13", *[found.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    kind = F.initcap("field")
+    held = A.path_support(labels).select("isbn13", kind.alias("kind"), "path", "votes", F.explode("voters").alias("m"))
+    rows = facts(A.successes(presence), m=F.col("m")).unionByName(facts(held, **{c: F.col(c) for c in ("m", "kind", "path", "votes")})).unionByName(facts(judged, kind=F.col("annotation_type"), path=F.col("path"), verdict=F.col("verdict")))
+    accepted = F.coalesce(F.col("votes") == len(MODELS), F.lit(False)) | F.coalesce(F.col("verdict") == "ACCEPT", F.lit(False))
+    paths = lambda where: F.array_sort(F.collect_set(F.when(where, F.col("path"))))
+    books = rows.groupBy("isbn13").agg(
+        F.collect_set(F.when(F.col("path").isNull(), F.col("m"))).alias("answered"),
+        *[paths(accepted & (F.col("kind") == k)).alias(f"final_{k}") for k in ("Genre", "Metadata")],
+        *[F.count_if(F.col("verdict") == v).alias(n) for v, n in (("MANUAL", "manual"), ("REJECT", "rejected"))],
+        *[paths(F.col("votes").isNotNull() & (F.col("m") == m)).alias(f"m{m}") for m in MODELS],
+    )
+    joined = lambda c, n: F.array_join(c, " | ").alias(n)
+    return books.filter(F.size("answered") == len(MODELS)).select(
+        "isbn13",
+        (F.size("final_Genre") + F.size("final_Metadata")).cast("long").alias("accepted"),
+        "manual",
+        "rejected",
+        F.when(F.col("manual") > 0, "YES").otherwise("NO").alias("has_manual"),
+        joined("final_Genre", "final_genre_paths"),
+        joined("final_Metadata", "final_metadata_paths"),
+        *[joined(f"m{m}", f"m{m}_paths") for m in MODELS],
+    )
 
 
 def details(open_: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -110,12 +133,6 @@ def details(open_: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     return open_.select("debate_id").join(held, "debate_id", "left").select("debate_id", F.coalesce(text, F.lit("")).alias("decisions"))
 
 
-def human_decisions(sheet: DataFrame) -> DataFrame:
-    """(isbn13, field, path, decision): a stated rule stands in for the reviewer."""
-    k = (F.col("isbn13") + F.length("path")) % 4
-    return sheet.select("isbn13", "field", "path", F.when(k == 0, "REJECT").when(k == 1, "UNSURE").otherwise("ACCEPT").alias("decision"))
-
-
 def silver(labels: DataFrame, decided: DataFrame) -> DataFrame:
     """(isbn13, field, path): canonical and accepted paths, pruned, so that each book's are grouped once."""
     return C.pruned(C.canonical(labels).unionByName(decided.filter("decision = 'ACCEPT'").select("isbn13", "field", "path")))
@@ -136,36 +153,57 @@ def representation(final: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.filter("decision = 'ACCEPT'").select(*on).distinct().join(covered, on, "left_anti")
 
 
-def final_routing(routes: DataFrame) -> DataFrame:
-    """(isbn13, destination, method): every book once. Debate results follow a stated rule by isbn13."""
-    k = F.col("isbn13") % 5
+def final_routing(routes: DataFrame, debates: DataFrame) -> DataFrame:
+    """(isbn13, destination, method, resolver_provider, resolver_model): every book once.
+
+    ``routes``: (isbn13, route); ``debates``: (isbn13, status, genre_paths, metadata_paths, provider, model), the record of each book's debate, where one was held. A book in conflict is final if its debate succeeded with a
+    path of either kind; else it goes to manual review, for the reason that ``method`` names. Debates of books without a conflict change nothing; two records of one book are an error.
+    """
+    held = debates.groupBy("isbn13").agg(*[F.first(c).alias(c) for c in ("status", "genre_paths", "metadata_paths", "provider", "model")], F.count(F.lit(1)).alias("held"))
+    once = F.when(F.col("held") > 1, F.raise_error(F.concat(F.lit("two debate records of "), F.col("isbn13").cast("string"))).cast("string")).otherwise(F.col("status"))
+    rows = routes.select("isbn13", "route").join(held.withColumn("status", once), "isbn13", "left")
     conflict = F.col("route").startswith("conflict")
-    manual = F.col("route").isin("insufficient_models", "no_filtered_tags")
-    agreed = F.when(F.col("route") == "perfect_3_of_3", "perfect_3_of_3_consensus").otherwise(F.col("route"))
-    method = F.when(~conflict & ~manual, agreed).when(conflict & (k < 2), "debate_resolver")
-    reason = F.when(F.col("route") == "insufficient_models", "insufficient_original_annotations").when(F.col("route") == "no_filtered_tags", "no_filtered_tags").when(k == 2, "debate_not_run").when(k == 3, "debate_api_error").otherwise("resolver_returned_empty")
-    return routes.select("isbn13", F.when(method.isNotNull(), "final").otherwise("manual").alias("destination"), F.coalesce(method, reason).alias("method"))
+    some = F.coalesce(F.size("genre_paths") > 0, F.lit(False)) | F.coalesce(F.size("metadata_paths") > 0, F.lit(False))
+    resolved = conflict & F.col("held").isNotNull() & F.coalesce(F.col("status") == "success", F.lit(False)) & some
+    # Names of methods and of reasons for review.
+    method = (
+        F.when(F.col("route") == "insufficient_models", "insufficient_original_annotations")
+        .when(F.col("route") == "no_filtered_tags", "no_filtered_tags")
+        .when(F.col("route") == "perfect_3_of_3", "perfect_3_of_3_consensus")
+        .when(~conflict, F.col("route"))
+        .when(F.col("held").isNull(), "debate_not_run")
+        .when(resolved, "debate_resolver")
+        .when(F.col("status") == "success", "resolver_returned_empty")
+        .otherwise("debate_api_error")
+    )
+    manual = F.col("route").isin("insufficient_models", "no_filtered_tags") | (conflict & ~resolved)
+    by = [F.when(resolved, F.col(c)).alias(f"resolver_{c}") for c in ("provider", "model")]
+    return rows.select("isbn13", F.when(manual, "manual").otherwise("final").alias("destination"), method.alias("method"), *by)
 
 
 def violations(final: DataFrame, manual: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(check, n) over final (isbn13, genre, metadata) and manual (isbn13) records."""
-    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    """(check, n) over final (isbn13, genre, metadata) and manual (isbn13) records: a book's records, its paths outside the taxonomy and its manual record meet in one grouping."""
+    marks = ("final", "manual", "empty", "roots", "bad_genre", "bad_metadata")
 
-    def invalid(field: str) -> DataFrame:
-        valid = taxonomy.filter(F.col("kind") == field).select("path")
-        return final.select("isbn13", F.explode(field).alias("path")).join(valid, "path", "left_anti").select("isbn13").distinct()
+    def marked(df: DataFrame, **found) -> DataFrame:
+        return df.select("isbn13", *[found.get(m, F.lit(0)).cast("int").alias(m) for m in marks])
 
     roots = F.transform("genre", lambda p: F.split(p, " / ")[0])
-    twice = final.groupBy("isbn13").count().filter("count > 1")
-    found = [
-        one("duplicate_final", twice),
-        one("final_and_manual", final.select("isbn13").distinct().join(manual.select("isbn13"), "isbn13", "left_semi")),
-        one("empty_final", final.filter((F.size("genre") == 0) & (F.size("metadata") == 0))),
-        one("invalid_genre", invalid("genre")),
-        one("invalid_metadata", invalid("metadata")),
-        one("both_roots", final.filter(F.array_contains(roots, "Fiction") & F.array_contains(roots, "Nonfiction"))),
-    ]
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    both = F.coalesce(F.array_contains(roots, "Fiction") & F.array_contains(roots, "Nonfiction"), F.lit(False))
+    records = marked(final, final=F.lit(1), empty=(F.size("genre") == 0) & (F.size("metadata") == 0), roots=both)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("paths")) for k in ("genre", "metadata")])
+    paths = final.select("isbn13", F.inline(kinds)).select("isbn13", "kind", F.explode("paths").alias("path"))
+    invalid = paths.join(taxonomy.select("kind", "path"), ["kind", "path"], "left_anti")
+    wrong = marked(invalid, bad_genre=F.col("kind") == "genre", bad_metadata=F.col("kind") == "metadata")
+    books = records.unionByName(marked(manual, manual=F.lit(1))).unionByName(wrong).groupBy("isbn13").agg(*[F.sum(m).alias(m) for m in marks])
+    n = F.count_if
+    totals = {
+        "duplicate_final": n(F.col("final") > 1),
+        "final_and_manual": n((F.col("final") > 0) & (F.col("manual") > 0) & F.col("isbn13").isNotNull()),
+        "empty_final": F.coalesce(F.sum("empty"), F.lit(0)),
+        "invalid_genre": n(F.col("bad_genre") > 0),
+        "invalid_metadata": n(F.col("bad_metadata") > 0),
+        "both_roots": F.coalesce(F.sum("roots"), F.lit(0)),
+    }
+    one = books.agg(*[c.cast("long").alias(k) for k, c in totals.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in totals])))

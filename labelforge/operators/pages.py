@@ -39,12 +39,12 @@ AMAZON = {
     "cover_large": ("data-old-hires", ["#imgBlkFront", "#landingImage", "#ebooksImgBlkFront"]),
     "cover_dynamic": ("data-a-dynamic-image", ["#imgBlkFront", "#landingImage", "#ebooksImgBlkFront"]),
     "cover": ("src", ["#imgBlkFront", "#landingImage", "#ebooksImgBlkFront"]),
-    "heads": (None, ["#productDetailsTable tr th", "#productDetails_detailBullets_sections1 tr th", "#productDetails_techSpec_section_1 tr th"]),
-    "values": (None, ["#productDetailsTable tr td", "#productDetails_detailBullets_sections1 tr td", "#productDetails_techSpec_section_1 tr td"]),
-    "rows": (None, ["#detailBullets_feature_div li", "#productDetailsTable tr", "#productDetails_detailBullets_sections1 tr", "#productDetails_techSpec_section_1 tr"]),
 }
+ROWS = ["#detailBullets_feature_div li", "#productDetailsTable tr", "#productDetails_detailBullets_sections1 tr", "#productDetails_techSpec_section_1 tr"]
+# Texts of links that are no author or no genre.
 NO_AUTHOR = ("visit amazon's store", "follow")
 NO_GENRE = ("books", "kindle store")
+AMAZON |= {"rows": (None, ROWS), "heads": ("<th>", ROWS), "cells": ("<td>", ROWS)}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -119,10 +119,41 @@ def _matches(nodes: list[tuple], at: int, chain: list[tuple]) -> bool:
     return rest < 0
 
 
+def _inside(nodes: list[tuple], at: int, tag: str) -> str | None:
+    """Text of the first element of a tag inside an element, whose inner elements follow it directly."""
+    held = {at}
+    for i in range(at + 1, len(nodes)):
+        if nodes[i][2] not in held:
+            return None
+        if nodes[i][0] == tag:
+            return " ".join(nodes[i][3])
+        held.add(i)
+    return None
+
+
+class Index(list):
+    """Nodes of a page with the places of each id, class and tag, so that a selector looks at what its last step may be and nothing else."""
+
+    def __init__(self, nodes: list[tuple]):
+        super().__init__(nodes)
+        self.places: dict[tuple[str, str], list[int]] = {}
+        for i, (tag, attrs, _, _) in enumerate(nodes):
+            for key in {("tag", tag), ("id", attrs.get("id")), *(("class", c) for c in attrs.get("class", "").split())}:
+                self.places.setdefault(key, []).append(i)
+
+    def may_be(self, step: tuple) -> list[int] | range:
+        tag, identifier, classes, _ = step
+        keys = [("id", identifier)] * (identifier is not None) + [("class", c) for c in classes] + [("tag", tag)] * (tag != "")
+        return min((self.places.get(k, []) for k in keys), key=len) if keys else range(len(self))
+
+
 def select(nodes: list[tuple], selector: str, attribute: str | None = None) -> list[str | None]:
-    """Texts (or an attribute) of the elements that a selector finds, in document order."""
-    hits = [i for i in range(len(nodes)) if any(_matches(nodes, i, chain) for chain in _compiled(selector))]
-    return [" ".join(nodes[i][3]) if attribute is None else nodes[i][1].get(attribute) for i in hits]
+    """Texts (or an attribute; or, for "<tag>", the text of the first such element inside) of the elements that a selector finds, in document order."""
+    index = nodes if isinstance(nodes, Index) else Index(nodes)
+    hits = sorted({i for chain in _compiled(selector) for i in index.may_be(chain[-1]) if _matches(nodes, i, chain)})
+    if attribute is None:
+        return [" ".join(nodes[i][3]) for i in hits]
+    return [_inside(nodes, i, attribute[1:-1]) if attribute[0] == "<" else nodes[i][1].get(attribute) for i in hits]
 
 
 def picked(html: Column, spec: dict) -> Column:
@@ -130,7 +161,7 @@ def picked(html: Column, spec: dict) -> Column:
 
     @F.pandas_udf(", ".join(f"`{name}` array<array<string>>" for name in spec))
     def run(pages: pd.Series) -> pd.DataFrame:
-        trees = [_Tree(p or "").nodes for p in pages]
+        trees = [Index(_Tree(p or "").nodes) for p in pages]
         return pd.DataFrame({name: [[select(t, s, attribute) for s in selectors] for t in trees] for name, (attribute, selectors) in spec.items()})
 
     return run(html)
@@ -172,11 +203,19 @@ def title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit(""))
 
 
+#: An anchor: its href in quotes of either kind or none, behind any other attributes, and what it holds.
+_ANCHOR = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+
+
+def _bare(value: Column) -> Column:
+    """An attribute's value without its quotes."""
+    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+
+
 def links(html: Column) -> Column:
     """(href, text) of each anchor."""
-    both = F.regexp_extract_all(html, F.lit(r'(?is)<a href="([^"]*)">(?:.*?)</a>'), 1)
-    text = F.regexp_extract_all(html, F.lit(r'(?is)<a href="[^"]*">(.*?)</a>'), 1)
-    return F.arrays_zip(both.alias("href"), text.alias("text"))
+    href, text = (F.regexp_extract_all(html, F.lit(_ANCHOR), i) for i in (1, 2))
+    return F.arrays_zip(F.transform(href, _bare).alias("href"), text.alias("text"))
 
 
 def blocked(html: Column) -> Column:
@@ -199,11 +238,20 @@ def reviews(texts: Column, least: int = 20, most: int = 5) -> Column:
 # pages with JSON-LD
 
 
+#: A script of type JSON-LD: the type in quotes of either kind or none, among any other attributes.
+_JSON_LD = r"""(?s)<(?i:script)(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\s(?i:type)\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))(?:[^>"']|"[^"]*"|'[^']*')*>(.*?)</(?i:script)\s*>"""
+
+
 def json_ld_book(html: Column) -> Column:
-    """The first JSON-LD object of type Book, also in a list or inside an object's @graph; bad JSON is passed over; null if there is none."""
-    scripts = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
+    """The first JSON-LD object of type Book, also in a list or inside an object's @graph; null if there is none.
+
+    A script that is not one whole JSON value (cut, or with text after it) is passed over.
+    """
+    # the parser stops after a first value; inside an array and inside an object nothing may follow it
+    whole = lambda s: F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
+    scripts = F.filter(F.regexp_extract_all(html, F.lit(_JSON_LD), 1), whole)
     none = F.array().cast("array<string>")
-    items = lambda s: F.when(F.startswith(F.trim(s), F.lit("[")), F.coalesce(F.from_json(s, "array<string>"), none)).otherwise(F.array(s))
+    items = lambda s: F.when(F.startswith(F.ltrim(s), F.lit("[")), F.coalesce(F.from_json(s, "array<string>"), none)).otherwise(F.array(s))
     graph = lambda s: F.coalesce(F.from_json(F.get_json_object(s, "$.@graph"), "array<string>"), none)
     objects = F.flatten(F.transform(scripts, items))
     every = F.flatten(F.transform(objects, lambda s: F.concat(F.array(s), graph(s))))
@@ -256,13 +304,23 @@ def edition_format(text: Column) -> Column:
 # product pages
 
 
-def product_url(html: Column, host: str) -> Column:
-    """The first link with /dp/, absolute and without its query."""
-    href = F.nullif(F.regexp_extract(html, r'href="([^"]*/dp/[^"]*)"', 1), F.lit(""))
+def _first_link(html: Column, part: str, host: str) -> Column:
+    """The first link whose address holds ``part``, absolute and without its query."""
+    href = F.try_element_at(F.filter(F.transform(links(html), lambda x: x["href"]), lambda h: F.contains(h, F.lit(part))), F.lit(1))
     bare = F.split_part(href, F.lit("?"), F.lit(1))
     return F.when(F.startswith(bare, F.lit("/")), F.concat(F.lit(host), bare)).otherwise(bare)
 
 
+def product_url(html: Column, host: str) -> Column:
+    """The first link to a product on a page of search results."""
+    return _first_link(html, "/dp/", host)
+
+
+def book_url(html: Column, host: str) -> Column:
+    """The first link to a book on a page of search results."""
+    return _first_link(html, "/book/show/", host)
+
+
 def _without(texts: Column, words: tuple[str, ...]) -> Column:
     return dedup_folded(F.filter(F.transform(texts, clean), lambda t: ~fold(t).isin(*words)))
 
@@ -294,11 +352,11 @@ def amazon_cover(found: Column) -> Column:
 
 
 def detail_pairs(found: Column) -> Column:
-    """(key, value) of each row of details: around its first colon, or its heading and cell."""
-    rows = F.filter(F.transform(_every(found["rows"]), clean), lambda r: F.contains(r, F.lit(":")))
-    split = F.transform(rows, lambda r: F.struct(F.split_part(r, F.lit(":"), F.lit(1)).alias("key"), F.regexp_extract(r, "(?s)^[^:]*:(.*)$", 1).alias("value")))
-    cells = F.transform(F.arrays_zip(_every(found["heads"]).alias("h"), _every(found["values"]).alias("v")), lambda x: F.struct(x["h"].alias("key"), x["v"].alias("value")))
-    return F.concat(F.filter(cells, lambda c: ~F.contains(F.concat_ws(" ", c["key"], c["value"]), F.lit(":"))), split)
+    """(key, value) of each row of details, in their order: around its first colon, else its own heading and cell; a row with neither gives none."""
+    rows = F.transform(F.arrays_zip(*[_every(found[c]).alias(c) for c in ("rows", "heads", "cells")]), lambda r: F.struct(clean(r["rows"]).alias("text"), r["heads"].alias("head"), r["cells"].alias("cell")))
+    told = F.filter(rows, lambda r: r["text"].isNotNull() & (F.contains(r["text"], F.lit(":")) | (r["head"].isNotNull() & r["cell"].isNotNull())))
+    split = lambda t: F.struct(F.split_part(t, F.lit(":"), F.lit(1)).alias("key"), F.regexp_extract(t, "(?s)^[^:]*:(.*)$", 1).alias("value"))
+    return F.transform(told, lambda r: F.when(F.contains(r["text"], F.lit(":")), split(r["text"])).otherwise(F.struct(r["head"].alias("key"), r["cell"].alias("value"))))
 
 
 def details(pairs: Column) -> Column:

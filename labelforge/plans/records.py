@@ -175,7 +175,7 @@ def debate_arrays(s, d):
   string_agg(path,' | ' ORDER BY path) FILTER (m=1) AS m1, string_agg(path,' | ' ORDER BY path) FILTER (m=2) AS m2 FROM (SELECT DISTINCT isbn13, m, path FROM l) GROUP BY 1) x ON x.isbn13=bc.isbn13 GROUP BY ALL""")
 def final_full_rows(s, d):
     labels, judged = Q._l(s, d), D.verdicts(*Q._debate(s, d))
-    return D.full_rows(D.book_counts(Q._p(s, d), labels, judged), D.accepted_paths(Q._p(s, d), labels, judged), labels)
+    return D.full_rows(Q._p(s, d), labels, judged)
 
 
 @register("sorted_disputes", DEB, "SELECT n, isbn13, annotation_type, path FROM (SELECT row_number() OVER (ORDER BY isbn13, annotation_type, path) AS n, isbn13, annotation_type, path FROM dis) WHERE n<=50")

@@ -13,6 +13,7 @@ from labelforge.operators import agreement as A
 from labelforge.operators import consensus as C
 from labelforge.operators import debate as D
 from labelforge.operators import integration as I
+from labelforge.operators import nested as N
 from labelforge.operators import pages as G
 
 QUERIES: dict = {}
@@ -258,9 +259,36 @@ def conflict_counts(s, d):
 
 
 # hierarchy
-@register("ancestor_pairs", ANC, "SELECT * FROM anc")
+ANC_ROWS = "SELECT isbn13, field, m_a, m_b, count(*) AS relations, string_agg(ancestor||' > '||descendant, ' | ' ORDER BY ancestor||' > '||descendant) AS pairs FROM anc GROUP BY ALL"
+
+
+def _by_pair(rows):
+    """A row for each book, field and pair of models."""
+    told = F.concat("ancestor", F.lit(" > "), "descendant")
+    return rows.groupBy("isbn13", "field", "m_a", "m_b").agg(F.count(F.lit(1)).alias("relations"), F.array_join(F.array_sort(F.collect_list(told)), " | ").alias("pairs"))
+
+
+@register("ancestor_pairs", ANC, ANC_ROWS)
 def ancestor_pairs(s, d):
-    return A.ancestor_pairs(_l(s, d))
+    return _by_pair(A.ancestor_pairs(_l(s, d)))
+
+
+def _index(labels):
+    return N.interval_index(labels.select(F.col("field").alias("kind"), "path"))
+
+
+@register("ancestor_pairs_nested", ANC, ANC_ROWS)
+def ancestor_pairs_nested(s, d):
+    """The same through nested intervals."""
+    labels = _l(s, d)
+    return _by_pair(N.ancestor_pairs(labels, _index(labels)))
+
+
+@register("interval_index", BASE, """SELECT kind, path, row_number() OVER (PARTITION BY kind ORDER BY string_split(path,' / ')) AS pre,
+  row_number() OVER (PARTITION BY kind ORDER BY string_split(path,' / ')) + (SELECT count(*) FROM nd o WHERE o.kind=nd.kind AND starts_with(o.path, nd.path||' / ')) AS last FROM (SELECT DISTINCT field AS kind, path FROM l) nd"""
+  .replace("FROM nd o", "FROM (SELECT DISTINCT field AS kind, path FROM l) o"))
+def interval_index(s, d):
+    return _index(_l(s, d)).select("kind", "path", F.col("pre").cast("long").alias("pre"), F.col("last").cast("long").alias("last"))
 
 
 @register("hierarchy_pair_counts", PAIRS + ",\n" + ANC[len(BASE) + 2 :], """SELECT field, m_a, m_b, count(*) AS books, count(n) AS books_related, coalesce(sum(n),0)::BIGINT AS relations FROM fp
@@ -281,18 +309,40 @@ SYM = """(SELECT fp.isbn13, fp.field, fp.m_a, fp.m_b, len(a)=0 AND len(b)=0 AS j
   LEFT JOIN (SELECT isbn13, field, m_a, m_b, bool_or(starts_with(path_a, path_b||' / ') OR starts_with(path_b, path_a||' / ')) AS ar, bool_or(path_a=path_b) AS eo, bool_or(common=0) AS zp FROM sim GROUP BY ALL) z USING (isbn13, field, m_a, m_b))"""
 
 
-@register("symmetric_similarity", PAIRS, f"SELECT isbn13, field, m_a, m_b, round(similarity,6) AS similarity FROM {SYM}")
+def _similar(s, d):
+    return A.similarity_by_prefixes(_p(s, d), _l(s, d))
+
+
+@register("symmetric_similarity", PAIRS, f"SELECT isbn13, field, count(*) AS pairs, max(x) FILTER (m_a=0 AND m_b=1) AS s01, max(x) FILTER (m_a=0 AND m_b=2) AS s02, max(x) FILTER (m_a=1 AND m_b=2) AS s12 FROM (SELECT *, round(similarity,6) AS x FROM {SYM}) GROUP BY ALL")
 def symmetric_similarity(s, d):
-    return A.symmetric_similarity(_pairs(s, d)).select("isbn13", "field", "m_a", "m_b", F.round("similarity", 6).alias("similarity"))
+    """A row for each book and field, a column for each pair of models."""
+    of = lambda a, b: F.max(F.when((F.col("m_a") == a) & (F.col("m_b") == b), F.round("similarity", 6))).alias(f"s{a}{b}")
+    return _similar(s, d).groupBy("isbn13", "field").agg(F.count(F.lit(1)).alias("pairs"), of(0, 1), of(0, 2), of(1, 2))
 
 
 @register("hier_summary", PAIRS, f"""SELECT field, m_a, m_b, count(*) AS evaluated, count(*) FILTER (joint) AS joint_abstention, count(*) FILTER (one_sided) AS one_sided_abstention, count(*) FILTER (ar) AS ancestor_relation,
   count(*) FILTER (eo) AS exact_overlap, count(*) FILTER (zp) AS zero_prefix_pair, round(avg(similarity),6) AS mean_similarity FROM {SYM} GROUP BY 1,2,3""")
 def hier_summary(s, d):
-    return A.hierarchy_summary(A.symmetric_similarity(_pairs(s, d)))
+    return A.hierarchy_summary(_similar(s, d))
+
+
+# Every assignment of the smaller side's paths, one by one, to free paths of the other.
+ONE = (
+    "RECURSIVE "
+    + PAIRS
+    + """,
+mt AS (SELECT *, CASE WHEN len(a)<=len(b) THEN a ELSE b END AS few, CASE WHEN len(a)<=len(b) THEN b ELSE a END AS many FROM fp WHERE len(a)>0 AND len(b)>0),
+wt AS MATERIALIZED (SELECT isbn13, field, m_a, m_b, list_position(few, CASE WHEN len(a)<=len(b) THEN path_a ELSE path_b END) AS i, list_position(many, CASE WHEN len(a)<=len(b) THEN path_b ELSE path_a END) AS j, similarity
+      FROM sim JOIN mt USING (isbn13, field, m_a, m_b)),
+dp AS (SELECT isbn13, field, m_a, m_b, 0::BIGINT AS i, 0::BIGINT AS taken, 0::DOUBLE AS total FROM mt UNION ALL
+      SELECT dp.isbn13, dp.field, dp.m_a, dp.m_b, wt.i, dp.taken + (1::BIGINT << (j-1)::INT), total + similarity FROM dp JOIN wt ON wt.isbn13=dp.isbn13 AND wt.field=dp.field AND wt.m_a=dp.m_a AND wt.m_b=dp.m_b AND wt.i=dp.i+1
+      WHERE dp.taken & (1::BIGINT << (j-1)::INT) = 0),
+ot AS (SELECT fp.isbn13, fp.field, fp.m_a, fp.m_b, round(CASE WHEN len(a)+len(b)=0 THEN NULL WHEN len(a)=0 OR len(b)=0 THEN 0.0 ELSE 2*best/(len(a)+len(b)) END, 6) AS similarity
+      FROM fp LEFT JOIN (SELECT isbn13, field, m_a, m_b, max(total) AS best FROM dp GROUP BY ALL) USING (isbn13, field, m_a, m_b))"""
+)
 
 
-@register("one_to_one_similarity")
+@register("one_to_one_similarity", ONE, "SELECT * FROM ot")
 def one_to_one_similarity(s, d):
     return A.one_to_one(_pairs(s, d))
 
@@ -305,7 +355,7 @@ def one_to_one_single(s, d):
     return A.one_to_one(_pairs(s, d)).join(pairs, ["isbn13", "field", "m_a", "m_b"])
 
 
-@register("one_to_one_summary")
+@register("one_to_one_summary", ONE, "SELECT field, m_a, m_b, count(*) AS books, count(similarity) AS evaluated, round(avg(similarity), 6) AS mean_similarity FROM ot GROUP BY 1, 2, 3")
 def one_to_one_summary(s, d):
     return A.one_to_one_summary(A.one_to_one(_pairs(s, d)))
 
@@ -336,6 +386,13 @@ def hierarchical_candidates(s, d):
     return C.hierarchical_candidates(_l(s, d)).withColumn("supporters", commas("supporters"))
 
 
+@register("canonical_nested", HIER, "SELECT * FROM can")
+def canonical_nested(s, d):
+    """Canonical paths through nested intervals."""
+    labels = _l(s, d)
+    return N.canonical(labels, _index(labels))
+
+
 @register("canonical_paths", HIER, "SELECT * FROM can")
 def canonical_paths(s, d):
     return C.canonical(_l(s, d))
@@ -395,14 +452,16 @@ def model_status_map(s, d):
 # debates
 def _debate(s, d):
     open_ = _open(s, d)
-    first = D.round1(open_)
-    return open_, first, D.round2(D.round2_eligible(open_, first))
+    first = X.round1(open_)
+    return open_, first, X.round2(D.round2_eligible(open_, first))
 
 
-@register("round2_eligible", DEB, "SELECT * FROM el")
+@register("round2_eligible", DEB, "SELECT debate_id, isbn13, path, string_agg(m::VARCHAR, ',' ORDER BY m) AS asked FROM el GROUP BY ALL")
 def round2_eligible(s, d):
+    """A row for each debate, with the models asked."""
     open_ = _open(s, d)
-    return D.round2_eligible(open_, D.round1(open_))
+    rows = D.round2_eligible(open_, X.round1(open_))
+    return rows.groupBy("debate_id", "isbn13", "path").agg(commas(F.array_sort(F.collect_list("m"))).alias("asked"))
 
 
 @register("round_counts", DEB, "SELECT 1 AS round, decision, count(*) AS n FROM r1 GROUP BY 2 UNION ALL SELECT 2, decision, count(*) FROM r2 GROUP BY 2")
@@ -446,7 +505,7 @@ def debate_details(s, d):
 # silver labels
 def _silver(s, d):
     labels = _l(s, d)
-    decided = D.human_decisions(C.singleton_review(labels).filter(F.col("reason").isin(*C.REVIEWED)))
+    decided = X.human_decisions(C.singleton_review(labels).filter(F.col("reason").isin(*C.REVIEWED)))
     return labels, decided, D.silver(labels, decided)
 
 
@@ -488,14 +547,14 @@ FIN = """(SELECT isbn13, CASE WHEN route LIKE 'conflict%' AND isbn13%5>=2 OR rou
   WHEN isbn13%5=2 THEN 'debate_not_run' WHEN isbn13%5=3 THEN 'debate_api_error' ELSE 'resolver_returned_empty' END AS method FROM rt)"""
 
 
-@register("final_routing", ROUTE, f"SELECT * FROM {FIN}")
+@register("final_routing", ROUTE, f"SELECT *, CASE WHEN method='debate_resolver' THEN 'groq' END AS resolver_provider, CASE WHEN method='debate_resolver' THEN 'model-'||isbn13%2 END AS resolver_model FROM {FIN}")
 def final_routing(s, d):
-    return D.final_routing(_routes(s, d))
+    return D.final_routing(_routes(s, d), X.debates(s, d))
 
 
 @register("method_counts", ROUTE, f"SELECT destination, method, count(*) AS n FROM {FIN} GROUP BY 1,2")
 def method_counts(s, d):
-    return D.final_routing(_routes(s, d)).groupBy("destination", "method").agg(F.count(F.lit(1)).alias("n"))
+    return D.final_routing(_routes(s, d), X.debates(s, d)).groupBy("destination", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
 # audit
@@ -683,14 +742,21 @@ def lenient_parse(s, d):
     return X.responses(s, d).select("isbn13", "m", (R.lenient_object(F.col("raw")) == "{}").alias("parse_failed"))
 
 
-@register("response_normalise", DEB, """SELECT debate_id, m, CASE isbn13%5 WHEN 1 THEN 'bad_decision' WHEN 2 THEN 'unknown_evidence' WHEN 3 THEN 'no_justification' WHEN 4 THEN 'no_object' END AS error, CASE isbn13%5 WHEN 0 THEN decision END AS decision
-  FROM r1 JOIN (SELECT debate_id, isbn13 FROM dis) USING (debate_id)""")
+@register("response_normalise", DEB + """,
+rp AS (SELECT debate_id, m, CASE WHEN isbn13%5=4 THEN 'no json' ELSE 'Sure: {"decision": " '||CASE WHEN isbn13%5=1 THEN 'KEEP' ELSE lower(decision) END||'", "evidence_tags": ["a", " '||CASE WHEN isbn13%5=2 THEN 'zzz' ELSE 'b' END
+      ||' ", ""], "justification": "'||CASE WHEN isbn13%5=3 THEN ' ' ELSE 'because' END||'"}' END AS t FROM r1 JOIN (SELECT debate_id, isbn13 FROM dis) USING (debate_id)),
+pj AS (SELECT debate_id, m, nullif(regexp_extract(t, '\\{.*\\}'), '')::JSON AS j FROM rp),
+pv AS (SELECT debate_id, m, upper(trim(j->>'decision')) AS decision, list_transform((j->'evidence_tags')::VARCHAR[], lambda x: trim(x)) AS tags, trim(j->>'justification') AS why FROM pj)""",
+"""SELECT debate_id, string_agg(m||':'||CASE WHEN decision IS NULL THEN 'no_object' WHEN decision NOT IN ('MAINTAIN','RETRACT') THEN 'bad_decision' WHEN len(list_filter(tags, lambda x: x<>'' AND x NOT IN ('a','b')))>0 THEN 'unknown_evidence'
+  WHEN why='' THEN 'no_justification' ELSE decision END, ',' ORDER BY m) AS answers FROM pv GROUP BY 1""")
 def response_normalise(s, d):
+    """A row for each debate: each supporter's decision, or what is wrong with the reply."""
     open_, first, _ = _debate(s, d)
     k = F.col("isbn13") % 5
     reply = F.when(k == 4, F.lit("no json")).otherwise(F.concat(F.lit('Sure: {"decision": " '), F.when(k == 1, "KEEP").otherwise(F.lower("decision")), F.lit('", "evidence_tags": ["a", " '), F.when(k == 2, "zzz").otherwise("b"), F.lit(' ", ""], "justification": "'), F.when(k == 3, " ").otherwise("because"), F.lit('"}')))
     rows = first.join(open_.select("debate_id", "isbn13"), "debate_id").withColumn("r", R.debate_reply(reply, ["MAINTAIN", "RETRACT"], F.array(F.lit("a"), F.lit("b"))))
-    return rows.select("debate_id", "m", "r.error", F.col("r.decision").alias("decision"))
+    told = F.struct("m", F.concat(F.col("m").cast("string"), F.lit(":"), F.coalesce("r.error", "r.decision")).alias("t"))
+    return rows.select("debate_id", told.alias("x")).groupBy("debate_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), ",").alias("answers"))
 
 
 # shapes and execution control
@@ -745,7 +811,7 @@ def text_clean(s, d):
     return X.read(s, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
-@register("text_unescaped")
+@register("text_unescaped", "", "SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html,'(?is)<title>(.*?)</title>',1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def text_unescaped(s, d):
     return X.read(s, d, "pages").select("page_id", T.clean_html(G.title(F.col("html"))).alias("title"))
 
@@ -807,7 +873,7 @@ def page_regex_fields(s, d):
     return t.select("page_id", G.first_published(F.col("t")).alias("first_published"), G.page_count(F.col("t")).alias("pages"), G.edition_format(F.col("t")).alias("edition"), G.format_of(F.col("t")).alias("format"), F.substring(G.isbn13(F.col("t")), 4, 10).alias("tail"), G.product_pages(found, F.col("t")).alias("print_length"))
 
 
-@register("page_headings")
+@register("page_headings", "", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html,'(?is)<h1[^>]*>(.*?)</h1>',1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')) AS heading FROM pages")
 def page_headings(s, d):
     """Text of the first h1 of each page, by a selector."""
     return X.read(s, d, "pages").select("page_id", F.try_element_at(G.select_text(F.col("html"), "h1"), F.lit(1)).alias("heading"))

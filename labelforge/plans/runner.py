@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import responses as R
+from labelforge.functions.text import is_quota, quota_exhausted
 from labelforge.plans import prompts
 
 Provider = Callable[[str, str, str, int], str]
 PROVIDERS: dict[str, Provider] = {}
 RAW = "isbn13 string, model string, provider string, raw string, error string"
-CHECKPOINT = "isbn13 string, model string, provider string, status string, genre_paths array<string>, metadata_paths array<string>, error string"
+CHECKPOINT = "isbn13 string, model string, provider string, status string, genre_paths array<string>, metadata_paths array<string>, error string, run string"
 
 
 class RateLimited(Exception):
@@ -99,11 +100,9 @@ def with_corrections(provider: Provider, check: Callable[[str], str | None], lon
     return call
 
 
-def spent_models(checkpoint: DataFrame) -> DataFrame:
-    """(provider, model) whose daily quota an earlier batch of this run found spent."""
-    low = F.lower("error")
-    spent = F.contains(low, F.lit("429")) & (F.contains(low, F.lit("tokens per day")) | F.contains(low, F.lit("(tpd)")))
-    return checkpoint.filter(spent).select("provider", "model").distinct()
+def spent_models(checkpoint: DataFrame, run: str) -> DataFrame:
+    """(provider, model) whose daily quota an earlier batch of this ``run`` found spent. Rows of other runs pause nothing."""
+    return checkpoint.filter((F.col("run") == run) & quota_exhausted(F.col("error"))).select("provider", "model").distinct()
 
 
 def pending(tasks: DataFrame, checkpoint: DataFrame, spent: DataFrame | None = None) -> DataFrame:
@@ -129,8 +128,7 @@ def ask(tasks: DataFrame, provider: Provider | None = None, max_tokens: int = 35
                     raw = (provider or provider_for(name))(prompt, name, model, max_tokens)
                 except Exception as e:  # whatever a provider raises is a recorded error, not a lost task
                     error = str(e) or type(e).__name__
-                    low = error.lower()
-                    if "429" in low and ("tokens per day" in low or "(tpd)" in low):
+                    if is_quota(error):
                         spent.add(model)
                 rows.append((isbn13, model, name, raw, error))
             yield pd.DataFrame(rows, columns=["isbn13", "model", "provider", "raw", "error"])
@@ -138,12 +136,12 @@ def ask(tasks: DataFrame, provider: Provider | None = None, max_tokens: int = 35
     return tasks.select("isbn13", "model", "provider", "prompt").mapInPandas(run, RAW)
 
 
-def parsed(answers: DataFrame) -> DataFrame:
-    """Answers as checkpoint rows: strict parsing; an error keeps a preview of 1,500 characters."""
+def parsed(answers: DataFrame, run: str = "") -> DataFrame:
+    """Answers as checkpoint rows of a ``run``: strict parsing; an error keeps a preview of 1,500 characters."""
     r = answers.withColumn("r", R.strict_annotation(F.col("raw")))
     failed = F.coalesce(F.col("error"), F.when(F.col("r.error").isNotNull(), F.concat(F.col("r.error"), F.lit(": "), F.substring(F.coalesce("raw", F.lit("")), 1, 1500))))
     empty = F.array().cast("array<string>")
-    return r.select("isbn13", "model", "provider", F.when(failed.isNull(), "success").otherwise("error").alias("status"), *[F.coalesce(F.when(failed.isNull(), F.col(f"r.{c}")), empty).alias(c) for c in ("genre_paths", "metadata_paths")], failed.alias("error"))
+    return r.select("isbn13", "model", "provider", F.when(failed.isNull(), "success").otherwise("error").alias("status"), *[F.coalesce(F.when(failed.isNull(), F.col(f"r.{c}")), empty).alias(c) for c in ("genre_paths", "metadata_paths")], failed.alias("error"), F.lit(run).alias("run"))
 
 
 def validated(answers: DataFrame, taxonomy: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
@@ -169,7 +167,7 @@ def validated(answers: DataFrame, taxonomy: DataFrame, candidates: DataFrame | N
     empty = F.array().cast("array<string>")
     ok = F.col("rule").isNull()
     kept = {c: F.when(ok, F.col(c)).otherwise(empty).alias(c) for c in ("genre_paths", "metadata_paths")}
-    return judged.select("isbn13", "model", "provider", F.when(ok, F.col("status")).otherwise("error").alias("status"), *kept.values(), F.coalesce("rule", "error").alias("error"))
+    return judged.select("isbn13", "model", "provider", F.when(ok, F.col("status")).otherwise("error").alias("status"), *kept.values(), F.coalesce("rule", "error").alias("error"), *[c for c in answers.columns if c == "run"])
 
 
 def resolve_debates(books: DataFrame, candidates: DataFrame, taxonomy: DataFrame, provider: Provider, name: str, model: str, max_tokens: int = 700) -> DataFrame:
@@ -206,12 +204,17 @@ def collect_step(wanted: DataFrame, done: DataFrame, failed: DataFrame, fetched:
     return done.unionByName(good), upsert(left, bad, ["isbn13"])
 
 
+def annotatable(books: DataFrame) -> DataFrame:
+    """The books that have tags; the others are told by ``without_tags``."""
+    return books.filter("coalesce(size(filtered_tags), 0) > 0")
+
+
 def without_tags(books: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
     """Checkpoint rows of books without tags: ``no_filtered_tags`` for each (provider, model)."""
     pairs = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in models])
     empty = F.array().cast("array<string>")
     rows = books.filter("coalesce(size(filtered_tags), 0) <= 0").select("isbn13", F.inline(pairs))
-    return rows.select("isbn13", "model", "provider", F.lit("no_filtered_tags").alias("status"), empty.alias("genre_paths"), empty.alias("metadata_paths"), F.lit(None).cast("string").alias("error"))
+    return rows.select("isbn13", "model", "provider", F.lit("no_filtered_tags").alias("status"), empty.alias("genre_paths"), empty.alias("metadata_paths"), F.lit(None).cast("string").alias("error"), F.lit("").alias("run"))
 
 
 annotation_prompt = prompts.annotate

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from labelforge.operators.expectations import joined
+
 
 def read_isbns(spark: SparkSession, path: str, column: str = "Isbn-13") -> DataFrame:
     """Non-empty, trimmed ISBNs of a CSV with a header; a byte-order mark does no harm. A missing column is an error."""
@@ -56,12 +58,16 @@ def read_json_checkpoint(spark: SparkSession, path: str, schema: StructType | st
     return texts.filter(F.rlike("value", F.lit(r"(?s)^\s*\[.*\]\s*$"))).select(F.inline(F.from_json("value", f"array<{kind}>", {"mode": "PERMISSIVE"})))
 
 
-def read_keyed(spark: SparkSession, folder: str, schema: str = "isbn13 string, source_genres map<string,array<string>>, genre_union array<string>, provenance map<string,array<string>>") -> DataFrame:
-    """A JSON file for each key in ``folder``, read in one scan; a missing id is the file's name, missing fields are empty."""
+def read_keyed(spark: SparkSession, folder: str, schema: str = "isbn13 string, source_genres map<string,array<string>>, genre_union array<string>, provenance map<string,array<string>>", keys: DataFrame | None = None) -> DataFrame:
+    """A JSON file for each key in ``folder``, read in one scan; a missing id is the file's name, missing fields are empty.
+
+    With ``keys`` (isbn13) only these are read, and one without a file is an error.
+    """
     name = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)\.json$", 1)
     found = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*.json").withColumn("__name", name)
     empty = {"isbn13": F.col("__name"), "source_genres": F.expr("map()").cast("map<string,array<string>>"), "genre_union": F.array().cast("array<string>"), "provenance": F.expr("map()").cast("map<string,array<string>>")}
-    return found.select(*[F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in found.columns if c != "__name"])
+    rows = found.select(*[F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in found.columns if c != "__name"])
+    return rows if keys is None else joined(keys.select("isbn13").distinct(), rows, ["isbn13"], f"{folder}: no file")
 
 
 def read_frozen(spark: SparkSession, path: str, expected: dict[str, tuple[str, int]]) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare, duck
 
-from labelforge.plans import records, registry  # noqa: F401
+from labelforge.plans import records, registry, runs  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from labelforge.operators import debate as D
 from labelforge.operators import expectations as E
 from labelforge.operators import integration as I
 from labelforge.operators import openlibrary as O
@@ -26,6 +27,11 @@ def test_keyed_files(spark, tmp_path):
     (tmp_path / "978 1.json").write_text('{"genre_union": ["A"], "provenance": {"A": ["Amazon"]}}')
     (tmp_path / "9782.json").write_text('{"isbn13": "9782", "source_genres": null}')
     rows = {r["isbn13"]: r for r in S.read_keyed(spark, str(tmp_path)).collect()}
+    some = sorted(rows)[:1]
+    asked = lambda *ids: spark.createDataFrame([(i,) for i in ids], "isbn13 string")
+    assert [r["isbn13"] for r in S.read_keyed(spark, str(tmp_path), keys=asked(*some, *some)).collect()] == some
+    with pytest.raises(E.Violated, match="no file"):
+        S.read_keyed(spark, str(tmp_path), keys=asked(*some, "not there"))
     assert rows["978 1"]["genre_union"] == ["A"] and rows["978 1"]["provenance"] == {"A": ["Amazon"]}
     assert rows["9782"]["genre_union"] == [] and rows["9782"]["source_genres"] == {}
 
@@ -169,8 +175,10 @@ def test_resolve_debates(spark):
 
 def test_spent_models_are_not_asked_again(spark):
     tasks = spark.createDataFrame([("1", "p", "m", "q"), ("1", "p", "n", "q")], "isbn13 string, provider string, model string, prompt string")
-    held = spark.createDataFrame([("9", "m", "p", "error", [], [], "429: tokens per day")], runner.CHECKPOINT)
-    assert [r["model"] for r in runner.pending(tasks, held, runner.spent_models(held)).collect()] == ["n"]
+    held = spark.createDataFrame([("9", "m", "p", "error", [], [], "429: tokens per day", "run 2")], runner.CHECKPOINT)
+    assert [r["model"] for r in runner.pending(tasks, held, runner.spent_models(held, "run 2")).collect()] == ["n"]
+    # the pause ends with the run
+    assert sorted(r["model"] for r in runner.pending(tasks, held, runner.spent_models(held, "run 3")).collect()) == ["m", "n"]
 
 
 def test_refreshed_records(spark):
@@ -202,6 +210,46 @@ def test_product_details(spark):
     assert row["d"] == {"publisher": "B: c", "paperback": "1,024 pages"} and row["n"] == 1024
 
 
+def test_details_pair_within_a_row(spark):
+    html = (
+        '<table id="productDetailsTable"><tr><th>Product details</th></tr><tr><th>Publisher</th><td>Orb</td></tr><tr><th>Language</th><td>English</td></tr><tr><td>cell alone</td></tr>'
+        "<tr><td>Pages: 10</td></tr><tr><th>Pages</th><td>20</td></tr><tr><th>Empty</th><td></td></tr><tr><th>a</th><td><b>x</b> <i>y</i></td><td>z</td></tr></table>"
+    )
+    df = spark.createDataFrame([(html,)], "html string").withColumn("f", G.picked(F.col("html"), G.AMAZON))
+    assert df.select(G.details(G.detail_pairs(F.col("f"))).alias("d")).first()["d"] == {"publisher": "Orb", "language": "English", "pages": "20", "a": "x y"}
+
+
+def test_links_in_any_quotes(spark):
+    html = "<abbr href='/dp/no'>n</abbr><a class=\"x\" href='/dp/B1?tag=1'>one</a><A id=k HREF=/dp/B2>two</A><a data-href=\"/dp/B0\" href=\"/book/show/7?x\">b</a><a name='n'>no</a>"
+    df = spark.createDataFrame([(html,)], "html string")
+    row = df.select(G.links(F.col("html")).alias("l"), G.product_url(F.col("html"), "https://s").alias("p"), G.book_url(F.col("html"), "https://r").alias("b")).first()
+    assert [tuple(x) for x in row.l] == [("/dp/B1?tag=1", "one"), ("/dp/B2", "two"), ("/book/show/7?x", "b")] and (row.p, row.b) == ("https://s/dp/B1", "https://r/book/show/7")
+
+
+@pytest.mark.parametrize("kind", ['type="application/ld+json"', "type='application/ld+json'", "type=application/ld+json", 'data-x="a>b" TYPE = "application/ld+json" async'])
+def test_json_ld_in_any_quotes(spark, kind):
+    book = '{"@type": "Book", "name": "N"}'
+    cases = {book: True, book + " trailing": False, "[1, " + book + "]": True, '{"@graph": [' + book + "]}": True, book[:-1]: False, '{"@type": ["Book"]}': False, "": False, '[{"@type": "Book"}] [': False}
+    df = spark.createDataFrame([(i, f"<script {kind}>{c}</script>") for i, c in enumerate(cases)], "i int, html string")
+    got = {r.i: r.b is not None for r in df.select("i", G.json_ld_book(F.col("html")).alias("b")).collect()}
+    assert list(got.values()) == list(cases.values())
+    both = f"<script type='application/json'>{book}</script><script {kind}>{{bad</script><script {kind}>{book}</script>"
+    assert spark.createDataFrame([(both,)], "html string").select(G.json_ld_book(F.col("html")).alias("b")).first().b == book
+
+
+def test_final_routing_by_debate_records(spark):
+    routes = spark.createDataFrame([("P1", "perfect_3_of_3"), ("P2", "agreement_2_of_3"), ("D1", "conflict_3_original_models"), ("D2", "conflict_3_original_models"), ("D3", "conflict_2_original_models"), ("D4", "conflict_3_original_models"), ("I1", "insufficient_models"), ("N1", "no_filtered_tags")], "isbn13 string, route string")
+    kind = "isbn13 string, status string, genre_paths array<string>, metadata_paths array<string>, provider string, model string"
+    records = [("D1", "success", ["G"], ["M"], "groq", "big"), ("D2", "error", None, None, None, None), ("D3", "success", [], [], "groq", "big"), ("P1", "error", None, None, None, None)]
+    got = {r[0]: tuple(r)[1:] for r in D.final_routing(routes, spark.createDataFrame(records, kind)).collect()}
+    assert got == {
+        "P1": ("final", "perfect_3_of_3_consensus", None, None), "P2": ("final", "agreement_2_of_3", None, None), "D1": ("final", "debate_resolver", "groq", "big"), "D2": ("manual", "debate_api_error", None, None),
+        "D3": ("manual", "resolver_returned_empty", None, None), "D4": ("manual", "debate_not_run", None, None), "I1": ("manual", "insufficient_original_annotations", None, None), "N1": ("manual", "no_filtered_tags", None, None),
+    }
+    with pytest.raises(Exception, match="two debate records"):
+        D.final_routing(routes, spark.createDataFrame(records[:1] * 2, kind)).collect()
+
+
 def test_formats_by_priority(spark):
     texts = {"Kindle Edition or Paperback": "Kindle Edition", "Audiobooks": None, "mass market paperback": "Mass Market Paperback", "Paperback and Hardcover": "Hardcover", None: None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")

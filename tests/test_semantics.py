@@ -281,3 +281,32 @@ def test_stream_asks_once(spark, fake, tmp_path):
         resume.start(resume.task_stream(spark, folder), table, state, fake).awaitTermination()
         tasks.write.mode("append").json(folder)
     assert spark.read.parquet(table).count() == 2
+
+
+def test_stream_pauses_for_its_run_and_validates(spark, tmp_path):
+    folder, table, state = (str(tmp_path / n) for n in ("tasks", "table", "state"))
+    asked = str(tmp_path / "asked")
+    spent = {"m"}
+
+    def answer(prompt, provider, model, max_tokens):
+        with open(asked, "a") as f:
+            f.write(f"{prompt}\n")
+        if model in spent:
+            raise RuntimeError("429: tokens per day")
+        return f'{{"genre_paths": ["{prompt}"], "metadata_paths": []}}'
+
+    taxonomy = spark.createDataFrame([("genre", "F")], "kind string, path string")
+    tasks = lambda *rows: spark.createDataFrame(rows, resume.TASK).coalesce(1).write.mode("append").json(folder)
+    go = lambda: resume.start(resume.task_stream(spark, folder), table, state, answer, taxonomy).awaitTermination()
+    tasks(("1", "p", "m", "F"), ("2", "p", "m", "F"), ("3", "p", "n", "F"), ("4", "p", "n", "X"))
+    go()
+    held = {(r.isbn13, r.model): r for r in spark.read.parquet(table).collect()}
+    assert {k: r.status for k, r in held.items()} == {("1", "m"): "error", ("3", "n"): "success", ("4", "n"): "error"} and held["4", "n"].error == "invalid_genre: genre: X"
+    assert len(open(asked).read().split()) == 3  # each task once; the paused model's second task not at all
+    # another run: the quota is there again, what succeeded isn't asked for
+    spent.clear()
+    tasks(("1", "p", "m", "F"), ("2", "p", "m", "F"), ("3", "p", "n", "F"), ("4", "p", "n", "F"))
+    go()
+    done = spark.read.parquet(table).filter("status = 'success'")
+    assert sorted((r.isbn13, r.model) for r in done.collect()) == [("1", "m"), ("2", "m"), ("3", "n"), ("4", "n")]
+    assert len(open(asked).read().split()) == 6
