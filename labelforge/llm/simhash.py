@@ -182,17 +182,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return look_up(marked, named, ["fp"], "rows", n_rows).select(F.col("id").alias(id_col), "fp", F.col("smallest").alias("component"))
 
 
-def _with(pairs: DataFrame, facts: DataFrame, side: str, n_pairs: int) -> DataFrame:
-    """``pairs`` with the columns of the table ``facts`` (id, ...) for the id in column ``side``, named so with ``_side``.
+def _with_facts(pairs: DataFrame, facts: DataFrame, n_pairs: int) -> DataFrame:
+    """The table ``pairs`` (a, b) with the columns of the table ``facts`` (id, ...) for both ids, named so with ``_a`` and ``_b``.
 
     An id in very many pairs has its pairs dealt over copies of its facts (see ``look_up``).
     """
-    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(counts.select(side, copies_of(F.col("n"), n_pairs).alias("copies")).filter("copies > 1"))
-    dealt = pairs.join(hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    named = facts.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in facts.columns])
-    each = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-    return dealt.join(each.hint("merge"), [side, "salt"]).drop("salt")
+    found = pairs
+    for side in ("b", "a"):
+        counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        hot = F.broadcast(counts.select(side, copies_of(F.col("n"), n_pairs).alias("copies")).filter("copies > 1"))
+        dealt = found.join(hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+        named = facts.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in facts.columns])
+        each = named.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        found = dealt.join(each.hint("merge"), [side, "salt"]).drop("salt")
+    return found
 
 
 def _apart(a: str, b: str) -> str:
@@ -239,8 +242,7 @@ def _sets(source: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 def _near_sketches(pairs: DataFrame, n: int, marked: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of the table ``pairs``, ``n`` of them, whose sizes and sketches allow the similarity."""
     facts = marked.select("id", "n", "sketch")
-    both = _with(_with(pairs, facts, "b", n), facts, "a", n)
-    return both.filter(f"{_sized('n_a', 'n_b', similarity)} and {_apart('sketch_a', 'sketch_b')} <= {MOST_APART}").select("a", "b")
+    return _with_facts(pairs, facts, n).filter(f"{_sized('n_a', 'n_b', similarity)} and {_apart('sketch_a', 'sketch_b')} <= {MOST_APART}").select("a", "b")
 
 
 def _alike(candidates: DataFrame, n: int, source: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -254,10 +256,10 @@ def _alike(candidates: DataFrame, n: int, source: DataFrame, width: int, similar
     least = f"{similarity / (1 + similarity)!r}D * (n_a + n_b) - 1e-6D"
     short = sets.select("id", "n", "ends")
     shared = "size(array_intersect(ends_a, ends_b)) + least(n_a - size(ends_a), n_b - size(ends_b))"
-    left = cut(_with(_with(candidates, short, "b", n), short, "a", n).filter(f"{shared} >= {least}").select("a", "b"), n)
+    left = cut(_with_facts(candidates, short, n).filter(f"{shared} >= {least}").select("a", "b"), n)
     whole = sets.select("id", "n", "set")
     common = "size(array_intersect(set_a, set_b))"
-    return cut(_with(_with(left, whole, "b", n), whole, "a", n).filter(f"{common} > 0 and {common} >= {least}").select("a", "b"), n)
+    return cut(_with_facts(left, whole, n).filter(f"{common} > 0 and {common} >= {least}").select("a", "b"), n)
 
 
 def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
