@@ -113,11 +113,41 @@ class Counter(dict):
             scores.append(score)
         return count[n], best[n], scores[::-1], margin
 
+    def exact(self, run: str) -> tuple[int, float]:
+        """Pieces and best score of ``run`` where sums are exact: nothing else has to be kept."""
+        n = len(run)
+        best: list[float | None] = [0.0] + [None] * n
+        count = [0] * (n + 1)
+        done = 0
+        single = bytearray(n + 1)
+
+        def close(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                done += 1
+                if not single[done]:
+                    score = best[done - 1] + self.unknown
+                    if best[done] is None or score > best[done]:
+                        best[done] = score
+                        count[done] = count[done - 1] + (len(run[done - 1].encode("utf-8", "surrogatepass")) if self.bytes else 1)
+
+        for end, (length, score) in self.matches.iter(run):
+            end += 1
+            close(end - 1)
+            if length == 1:
+                single[end] = 1
+            score += best[end - length]
+            if best[end] is None or score > best[end]:
+                best[end] = score
+                count[end] = count[end - length] + 1
+        close(n)
+        return count[n], best[n]
+
     def __missing__(self, run: str) -> tuple[int, object] | None:
-        pieces, total, scores, margin = self.viterbi(run)
         if self.whole:
-            found = pieces, total
+            found = self.exact(run)
         else:
+            pieces, _, scores, margin = self.viterbi(run)
             # sums stay below MOST_CHARS pieces' scores; each of a run's additions rounds by less than that times 2^-52
             found = (pieces, scores) if margin > 4 * (len(run) + 1) * MOST_CHARS * self.largest * 2.0**-52 else None
         if len(run) <= 64:

@@ -169,8 +169,12 @@ def test_token_counts_equal_the_tokenizer(docs, none):
 
 def test_viterbi_ties_go_to_the_earliest_start():
     c = token_counts.Counter([("a", -1.0, 0), ("aa", -2.0, 0), ("b", -1.0, 0), ("ab", -2.0, 0), ("▁", -1.0, 0)])
-    assert c.viterbi("aab")[:2] == (2, -3.0)
-    assert c.viterbi("aa")[:2] == (1, -2.0)
+    assert c.viterbi("aab")[:2] == c.exact("aab") == (2, -3.0)
+    assert c.viterbi("aa")[:2] == c.exact("aa") == (1, -2.0)
+    rng = random.Random(7)
+    for _ in range(300):
+        run = "".join(rng.choices("aab▁éx", k=rng.randint(1, 12)))
+        assert c.viterbi(run)[:2] == c.exact(run)
 
 
 def plain_unigram(pieces, text):
