@@ -34,11 +34,11 @@ ROWS_PER_FILE = 100_000
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    ``rows`` is a bound on the rows of a narrow table: it goes into a file for each ``ROWS_PER_FILE`` of them (8 at least) instead of
+    ``rows`` is a bound on the rows of a narrow table: it goes into a file for each ``ROWS_PER_FILE`` of them (2 at least) instead of
     one for each shuffle partition, most of which would be nearly empty.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(2, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
 
 
 #: Rows that Python gets at a time: whole texts may be long, and both sides hold a batch in memory.
