@@ -80,18 +80,22 @@ def copies_of(size: Column, n_rows: int, share: int = COPY_SHARE) -> Column:
     return F.greatest(F.ceil(size * share / max(1, n_rows)), F.ceil(size / COPY_ROWS), F.lit(1)).cast("int")
 
 
-def look_up(rows: DataFrame, found: DataFrame, on: list[str], size: str, n_rows: int, how: str = "inner", share: int = COPY_SHARE) -> DataFrame:
+def look_up(rows: DataFrame, found: DataFrame, on: list[str], size: str, n_rows: int, how: str = "inner", share: int = COPY_SHARE, own: bool = False) -> DataFrame:
     """``rows`` joined to the table ``found`` on the columns ``on``; ``size`` tells how many of the ``n_rows`` rows each key of ``found`` meets.
 
     Keys with over one in ``share`` of the rows, or over ``COPY_ROWS`` of them, are known to
-    every task: a broadcast of fewer than ``share`` + ``n_rows`` / ``COPY_ROWS`` keys. Their rows are dealt over as many copies of the key as that takes. The join itself is
+    every task: a broadcast of fewer than ``share`` + ``n_rows`` / ``COPY_ROWS`` keys. Their rows are dealt over as many copies of the key as that takes. With ``own``
+    the rows have a column ``size`` too, which tells the same, and nothing has to be known. The join itself is
     a sort-merge join at every size: what it moves grows with the rows, and with nothing else.
     """
     copies, salt = fresh(rows.select("*", *[F.lit(0).alias(c) for c in found.columns if c not in rows.columns]), "__copies", "__salt")
     dealt_to = copies_of(F.col(size), n_rows, share)
+    by = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on][:1], F.spark_partition_id())
     marks = found.withColumn(copies, dealt_to).filter(F.col(copies) > 1).groupBy(*on).agg(F.max(copies).alias(copies))
-    spread = F.when(F.col(copies).isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on][:1], F.spark_partition_id()), F.col(copies))).otherwise(F.lit(0))
-    dealt = rows.join(F.broadcast(marks), on, "left").withColumn(salt, spread.cast("int")).drop(copies)
+    if own:
+        dealt = rows.withColumn(salt, F.pmod(by, dealt_to).cast("int")).drop(size)
+    else:
+        dealt = rows.join(F.broadcast(marks), on, "left").withColumn(salt, F.coalesce(F.pmod(by, F.col(copies)), F.lit(0)).cast("int")).drop(copies)
     # rows of ``found`` that share a key have one size
     each = found.withColumn(salt, F.explode(F.sequence(F.lit(0), dealt_to - 1)))
     return dealt.join(each.hint("merge"), [*on, salt], how).drop(salt)

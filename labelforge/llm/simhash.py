@@ -267,7 +267,7 @@ def _mixed(members: DataFrame, found: DataFrame, n_members: int) -> DataFrame:
     labelled = cut(members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), n_members)
     open_ = labelled.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("head"), F.col("component"))).alias("lead"), F.min("component").alias("least"), F.max("component").alias("top"), F.count(F.lit(1)).alias("size"))
     keys = cut(open_.filter("least <> top").select("key", "lead", "size"), n_members // 2)
-    return cut(look_up(labelled.drop("members"), keys, ["key"], "size", n_members).withColumnRenamed("size", "members"), n_members)
+    return cut(look_up(labelled.withColumnRenamed("members", "size"), keys, ["key"], "size", n_members, own=True).withColumnRenamed("size", "members"), n_members)
 
 
 def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: int, width: int, dense: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
@@ -283,7 +283,7 @@ def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: i
     close = f"{near} and {_apart('kx', 'ky')} <= {MOST_APART}"
 
     def pairs(size: str, condition: str, sets: bool) -> DataFrame:
-        rows = look_up(open_.drop("members"), counts.filter(size).drop("strays"), ["key"], "members", n_members)
+        rows = look_up(open_, counts.filter(size).drop("strays"), ["key"], "members", n_members, own=True)
         rows = rows.withColumn("sketch", F.lit(None).cast("array<long>")) if sets else rows.join(marked.select("id", "sketch").hint("merge"), "id")
         if sets:
             rows = cut(rows)
@@ -292,8 +292,8 @@ def _strays(open_: DataFrame, marked: DataFrame, source: DataFrame, n_members: i
         else:
             rows = rows.withColumn("set", F.lit(None))
         one = rows.filter("component <> lead").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("brief").alias("sx"), F.col("sketch").alias("kx"), F.col("set").alias("wx"), "members")
-        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("brief").alias("sy"), F.col("sketch").alias("ky"), F.col("set").alias("wy"), "key")
-        return look_up(two, one, ["key"], "members", n_members, share=1000).filter(condition).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        two = rows.select(F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("brief").alias("sy"), F.col("sketch").alias("ky"), F.col("set").alias("wy"), "key", "members")
+        return look_up(two, one, ["key"], "members", n_members, share=1000, own=True).filter(condition).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
     few = pairs(f"strays <= {dense}", close, False)
     if counts.filter(f"strays > {dense}").isEmpty():
@@ -345,7 +345,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the head of a group is the member that meets most others: what copies were made from, rather than one of them
     weighed = shared.join(shared.groupBy("id").agg(F.sum("members").alias("weight")).hint("merge"), "id")
     heads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("head"), F.first("members").alias("members")), n_members // 2)
-    members = cut(look_up(shared.drop("members"), heads, ["key"], "members", n_members), n_members)
+    members = cut(look_up(shared, heads, ["key"], "members", n_members, own=True), n_members)
     found = step(members.filter("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")), equal, told=False)
     open_ = _mixed(members, found, n_members)
     if not open_.isEmpty():
