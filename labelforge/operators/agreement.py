@@ -35,6 +35,12 @@ def path_support(labels: DataFrame) -> DataFrame:
     return labels.groupBy("isbn13", "field", "path").agg(F.array_sort(F.collect_set("m")).alias("voters")).withColumn("votes", F.size("voters").cast("long"))
 
 
+def support_order(labels: DataFrame) -> DataFrame:
+    """(isbn13, field, paths): a book's paths as an array of (path, votes), most votes first, then by path."""
+    rows = path_support(labels).select("isbn13", "field", F.struct((-F.col("votes")).alias("by"), "path", "votes").alias("x"))
+    return rows.groupBy("isbn13", "field").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["path"].alias("path"), x["votes"].alias("votes"))).alias("paths"))
+
+
 def support_groups(presence: DataFrame, labels: DataFrame) -> DataFrame:
     """(isbn13, field, k, paths): paths with support k for k from the number of successes down to 1, empty groups kept."""
     fields = F.array(*map(F.lit, FIELDS))

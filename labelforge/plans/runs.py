@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from labelforge import fixtures as X
 from labelforge.functions import paths as P
 from labelforge.functions import text as T
+from labelforge.operators import agreement as A
 from labelforge.operators import pages as G
 from labelforge.operators import trees
 from labelforge.plans import registry as Q
 from labelforge.plans import runner
 from labelforge.plans.registry import BASE, PAIRS, TAX, register
+from labelforge.sources import tables as S
+from labelforge.sources.shared import new_folder
 
 
 def _echo(prompt: str, name: str, model: str, max_tokens: int) -> str:
@@ -71,6 +74,60 @@ def refreshed_records(s, d):
     return found.select("isbn13", "title", F.array_join("filtered_tags", ",").alias("tags"), F.array_join(pairs, ",").alias("annotations"))
 
 
+# Round trips through the sinks and sources, in a folder of their own.
+
+
+@register("csv_round_trip", "", "SELECT doc_id, lang, strlen(text) AS n_bytes, md5(text) AS digest FROM documents")
+def csv_round_trip(s, d):
+    """Whole texts, with quotes, commas and line breaks, through CSV."""
+    path = new_folder(s, "csv")
+    S.write_csv(X.read(s, d, "documents").select("doc_id", "lang", "text"), path)
+    back = S.read_csv(s, path, "doc_id long, lang string, text string")
+    return back.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+@register("by_model_round_trip", PAIRS, "SELECT isbn13, m, array_to_string(genre, ' | ') AS genre, array_to_string(metadata, ' | ') AS metadata FROM sets")
+def by_model_round_trip(s, d):
+    """Label sets in a folder for each model."""
+    path = new_folder(s, "models")
+    S.write_by(A.label_sets(Q._p(s, d), Q._l(s, d)), path, "m")
+    back = s.read.schema("isbn13 long, genre array<string>, metadata array<string>, m int").json(path)
+    return back.select("isbn13", "m", *[F.array_join(c, " | ").alias(c) for c in X.FIELDS])
+
+
+@register("checkpoint_round_trip", BASE, "SELECT isbn13, m, CASE WHEN isbn13%3=0 THEN 'new' ELSE status END AS status FROM p WHERE isbn13%5<>0 OR isbn13%3=0")
+def checkpoint_round_trip(s, d):
+    """A checkpoint table: empty where there is none, then replaced twice by what it holds and new rows of the same keys."""
+    path, schema = new_folder(s, "checkpoint"), "isbn13 long, m int, status string"
+    rows = X.presence(s, d).select("isbn13", "m", "status")
+    for new in (rows.filter("isbn13 % 5 <> 0"), rows.filter("isbn13 % 3 = 0").withColumn("status", F.lit("new"))):
+        S.replace_table(S.upsert(S.read_checkpoint(s, path, schema), new, ["isbn13", "m"]), path)
+    return S.read_checkpoint(s, path, schema)
+
+
+@register("frozen_snapshot", "", "SELECT p_partkey, p_name, p_size FROM part")
+def frozen_snapshot(s, d):
+    """A snapshot that is read only if it has the counts that its table had."""
+    path = new_folder(s, "frozen")
+    parts = X.read(s, d, "part").select("p_partkey", "p_name", "p_size")
+    parts.write.parquet(path)
+    wanted = {"all": "true", "small": "p_size < 10", "named": "p_name is not null"}
+    counts = parts.agg(*[F.count_if(F.expr(where)).alias(n) for n, where in wanted.items()]).first()
+    return S.read_frozen(s, path, {n: (where, counts[n]) for n, where in wanted.items()})
+
+
+@register("json_cells", "", """SELECT p_partkey, '{"name": "' || p_name || '", "sizes": [' || p_size || ', null], "type": "é ' || p_type || '"}' AS cell FROM part""")
+def json_cells(s, d):
+    cell = F.struct(F.concat(F.lit("é "), "p_type").alias("type"), F.array("p_size", F.lit(None).cast("int")).alias("sizes"), F.col("p_name").alias("name"))
+    return X.read(s, d, "part").select("p_partkey", S.json_cell(cell).alias("cell"))
+
+
+@register("support_order", BASE, "SELECT isbn13, field, string_agg(path||' ('||votes||')', ' | ' ORDER BY votes DESC, path) AS paths FROM s GROUP BY 1, 2")
+def support_order(s, d):
+    told = lambda x: F.concat(x["path"], F.lit(" ("), x["votes"].cast("string"), F.lit(")"))
+    return A.support_order(Q._l(s, d)).select("isbn13", "field", F.array_join(F.transform("paths", told), " | ").alias("paths"))
+
+
 @register("tree_paths", """RECURSIVE nd AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey%101<>7 THEN o_orderkey//2 END AS parent, 'N'||(o_orderkey%7) AS label FROM orders),
   tr AS (SELECT id, label AS path, 1 AS depth, id AS root FROM nd WHERE parent IS NULL OR parent=id OR parent NOT IN (SELECT id FROM nd) UNION ALL
   SELECT nd.id, tr.path||' / '||nd.label, tr.depth+1, tr.root FROM nd JOIN tr ON nd.parent=tr.id WHERE nd.id<>nd.parent)""", "SELECT * FROM tr")

@@ -224,7 +224,7 @@ def observed(df: DataFrame, name: str, **metrics):
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="")
+    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv_if_any(df: DataFrame, path: str) -> bool:
