@@ -1,7 +1,7 @@
 """Fields of pre-fetched book pages.
 
 Regexes and JSON run as column expressions. Selectors need the tree of a page: one pandas UDF
-(``picked``) parses a page once and returns what all selectors of a page kind find.
+(``picked``) parses a page once and returns what all selectors of a page kind find and, if asked, its text.
 """
 
 from __future__ import annotations
@@ -52,12 +52,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 
 class _Tree(HTMLParser):
-    """Elements in document order: (tag, attributes, parent, texts), where texts hold those of all inner elements."""
+    """Elements in document order: (tag, attributes, parent, texts), where texts hold those of all inner elements; ``texts`` are those of the page."""
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[str, dict, int, list[str]]] = []
         self.open: list[int] = []
+        self.texts: list[str] = []
         self.feed(page)
         self.close()
 
@@ -80,6 +81,7 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         text = data.strip()
         if text:
+            self.texts.append(text)
             for i in self.open:
                 self.nodes[i][3].append(text)
 
@@ -104,7 +106,7 @@ def _fits(node: tuple, step: tuple) -> bool:
     return (
         tag in ("", node[0])
         and identifier in (None, own.get("id"))
-        and set(classes) <= set(own.get("class", "").split())
+        and (not classes or set(classes) <= set(own.get("class", "").split()))
         and all(value in own.get(name, "") if op == "*=" else own.get(name) == value for name, op, value in attrs)
     )
 
@@ -136,33 +138,57 @@ class Index(list):
 
     def __init__(self, nodes: list[tuple]):
         super().__init__(nodes)
+        self.found: dict[str, list[int]] = {}
         self.places: dict[tuple[str, str], list[int]] = {}
         for i, (tag, attrs, _, _) in enumerate(nodes):
-            for key in {("tag", tag), ("id", attrs.get("id")), *(("class", c) for c in attrs.get("class", "").split())}:
+            keys = [("tag", tag)]
+            if "id" in attrs:
+                keys.append(("id", attrs["id"]))
+            if "class" in attrs:
+                keys += {("class", c) for c in attrs["class"].split()}
+            for key in keys:
                 self.places.setdefault(key, []).append(i)
 
     def may_be(self, step: tuple) -> list[int] | range:
+        """The fewest places that the id, the classes or the tag of a step leave."""
         tag, identifier, classes, _ = step
-        keys = [("id", identifier)] * (identifier is not None) + [("class", c) for c in classes] + [("tag", tag)] * (tag != "")
+        if identifier is not None:
+            return self.places.get(("id", identifier), [])
+        keys = [("class", c) for c in classes] or ([("tag", tag)] if tag else [])
         return min((self.places.get(k, []) for k in keys), key=len) if keys else range(len(self))
 
 
+def _hits(nodes: list[tuple], selector: str) -> list[int]:
+    """Places of the elements that a selector finds; an index keeps them, as several fields may ask for other attributes of the same elements."""
+    index = nodes if isinstance(nodes, Index) else Index(nodes)
+    if selector not in index.found:
+        index.found[selector] = sorted({i for chain in _compiled(selector) for i in index.may_be(chain[-1]) if _matches(nodes, i, chain)})
+    return index.found[selector]
+
+
 def select(nodes: list[tuple], selector: str, attribute: str | None = None) -> list[str | None]:
     """Texts (or an attribute; or, for "<tag>", the text of the first such element inside) of the elements that a selector finds, in document order."""
-    index = nodes if isinstance(nodes, Index) else Index(nodes)
-    hits = sorted({i for chain in _compiled(selector) for i in index.may_be(chain[-1]) if _matches(nodes, i, chain)})
+    hits = _hits(nodes, selector)
     if attribute is None:
         return [" ".join(nodes[i][3]) for i in hits]
     return [_inside(nodes, i, attribute[1:-1]) if attribute[0] == "<" else nodes[i][1].get(attribute) for i in hits]
 
 
-def picked(html: Column, spec: dict) -> Column:
-    """A struct with an array for each field of ``spec``: what each of its selectors finds, as an array of arrays."""
+def picked(html: Column, spec: dict, text: str | None = None) -> Column:
+    """A struct with an array for each field of ``spec``: what each of its selectors finds, as an array of arrays; and, if ``text`` names a field for it, the page's text."""
+    kinds = [f"`{name}` array<array<string>>" for name in spec] + [f"`{text}` string"] * (text is not None)
 
-    @F.pandas_udf(", ".join(f"`{name}` array<array<string>>" for name in spec))
+    @F.pandas_udf(", ".join(kinds))
     def run(pages: pd.Series) -> pd.DataFrame:
-        trees = [Index(_Tree(p or "").nodes) for p in pages]
-        return pd.DataFrame({name: [[select(t, s, attribute) for s in selectors] for t in trees] for name, (attribute, selectors) in spec.items()})
+        found: dict[str, list] = {name: [] for name in spec} | ({} if text is None else {text: []})
+        for p in pages:
+            tree = _Tree(p or "")
+            index = Index(tree.nodes)
+            for name, (attribute, selectors) in spec.items():
+                found[name].append([select(index, s, attribute) for s in selectors])
+            if text is not None:
+                found[text].append(" ".join(tree.texts))
+        return pd.DataFrame(found)
 
     return run(html)
 
@@ -187,11 +213,7 @@ def page_text(html: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        def one(page):
-            tree = _Tree(f"<body-of-all>{page or ''}</body-of-all>")
-            return " ".join(tree.nodes[0][3])
-
-        return pages.map(one)
+        return pages.map(lambda page: " ".join(_Tree(page or "").texts))
 
     return run(html)
 

@@ -81,6 +81,8 @@ def genre_union_missing(s, d):
 
 
 # pages
+#: Pages that a task parses: a task takes about as many seconds however many pages there are.
+PER_TASK = 5_000
 GOOD = """gp AS (SELECT p_partkey AS k, p_name AS n, p_type AS t, p_brand AS b FROM part)"""
 
 
@@ -95,7 +97,7 @@ def _good_pages(s, d):
         F.lit('<div class="a BookPageMetadataSection__genres"><span><a>'), n, F.lit("</a></span><a>"), F.upper(n), F.lit('</a><a>Magic</a></div><a href="/genres/x">Other</a>'),
         F.lit('<div data-testid="description">Told '), n, F.lit('</div><div class="ReviewText"><span class="Formatted">short</span><span class="Formatted">A review of '), n, F.lit(' at length</span></div>'),
     )
-    return X.read(s, d, "part").select(k.alias("page_id"), html.alias("html"))
+    return X.spread(X.read(s, d, "part"), "p_partkey", PER_TASK).select(k.alias("page_id"), html.alias("html"))
 
 
 @register("reader_pages", GOOD, """SELECT k AS page_id, CASE WHEN k%4<>3 THEN b ELSE 'By '||t END AS authors, n||' | Magic' AS genres, CASE WHEN k%4<>3 THEN 'On & '||n ELSE 'Told '||n END AS blurb,
@@ -116,14 +118,14 @@ def _shop_pages(s, d):
         F.lit('<ul id="detailBullets_feature_div"><li><span>Print length :</span> <span>1,'), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(' pages</span></li><li>ISBN-13 : 978-'), F.lpad(k.cast("string"), 10, "0"), F.lit('</li></ul>'),
         F.lit('<table id="productDetailsTable"><tr><th>Publisher</th><td>'), b, F.lit('</td></tr></table><p>'), F.when(k % 4 == 0, "Paperback, also Kindle Edition").when(k % 4 == 1, "hardcover").when(k % 4 == 2, "Audiobooks").otherwise("Board Book"), F.lit('</p>'),
     )
-    return X.read(s, d, "part").select(k.alias("page_id"), html.alias("html"))
+    return X.spread(X.read(s, d, "part"), "p_partkey", PER_TASK).select(k.alias("page_id"), html.alias("html"))
 
 
 @register("shop_pages", GOOD, """SELECT k AS page_id, CASE WHEN k%3<>0 THEN n ELSE 'Other title' END AS title, b||' | '||t AS authors, CASE WHEN k%2=0 THEN b||'.jpg' ELSE 'src.jpg' END AS cover, t AS genres,
   CASE WHEN k%5=0 THEN 'What the maker says about it all' ELSE 'A long description of the book '||n END AS description, b AS publisher, 1000+k%1000 AS pages,
   CASE k%4 WHEN 0 THEN 'Kindle Edition' WHEN 1 THEN 'Hardcover' WHEN 3 THEN 'Board Book' END AS format, CASE WHEN k%7=0 AND k>0 THEN 'ISBN mismatch: requested 9780000000000, page exposes 978'||lpad(k::VARCHAR,10,'0') END AS error FROM gp""")
 def shop_pages(s, d):
-    rows = _shop_pages(s, d).withColumn("f", G.picked(F.col("html"), G.AMAZON)).withColumn("t", G.page_text(F.col("html")))
+    rows = _shop_pages(s, d).withColumn("f", G.picked(F.col("html"), G.AMAZON, "text")).withColumn("t", F.col("f")["text"])
     rows = rows.withColumn("d", G.details(G.detail_pairs(F.col("f")))).withColumn("isbn", G.isbn13(F.col("t")))
     f, t = F.col("f"), F.col("t")
     asked = F.when(F.col("page_id") % 7 == 0, "9780000000000").otherwise(F.col("isbn"))
