@@ -24,7 +24,7 @@ def merged(records: DataFrame, isbns: DataFrame | None = None) -> DataFrame:
     """
     fields = [c for c in records.columns if c not in ("isbn13", "source", "ingest_seq")]
     found = latest_records(records).groupBy("isbn13").pivot("source", list(SOURCES)).agg(F.first(F.struct(*fields)))
-    return found if isbns is None else isbns.select("isbn13").join(found, "isbn13", "left")
+    return found if isbns is None else isbns.select("isbn13").join(found.hint("merge"), "isbn13", "left")  # whole records are not broadcast
 
 
 def first_value(field: str, cleaned: bool = True, order: tuple[str, ...] = SOURCES) -> tuple[Column, Column]:

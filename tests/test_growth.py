@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelforge import fixtures as X
+from labelforge.operators import integration as I
 from labelforge.operators import pages as G
 from labelforge.plans import records
 
@@ -27,3 +28,15 @@ def test_page_is_parsed_once(spark, monkeypatch):
     assert G.select(index, "p", "id") == ["a", ""]
     monkeypatch.setattr(G, "_matches", None)  # the second field finds the elements that the first found
     assert G.select(index, "p") == ["One two", "five"]
+
+
+def test_source_records_are_dealt(spark, sf_dir, monkeypatch):
+    """Records of a book are made, sorted and merged in many tasks, behind one shuffle of the narrow table; whole records are not broadcast."""
+    monkeypatch.setattr(X, "PER_TASK", 20)
+    records_ = X.sources(spark, sf_dir)
+    held = [n for n in records_.rdd.glom().map(len).collect() if n]
+    assert len(held) > 5 and max(held) < 240
+    plan = I.latest_records(records_)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    joined = I.merged(records_, X.wanted(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in joined and "SortMergeJoin" in joined
