@@ -37,6 +37,12 @@ def proper_prefixes(path: Column) -> Column:
     return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, 1, i), SEPARATOR))).otherwise(F.array().cast("array<string>"))
 
 
+def prefixes(path: Column) -> Column:
+    """A path's prefixes, itself included; none of a path without parts."""
+    p = parts(path)
+    return F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), SEPARATOR))).otherwise(F.array().cast("array<string>"))
+
+
 def common_prefix_depth(a: Column, b: Column) -> Column:
     """Number of leading parts that two paths share."""
     same = F.zip_with(parts(a), parts(b), lambda x, y: x.eqNullSafe(y))

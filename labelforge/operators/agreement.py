@@ -30,6 +30,11 @@ def complete_books(presence: DataFrame) -> DataFrame:
     return availability(presence).filter(F.col("available") == len(MODELS)).select("isbn13")
 
 
+def model_bit():
+    """The bit of a model, a whole number from 0 to 62, in a mask."""
+    return F.when(F.col("m").between(0, 62), F.expr("shiftleft(1L, int(m))")).otherwise(F.raise_error(F.concat(F.lit("no model from 0 to 62: "), F.col("m").cast("string"))))
+
+
 def path_support(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, votes, voters): distinct models for each exact path."""
     return labels.groupBy("isbn13", "field", "path").agg(F.array_sort(F.collect_set("m")).alias("voters")).withColumn("votes", F.size("voters").cast("long"))
@@ -51,15 +56,18 @@ def support_groups(presence: DataFrame, labels: DataFrame) -> DataFrame:
 
 def label_sets(presence: DataFrame, labels: DataFrame) -> DataFrame:
     """(isbn13, m, genre, metadata): sorted label sets of each success, empty for abstentions."""
-    held = labels.groupBy("isbn13", "m").agg(*[F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("path")))).alias(f) for f in FIELDS])
-    return successes(presence).join(held, ["isbn13", "m"], "left").select("isbn13", "m", *[F.coalesce(f, F.expr(EMPTY)).alias(f) for f in FIELDS])
+    answered = successes(presence).repartition("isbn13").select("isbn13", "m", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("path"), F.lit(True).alias("success"))
+    rows = answered.unionByName(labels.select("isbn13", "m", "field", "path", F.lit(False).alias("success")))
+    held = rows.groupBy("isbn13", "m").agg(F.max("success").alias("success"), *[F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("path")))).alias(f) for f in FIELDS])
+    return held.filter("success").drop("success")
 
 
 def model_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of successful models of a book, the lower rank first; columns with suffix _a and _b."""
-    a = sets.select("isbn13", *[F.col(c).alias(f"{c}_a") for c in ("m", *FIELDS)])
-    b = sets.select("isbn13", *[F.col(c).alias(f"{c}_b") for c in ("m", *FIELDS)])
-    return a.join(b, "isbn13").filter("m_a < m_b")
+    """Pairs of successful models of a book, the lower rank first; columns with suffix _a and _b. A book's sets meet in one grouping."""
+    columns = ("m", *FIELDS)
+    books = sets.groupBy("isbn13").agg(F.collect_list(F.struct(*columns)).alias("sets"))
+    pairs = books.select("isbn13", "sets", F.explode("sets").alias("x")).select("isbn13", "x", F.explode(F.expr("filter(sets, y -> y.m > x.m)")).alias("y"))
+    return pairs.select("isbn13", *[F.col(f"x.{c}").alias(f"{c}_a") for c in columns], *[F.col(f"y.{c}").alias(f"{c}_b") for c in columns])
 
 
 def field_pairs(pairs: DataFrame) -> DataFrame:
@@ -80,9 +88,12 @@ def pairwise_jaccard(pairs: DataFrame, empty: float | None) -> DataFrame:
 
 def complete_sets(presence: DataFrame, labels: DataFrame) -> DataFrame:
     """(isbn13, field, union, common, sizes): of books that all models annotated."""
-    fields = complete_books(presence).select("isbn13", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    counts = path_support(labels).groupBy("isbn13", "field").agg(F.count(F.lit(1)).alias("union"), F.count_if(F.col("votes") == len(MODELS)).alias("common"))
-    return fields.join(counts, ["isbn13", "field"], "left").fillna(0, ["union", "common"])
+    of = lambda f: F.col("field") == f
+    paths = labels.groupBy("isbn13", "field", "path").agg(F.bit_or(model_bit()).alias("voters"))
+    whole = F.bit_count("voters") == len(MODELS)
+    counts = paths.groupBy("isbn13").agg(*[x for f in FIELDS for x in (F.count_if(of(f)).alias(f"union_{f}"), F.count_if(of(f) & whole).alias(f"common_{f}"))])
+    books = complete_books(presence).join(counts, "isbn13", "left").fillna(0)
+    return books.select("isbn13", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"union_{f}").alias("union"), F.col(f"common_{f}").alias("common")) for f in FIELDS])))
 
 
 def three_way(presence: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,19 +247,48 @@ def matching_weight(weights: np.ndarray) -> float:
     return float(w[owner[taken], taken].sum())
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Per book, field and pair: twice the weight of the best one-to-one matching over the sum of sizes; null and 0 as above."""
+def matching_weights(weights: np.ndarray) -> np.ndarray:
+    """``matching_weight`` of many matrices of one shape at once: up to eight columns by the best total of each set of taken columns, row by row."""
+    w = weights if weights.shape[1] <= weights.shape[2] else weights.transpose(0, 2, 1)
+    if w.shape[2] > 8:
+        return np.array([matching_weight(x) for x in w])
+    best = {0: np.zeros(len(w))}
+    for i in range(w.shape[1]):
+        step: dict[int, np.ndarray] = {}
+        for taken, total in best.items():
+            for j in range(w.shape[2]):
+                if not taken >> j & 1:
+                    with_it, new = taken | 1 << j, total + w[:, i, j]
+                    step[with_it] = np.maximum(step[with_it], new) if with_it in step else new
+        best = step
+    return np.max(list(best.values()), axis=0)
+
+
+def one_to_one(pairs: DataFrame, where: str = "true") -> DataFrame:
+    """Per book, field and pair: twice the weight of the best one-to-one matching over the sum of sizes; null and 0 as above. ``where``: a condition on the label sets a and b of the rows wanted."""
 
     def match(batches):
         for b in batches:
-            b["similarity"] = [None if na + nb == 0 else 2 * (matching_weight(np.reshape(x, (na, nb))) if na and nb else 0.0) / (na + nb) for na, nb, x in zip(b["na"], b["nb"], b["flat"], strict=True)]
+            found = np.zeros(len(b))
+            for (na, nb), at in b.groupby(["na", "nb"]).indices.items():
+                if na and nb:
+                    found[at] = 2 * matching_weights(np.concatenate(b["flat"].to_numpy()[at]).reshape(len(at), na, nb)) / (na + nb)
+                elif not na and not nb:
+                    found[at] = np.nan
+            b["similarity"] = found
             yield b[["isbn13", "field", "m_a", "m_b", "similarity"]]
 
-    a, b = F.col("a"), F.col("b")
-    flat = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: P.path_similarity(x, y))))
-    rows = field_pairs(pairs).select("isbn13", "field", "m_a", "m_b", F.size(a).alias("na"), F.size(b).alias("nb"), flat.alias("flat"))
+    rows = field_pairs(pairs).filter(where)
+    # a path as its prefixes, itself included: two paths share as many prefixes as leading parts
+    prefixes = lambda side: F.transform(side, lambda x: P.prefixes(x))
+    rows = rows.select("isbn13", "field", "m_a", "m_b", F.size("a").alias("na"), F.size("b").alias("nb"), prefixes(F.col("a")).alias("a"), prefixes(F.col("b")).alias("b"))
+    total = lambda x, y: F.size(x) + F.size(y)
+    alike = lambda x, y: F.when(total(x, y) == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total(x, y))
+    flat = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: alike(x, y))))
+    rows = rows.select("isbn13", "field", "m_a", "m_b", "na", "nb", flat.alias("flat"))
     kind = rows.schema["isbn13"].dataType.simpleString()
-    return rows.mapInPandas(match, f"isbn13 {kind}, field string, m_a int, m_b int, similarity double").withColumn("similarity", F.round("similarity", 6))
+    found = rows.mapInPandas(match, f"isbn13 {kind}, field string, m_a int, m_b int, similarity double")
+    return found.withColumn("similarity", F.round(F.nanvl("similarity", F.lit(None).cast("double")), 6))
 
 
 def one_to_one_summary(rows: DataFrame) -> DataFrame:

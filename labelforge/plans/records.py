@@ -359,5 +359,4 @@ def parsed_paths(s, d):
   FROM fp JOIN sim USING (isbn13, field, m_a, m_b) WHERE len(a)=2 AND len(b)=2 GROUP BY fp.isbn13, fp.field, fp.m_a, fp.m_b)""")
 def one_to_one_pairs(s, d):
     """One-to-one similarity of two paths with two paths, where SQL can name both matchings."""
-    pairs = A.field_pairs(Q._pairs(s, d)).filter("size(a) = 2 and size(b) = 2").select("isbn13", "field", "m_a", "m_b")
-    return A.one_to_one(Q._pairs(s, d)).join(pairs, ["isbn13", "field", "m_a", "m_b"])
+    return A.one_to_one(Q._pairs(s, d), "size(a) = 2 and size(b) = 2")

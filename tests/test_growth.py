@@ -1,8 +1,11 @@
 """Steps whose time or memory must not grow faster than their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from labelforge import fixtures as X
+from labelforge.operators import agreement as A
+from labelforge.operators import consensus as C
 from labelforge.operators import integration as I
 from labelforge.operators import pages as G
 from labelforge.plans import records
@@ -40,3 +43,28 @@ def test_source_records_are_dealt(spark, sf_dir, monkeypatch):
     assert plan.count("Exchange") == 1
     joined = I.merged(records_, X.wanted(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in joined and "SortMergeJoin" in joined
+
+
+def _shuffles(df):
+    """Shuffles by book in a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(isbn13")
+
+
+def test_labels_are_dealt_by_book_once(spark, sf_dir):
+    """Lines are shuffled as narrow rows; labels, and what is grouped by book after them, stay where they are."""
+    labels = X.labels(spark, sf_dir).repartition("isbn13")
+    assert _shuffles(labels) == 2  # lines and orders
+    assert _shuffles(C.book_consensus(labels)) == 2
+    assert _shuffles(A.path_support(labels)) == 2
+
+
+def test_matching_of_many(spark):
+    rng = np.random.default_rng(3)
+    for a, b in ((1, 1), (1, 5), (4, 1), (2, 2), (3, 5), (5, 3), (7, 8), (2, 9), (9, 3)):
+        w = rng.integers(0, 7, (40, a, b)) / 6
+        assert np.allclose(A.matching_weights(w), [A.matching_weight(x) for x in w])
+    rows = [(1, 0, 1, ["A / B", "C"], [], ["A", " / "], ["D"]), (2, 0, 1, [], [], [], ["D"]), (3, 0, 2, ["A / B", "A"], [], ["A / B / C"], [])]
+    pairs = spark.createDataFrame(rows, "isbn13 long, m_a int, m_b int, genre_a array<string>, metadata_a array<string>, genre_b array<string>, metadata_b array<string>")
+    found = {(r.isbn13, r.field): r.similarity for r in A.one_to_one(pairs).collect()}
+    assert found == {(1, "genre"): 0.333333, (1, "metadata"): 0.0, (2, "genre"): None, (2, "metadata"): 0.0, (3, "genre"): 0.533333, (3, "metadata"): None}
+    assert [r.isbn13 for r in A.one_to_one(pairs, "size(a) = 2 and size(b) = 1").collect()] == [3]
