@@ -62,6 +62,11 @@ def book_consensus(labels: DataFrame) -> DataFrame:
     return held
 
 
+def _consensus(rows: DataFrame) -> DataFrame:
+    """``book_consensus`` of labels; what is one already stays."""
+    return rows if "canonical" in rows.columns else book_consensus(rows)
+
+
 def ancestor_support(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, supporters): models that chose an observed path or one below it."""
     return path_masks(labels).select(*KEY, "path", _models("under").alias("supporters"))
@@ -80,12 +85,12 @@ def pruned(rows: DataFrame) -> DataFrame:
 
 def canonical(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path): exact majorities and the most specific hierarchical candidates that add something, pruned."""
-    return book_consensus(labels).select(*KEY, F.explode("canonical").alias("path"))
+    return _consensus(labels).select(*KEY, F.explode("canonical").alias("path"))
 
 
 def singleton_review(labels: DataFrame) -> DataFrame:
     """(isbn13, field, path, m, reason) for each path with one vote."""
-    return book_consensus(labels).select(*KEY, F.inline("review"))
+    return _consensus(labels).select(*KEY, F.inline("review"))
 
 
 def resolved_table(labels: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def book_presence(presence: DataFrame, labels: DataFrame) -> DataFrame:
 
 def adjudication_sheet(labels: DataFrame, reasons: tuple[str, ...] = REVIEWED) -> DataFrame:
     """Numbered cases for review with blank decision columns."""
-    rows = singleton_review(labels).filter(F.col("reason").isin(*reasons))
+    rows = singleton_review(labels).filter(F.col("reason").isin(*reasons)).persist()  # read twice: once to sample the ranges
     ranked = with_ordinal(rows, "field", ["isbn13", "path", "m"], "k")
     name = F.when(F.col("field") == "genre", "GENRE").otherwise("META")
     blank = [F.lit("").alias(c) for c in ("decision", "confidence", "rationale")]

@@ -255,7 +255,8 @@ def filter_counts(s, d):
 def silver_counters(s, d):
     _, decided, final = Q._silver(s, d)
     is_ = lambda f: F.col("field") == f
-    labels = final.agg(*[F.count_if(is_(f)).alias(f"{f}_labels") for f in X.FIELDS], *[F.count_distinct(F.when(is_(f), F.col("isbn13"))).alias(f"{f}_books") for f in X.FIELDS], F.count_distinct("isbn13").alias("books"))
+    books = final.groupBy("isbn13").agg(*[F.count_if(is_(f)).alias(f) for f in X.FIELDS])
+    labels = books.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f"{f}_labels") for f in X.FIELDS], *[F.count_if(F.col(f) > 0).alias(f"{f}_books") for f in X.FIELDS], F.count(F.lit(1)).alias("books"))
     said = decided.agg(*[F.count_if(F.col("decision") == v).alias(n) for v, n in (("ACCEPT", "accepted"), ("REJECT", "rejected"), ("UNSURE", "unresolved"))])
     return labels.crossJoin(F.broadcast(said))  # one row beside one row
 

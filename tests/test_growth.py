@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from labelforge import fixtures as X
 from labelforge.operators import agreement as A
 from labelforge.operators import consensus as C
+from labelforge.operators import debate as D
 from labelforge.operators import integration as I
 from labelforge.operators import pages as G
 from labelforge.plans import records
@@ -68,3 +69,26 @@ def test_matching_of_many(spark):
     found = {(r.isbn13, r.field): r.similarity for r in A.one_to_one(pairs).collect()}
     assert found == {(1, "genre"): 0.333333, (1, "metadata"): 0.0, (2, "genre"): None, (2, "metadata"): 0.0, (3, "genre"): 0.533333, (3, "metadata"): None}
     assert [r.isbn13 for r in A.one_to_one(pairs, "size(a) = 2 and size(b) = 1").collect()] == [3]
+
+
+def test_votes_may_name_their_book(spark):
+    """Rounds with and without the book's number give the same verdicts."""
+    open_ = spark.createDataFrame([("x", 1, "Genre", "A", 1, [0], [1, 2]), ("y", 2, "Genre", "B", 2, [0, 1], [2])], "debate_id string, isbn13 long, annotation_type string, path string, support_count long, models_for array<int>, models_against array<int>")
+    first = spark.createDataFrame([("x", 1, 0, "MAINTAIN"), ("y", 2, 0, "RETRACT"), ("y", 2, 1, "MAINTAIN"), ("z", 3, 0, "RETRACT")], "debate_id string, isbn13 long, m int, decision string")
+    second = spark.createDataFrame([("x", 1, 1, "ACCEPT"), ("x", 1, 2, "REJECT")], "debate_id string, isbn13 long, m int, decision string")
+    named = D.verdicts(open_, first, second).orderBy("debate_id").collect()
+    bare = D.verdicts(open_, first.drop("isbn13"), second.drop("isbn13")).orderBy("debate_id").collect()
+    assert named == bare and [(r.debate_id, r.verdict) for r in named] == [("x", "MANUAL"), ("y", "MANUAL")]
+    asked = [sorted((r.debate_id, r.isbn13, r.m) for r in D.round2_eligible(open_, f).collect()) for f in (first, first.drop("isbn13"))]
+    assert asked == [[("x", 1, 1), ("x", 1, 2)]] * 2
+
+
+def test_consensus_is_made_once(spark):
+    labels = spark.createDataFrame([(1, 0, "genre", "A / B"), (1, 1, "genre", "A"), (1, 2, "genre", "C / D")], "isbn13 long, m int, field string, path string")
+    held = C.book_consensus(labels)
+    assert C.canonical(held).collect() == C.canonical(labels).collect() and len(C.singleton_review(held).collect()) == 3
+    decided = spark.createDataFrame([(1, "genre", "C / D", "ACCEPT"), (1, "genre", "C", "ACCEPT"), (1, "genre", "E", "REJECT")], "isbn13 long, field string, path string, decision string")
+    final = D.silver(held, decided)
+    assert sorted((r.path, r.source) for r in D.provenance(final, held, decided).collect()) == [("A", "automatic_consensus"), ("C / D", "accepted_adjudication")]
+    assert D.representation(final, decided).collect() == []
+    assert [r.path for r in D.representation(final.filter("path = 'A'"), decided).orderBy("path").collect()] == ["C", "C / D"]
